@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, sharding
+from . import bpe, exact_dedup, secrets, sharding, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,16 +23,56 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"), SHARDS)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_bpe, op9_sharding)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_bpe, op4_url_filter, op8_secrets, op9_sharding)}
+
+
+def _secret_sql() -> str:
+    """Places of matches: lengths of what lies between them, added up."""
+    quoted = lambda s: s.replace("'", "''")
+    names = [r.kind for r in secrets.RULES]
+    kinds = []
+    for nth, r in enumerate(secrets.RULES):
+        pattern = quoted(r.pattern)
+        kinds.append(f"""
+            SELECT doc_id, text, {nth} AS nth, '{r.kind}' AS kind, {r.least} AS least,
+                   regexp_extract_all(text, '{pattern}', 0) AS m, regexp_extract_all(text, '{pattern}', {r.group}) AS g,
+                   string_split_regex(text, '{pattern}') AS p
+            FROM docs WHERE regexp_matches(text, '{pattern}')""")
+    base = ", ".join(f"'{k}'" for k in names[: len(secrets.BASE)])
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE)
+    zeros = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE)
+    return f"""
+        WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        hits AS ({" UNION ALL ".join(kinds)}),
+        cut AS (
+            SELECT doc_id, nth, kind, least, length(g[i]) AS counted, length(m[i]) AS n,
+                   list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start
+            FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM hits)),
+        spans AS (SELECT doc_id, nth, kind, start, kind || ':' || start::BIGINT || ':' || (start + n)::BIGINT AS said FROM cut WHERE counted >= least),
+        each AS (
+            SELECT doc_id, {counts}, string_agg(said, ',' ORDER BY start, nth) AS spans,
+                   string_agg(said, ',' ORDER BY start, nth) FILTER (kind IN ({base})) AS base
+            FROM spans GROUP BY doc_id)
+        SELECT d.doc_id, {zeros}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM docs d LEFT JOIN each e ON d.doc_id = e.doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_secrets": _secret_sql(),
         "op1_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -1,30 +1,57 @@
-"""The training-corpus pipeline: documents in, encoded documents out."""
+"""The training-corpus pipeline: documents in, encoded documents out.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the one before it
+kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, exact_dedup
+from tessera import ensure_importable
+from tessera.llm import bpe, decontam, exact_dedup, minhash, quality
 from tessera.llm.common import table, written
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of every group of equal texts stays."""
+    """Of equal texts the document with the largest doc_id stays."""
     return exact_dedup.drop_copies(docs, exact_dedup.open_index(spark))
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every class of near-duplicates the document with the least doc_id stays."""
+    return minhash.one_of_each(docs)
+
+
+def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a window of a benchmark item occurs go."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token_ids, n_tokens of every document that came this far."""
     return bpe.encode(docs)
 
 
-STAGES = [("exact dedup", exact_copies), ("bpe encoding", encode)]
+STAGES = [
+    ("quality classifier", good_documents),
+    ("exact dedup", exact_copies),
+    ("minhash near-dedup", near_copies),
+    ("benchmark decontamination", clean_of_benchmarks),
+    ("bpe encoding", encoded),
+]
 
 #: SQL can express neither the classifier nor the encoder; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_importable(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{k}")

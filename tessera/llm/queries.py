@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, exact_dedup, minhash, secrets, sharding, url_filter
+from . import bpe, chat, decontam, exact_dedup, html_extract, minhash, quality, secrets, sharding, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_exact(table(spark, sf_dir, "documents"), exact_dedup.open_index(spark))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -43,8 +51,18 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"SELECT -7L AS conv_id, t AS turn, r AS role, '{probe}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
+    return chat.report(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_bpe, op4_url_filter, op5_decontamination, op6_minhash, op8_secrets, op9_sharding)}
+    every = (
+        op1_exact_dedup, op2_html_extract, op3_bpe, op4_url_filter, op5_decontamination,
+        op6_minhash, op7_quality, op8_secrets, op9_sharding, op10_chat_format,
+    )
+    return {f.__name__: f for f in every}
 
 
 def _secret_sql() -> str:

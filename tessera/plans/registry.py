@@ -12,7 +12,9 @@ FLAGSHIP = "a1_all_metrics"
 
 
 def _modules() -> list:
-    return []
+    from tessera.plans import lexical
+
+    return [lexical]
 
 
 def queries() -> dict[str, Query]:

@@ -12,9 +12,9 @@ FLAGSHIP = "a1_all_metrics"
 
 
 def _modules() -> list:
-    from tessera.plans import lexical
+    from tessera.plans import lexical, metrics
 
-    return [lexical]
+    return [lexical, metrics]
 
 
 def queries() -> dict[str, Query]:

@@ -12,9 +12,9 @@ FLAGSHIP = "a1_all_metrics"
 
 
 def _modules() -> list:
-    from tessera.plans import lexical, metrics
+    from tessera.plans import geometry, lexical, metrics
 
-    return [lexical, metrics]
+    return [lexical, metrics, geometry]
 
 
 def queries() -> dict[str, Query]:

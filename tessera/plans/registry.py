@@ -12,9 +12,9 @@ FLAGSHIP = "a1_all_metrics"
 
 
 def _modules() -> list:
-    from tessera.plans import geometry, lexical, metrics
+    from tessera.plans import consolidation, geometry, lexical, metrics
 
-    return [lexical, metrics, geometry]
+    return [lexical, metrics, geometry, consolidation]
 
 
 def queries() -> dict[str, Query]:

@@ -144,10 +144,15 @@ class Phrases:
             yield from at[n[matrix].min(axis=1) > 0].tolist()
 
     def starts(self, phrase: int, postings: list[np.ndarray], slop: int = 0) -> np.ndarray:
-        """Where a phrase begins: intersection of offset-adjusted lists, rarest term first."""
+        """Where a phrase begins: intersection of offset-adjusted lists, rarest term first.
+
+        With slop, where it could begin so that every term stands within slop of its place.
+        """
         terms = self.terms[phrase]
         order = sorted(range(len(terms)), key=lambda j: len(postings[terms[j]]))
         at = postings[terms[order[0]]] - order[0]
+        if slop:
+            at = np.unique((at[:, None] + np.arange(-slop, slop + 1)).ravel())
         for j in order[1:]:
             if not len(at):
                 break

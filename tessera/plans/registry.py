@@ -12,9 +12,9 @@ FLAGSHIP = "a1_all_metrics"
 
 
 def _modules() -> list:
-    from tessera.plans import consolidation, geometry, lexical, metrics
+    from tessera.plans import consolidation, geometry, lexical, metrics, signals, streams
 
-    return [lexical, metrics, geometry, consolidation]
+    return [lexical, metrics, geometry, consolidation, signals, streams]
 
 
 def queries() -> dict[str, Query]:

@@ -12,12 +12,16 @@ whatever its length; texts with a coordinate left empty throw on at twice T.
 
 Copies of a text are one node. Signatures are cut into bands; nodes that share
 a band's value share a bucket. In every bucket all nodes are compared with one
-centre, chosen by hash and so another one in each band; then, in the buckets
-whose nodes do not yet all hang together, every pair of nodes in different
-parts that no sketch or size bound rules out is compared too. A comparison is
-exact: weighted Jaccard of all shingles of both whole texts. What is linked hangs
-together as a class (connected components by alternating neighbour minimum and
-pointer jumping, every round written to the shared folder).
+centre, chosen by hash and so another one in each band. Buckets whose nodes do
+not yet all hang together are open: there every pair of nodes in different parts
+that no sketch or size bound rules out is compared too. For that, the nodes that
+open buckets chain together form a group; a group is dealt to blocks, and each
+pair of blocks is one piece of work, so that no task holds more than two blocks
+and no row stands for a pair. (A group of over LARGE units is dealt bucket by
+bucket instead, and a pair is compared in its first common bucket.) A comparison
+is exact: weighted Jaccard of all shingles of both whole texts. What is linked
+hangs together as a class (connected components by neighbour minimum and pointer
+jumping, every round written to the shared folder).
 
 Defined cases: null counts as empty; a text of one to four words has one shingle
 of all its words; wordless texts have none and are near no other text, but
@@ -51,6 +55,8 @@ DARTS = int(K * np.log(K) + 2 * K)
 LEAST_AGREEING = K // 2
 #: Members compared with one copy of a centre's text in one group; hot centres are dealt to several groups.
 GROUP = 256
+#: Units (a node has one, and one more per UNIT_WORDS words) in a block, and in a group that is not dealt by buckets.
+BLOCK, LARGE, UNIT_WORDS = 512, 4096, 4000
 #: Words whose hashes a worker keeps; at the bound it starts anew.
 CACHE_WORDS = 400_000
 
@@ -209,16 +215,16 @@ def sign(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, node binary, weight long, bands array<long>, sig array<int>")
 
 
-def _compare(texts: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are similar; a's text meets the texts of its partners in groups of bounded size."""
+def _with_centre(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The similar ones of pairs (a, b): a's text meets the texts of its partners in groups of bounded size."""
     groups = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("groups", F.ceil(F.col("n") / GROUP).cast("int"))
     sized = pairs.join(groups, "a")
     group = F.pmod(F.xxhash64("b"), F.col("groups")).cast("int")
-    members = sized.select(F.col("b").alias("node"), F.col("a").alias("centre"), group.alias("grp"), F.lit(1).alias("kind"))
-    centres = groups.select(F.col("a").alias("node"), F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("grp"), F.lit(0).alias("kind"))
-    wanted = written(members.unionByName(centres).distinct().join(reps.select("node", "rep"), "node"), "comparisons").withColumnRenamed("node", "of")
+    members = sized.select(F.col("b").alias("of"), F.col("a").alias("centre"), group.alias("grp"), F.lit(1).alias("kind"))
+    centres = groups.select(F.col("a").alias("of"), F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("grp"), F.lit(0).alias("kind"))
+    wanted = written(members.unionByName(centres), "comparisons")
     dealt = (
-        texts.join(wanted, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+        texts.join(wanted, F.col("node") == F.col("of"))
         .select("centre", "grp", "kind", "node", "text")
         .repartition("centre", "grp")
         .sortWithinPartitions("centre", "grp", "kind")
@@ -241,6 +247,87 @@ def _compare(texts: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return written(dealt.mapInArrow(run, "a binary, b binary"), "links")
 
 
+def _within_blocks(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (a, b) between parts, of members (grp, by_bucket, units, of, part, weight, bands, sig): all pairs of a group, block by block."""
+    blocks = members.groupBy("grp").agg(F.ceil(F.sum("units") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("of"), F.col("blocks")).cast("int")
+    dealt = (
+        members.join(blocks, "grp").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "by_bucket", "of", "part", "weight", "bands", "sig")
+    )
+    placed = texts.join(dealt, F.col("node") == F.col("of")).drop("of", "doc_id").repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
+    names = ["grp", "lo", "hi", "own", "by_bucket", "node", "part", "weight", "bands", "sig", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, key, rows = _WordHashes(), None, []
+        for b in batches:
+            keys = list(zip(*(b.column(j).to_pylist() for j in range(3))))
+            start = 0
+            for i in range(1, len(keys) + 1):
+                if i == len(keys) or keys[i] != keys[start]:
+                    if keys[start] != key and rows:
+                        yield _links(pa.Table.from_batches(rows), hashes)
+                        rows = []
+                    key = keys[start]
+                    rows.append(b.slice(start, i - start))
+                    start = i
+        if rows:
+            yield _links(pa.Table.from_batches(rows), hashes)
+
+    return written(placed.select(*names).mapInArrow(run, "a binary, b binary"), "links")
+
+
+def _links(t: pa.Table, hashes: dict[bytes, int]) -> pa.RecordBatch:
+    """Links that join parts, among the nodes of one pair of blocks; likeliest pairs first, and none between what is joined already."""
+    left: list[bytes] = []
+    right: list[bytes] = []
+    n = t.num_rows
+    lo, hi, by_bucket, grp = (t.column(c)[0].as_py() for c in ("lo", "hi", "by_bucket", "grp"))
+    own = t.column("own").to_numpy()
+    codes: dict[bytes, int] = {}
+    part = np.array([codes.setdefault(p, len(codes)) for p in t.column("part").to_pylist()])
+    weight = t.column("weight").to_numpy()
+    wide = lambda c, k: t.column(c).combine_chunks().flatten().to_numpy().reshape(n, k)
+    band, sig, nodes = wide("bands", BANDS), wide("sig", K), t.column("node").to_pylist()
+    rows = np.flatnonzero(own == lo)
+    columns = np.flatnonzero(own == hi)
+    found = []
+    for i in rows:
+        j = columns[(part[columns] != part[i]) & ((columns > i) | (lo != hi))]
+        j = j[np.minimum(weight[j], weight[i]) >= SIMILARITY * np.maximum(weight[j], weight[i])]
+        same = band[j] == band[i]
+        if by_bucket:
+            at = same.argmax(axis=1)
+            j = j[same.any(axis=1) & (band[j, at] == grp)]
+        else:
+            j = j[same.any(axis=1)]
+        agreeing = (sig[j] == sig[i]).sum(axis=1)
+        keep = agreeing >= LEAST_AGREEING
+        found += zip(agreeing[keep].tolist(), [int(i)] * int(keep.sum()), j[keep].tolist())
+    root = list(range(len(codes)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    text = t.column("text")
+    for _, i, j in sorted(found, key=lambda x: -x[0]):
+        a, b = find(part[i]), find(part[j])
+        if a == b:
+            continue
+        for k in (i, j):
+            if k not in sets:
+                sets[k] = shingles(text[k].as_py(), hashes)
+        if jaccard(sets[i], sets[j]) >= SIMILARITY:
+            root[b] = a
+            left.append(nodes[i])
+            right.append(nodes[j])
+    return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, part: the parts that hang together by links (a, b); part is one of their nodes."""
     both = written(
@@ -259,47 +346,47 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, class_id, class_size (rows), text_copies (rows with the same text), n_links (of the text)."""
+    """One row per row of docs: doc_id, class_id, class_size (rows), text_copies (rows with the same text)."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     texts = plain.select("doc_id", node_of(F.col("text")).alias("node"), "text")
     signed = written(sign(texts), "signatures")
     reps = written(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("text_copies")), "nodes")
-    #: A signature per node: that of its first row; rows repeated whole add nothing new.
-    own = signed.filter("weight > 0").join(
-        reps.select(F.col("node").alias("of"), "rep"), (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("rep"))
-    )
+    #: One row of every node stands for it. (Rows repeated whole stand twice, which makes no new link.)
+    stands = (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("rep"))
+    own = signed.filter("weight > 0").join(reps.select(F.col("node").alias("of"), "rep"), stands).drop("of", "rep")
     exploded = own.select("node", F.explode("bands").alias("bucket"))
     order = F.xxhash64("node", "bucket")
     centre = exploded.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node")).alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = written(centre.select(F.col("bucket").alias("key"), F.col("c.node").alias("centre")), "buckets")
     inside = written(exploded.join(buckets, F.col("bucket") == F.col("key")).select("bucket", "node", "centre"), "bucket-members")
-    first = inside.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = _compare(texts, written(first, "pairs"), reps)
+    first = written(inside.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    compared = inside.select(F.col("node").alias("of")).distinct().join(reps.select(F.col("node").alias("of"), "rep"), "of")
+    some = written(texts.join(compared, stands).select("node", "text").dropDuplicates(["node"]), "compared-texts")
+    links = _with_centre(some, first)
     parts = components(links)
-    open_members = inside.join(parts, "node", "left").select("bucket", "node", F.coalesce("part", "node").alias("part"))
-    still = open_members.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select(F.col("bucket").alias("key"))
-    loose = written(
-        open_members.join(still, F.col("bucket") == F.col("key"), "left_semi").join(own.select(F.col("node").alias("of"), "weight", "sig"), F.col("node") == F.col("of")).drop("of"),
-        "open-buckets",
-    )
-    x = loose.select("bucket", F.col("node").alias("a"), F.col("part").alias("pa"), F.col("weight").alias("wa"), F.col("sig").alias("sa"))
-    y = loose.select("bucket", F.col("node").alias("b"), F.col("part").alias("pb"), F.col("weight").alias("wb"), F.col("sig").alias("sb"))
-    agreeing = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
-    close = (F.least("wa", "wb") >= SIMILARITY * F.greatest("wa", "wb")) & (agreeing >= LEAST_AGREEING)
-    pairs = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & close)
-    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = written(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "more-pairs")
-    if second.limit(1).count():
-        links = links.unionByName(_compare(texts, second, reps))
-        parts = components(links)
-    ends = links.select(F.col("a").alias("node"), "b").unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("b"))).distinct()
-    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    placed = reps.join(parts, "node", "left").join(degree, "node", "left").select(
-        "node", "rep", "text_copies", F.coalesce("part", "node").alias("part"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
+    labelled = written(inside.join(parts, "node", "left").select("bucket", "node", "centre", F.coalesce("part", "node").alias("part")), "labelled")
+    open_keys = labelled.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select(F.col("bucket").alias("key"))
+    loose = written(labelled.join(open_keys, F.col("bucket") == F.col("key"), "left_semi"), "open-buckets")
+    chains = components(loose.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")))
+    unit = (1 + F.floor(F.col("weight") / UNIT_WORDS)).alias("units")
+    known = own.select(F.col("node").alias("of"), unit, "weight", "bands", "sig").dropDuplicates(["of"])
+    chained = loose.select("node", "part").distinct().join(chains.withColumnRenamed("part", "chain"), "node").join(known, F.col("node") == F.col("of")).drop("node")
+    chained = written(chained, "open-nodes")
+    large = chained.groupBy("chain").agg(F.sum("units").alias("total")).filter(F.col("total") > LARGE).select("chain")
+    columns = ["grp", "by_bucket", "units", "of", "part", "weight", "bands", "sig"]
+    by_chain = chained.join(large, "chain", "left_anti").select(F.xxhash64("chain").alias("grp"), F.lit(False).alias("by_bucket"), *columns[2:])
+    by_bucket = (
+        chained.join(large, "chain", "left_semi").drop("chain")
+        .join(loose.select("bucket", "node").distinct(), F.col("of") == F.col("node"))
+        .select(F.col("bucket").alias("grp"), F.lit(True).alias("by_bucket"), *columns[2:])
     )
+    members = written(by_chain.unionByName(by_bucket), "block-members")
+    links = links.unionByName(_within_blocks(some, members))
+    parts = components(links)
+    placed = reps.join(parts, "node", "left").select("node", "rep", "text_copies", F.coalesce("part", "node").alias("part"))
     classes = placed.groupBy("part").agg(F.min("rep").alias("class_id"), F.sum("text_copies").alias("class_size"))
-    known = written(placed.join(classes, "part").select(F.col("node").alias("of"), "class_id", "class_size", "text_copies", "n_links"), "classes")
-    return signed.select("doc_id", "node").join(known, F.col("node") == F.col("of")).select("doc_id", "class_id", "class_size", "text_copies", "n_links")
+    known = written(placed.join(classes, "part").select(F.col("node").alias("of"), "class_id", "class_size", "text_copies"), "classes")
+    return signed.select("doc_id", "node").join(known, F.col("node") == F.col("of")).select("doc_id", "class_id", "class_size", "text_copies")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -12,9 +12,9 @@ FLAGSHIP = "a1_all_metrics"
 
 
 def _modules() -> list:
-    from tessera.plans import consolidation, geometry, lexical, metrics, signals, streams
+    from tessera.plans import consolidation, geometry, lexical, metrics, series, signals, streams
 
-    return [lexical, metrics, geometry, consolidation, signals, streams]
+    return [lexical, metrics, geometry, consolidation, signals, streams, series]
 
 
 def queries() -> dict[str, Query]:

@@ -170,3 +170,30 @@ def coherent_core(names: DataFrame, anchors: DataFrame, above: DataFrame, ic: Da
     least = pairs.join(near, ["a", "b"]).groupBy("grp", F.col("a").alias("name")).agg(F.min("jc").alias("d"))
     sizes = names.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).join(anchors.groupBy("grp").agg(F.count(F.lit(1)).alias("n_anchors")), "grp", "left")
     return names.join(sizes, "grp").join(least, ["grp", "name"], "left").filter((F.col("n") < 3) | F.col("n_anchors").isNull() | (F.col("d") <= xi)).select("grp", "name", "d")
+
+
+def fired_field(words: DataFrame, senses: DataFrame, above: DataFrame, ic: DataFrame) -> DataFrame:
+    """(sense, energy): every word's bits split over its senses by the support that other words' senses give them.
+
+    words (word, bits); senses (word, sense, prior). Support is the prior-weighted
+    similarity exp(-distance) to all senses of other words; a word whose senses
+    get none is split by its priors. A sense of several words adds them up.
+    """
+    s = senses.join(words, "word")
+    a = s.select("word", "sense", "prior", "bits", F.col("sense").alias("a"))
+    b = s.select(F.col("word").alias("other"), F.col("sense").alias("b"), F.col("prior").alias("weight"))
+    pairs = a.join(b, F.col("word") != F.col("other")).select("word", "a", "b", "weight")
+    near = distances(pairs, above, ic)
+    support = pairs.join(near, ["a", "b"]).groupBy("word", "a").agg(F.sum(F.col("weight") * F.exp(-F.greatest("jc", F.lit(0.0)))).alias("support"))
+    per = W.partitionBy("word")
+    full = a.join(support, ["word", "a"], "left").withColumn("support", F.coalesce("support", F.lit(0.0)))
+    total, prior = F.sum("support").over(per), F.sum("prior").over(per)
+    share = F.when(total > 0, F.col("support") / total).otherwise(F.col("prior") / prior)
+    return full.select("sense", (share * F.col("bits")).alias("e")).groupBy("sense").agg(F.sum("e").alias("energy"))
+
+
+def rendered(leads: DataFrame, glosses: DataFrame) -> DataFrame:
+    """(concept, sentence, cites): each lead's gloss with a capital and a full stop; of equal glosses the first concept speaks. glosses (concept, gloss)."""
+    said = leads.join(glosses, "concept").select("concept", F.trim("gloss").alias("g")).filter("g <> ''")
+    one = said.groupBy("g").agg(F.min("concept").alias("concept"), F.array_join(F.array_sort(F.collect_list("concept")), ",").alias("cites"))
+    return one.select("concept", F.concat(F.upper(F.substring("g", 1, 1)), F.expr("substring(g, 2)"), F.when(F.col("g").endswith("."), "").otherwise(".")).alias("sentence"), "cites")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.model import EDGES_SQL, TAXONOMY_SQL, edges, table, taxonomy
 from tessera.operators import graph as G
+from tessera.operators import resolve
 
 DEPTH = 3
 #: Attenuation length and floor used by the propagation queries.
@@ -116,9 +117,44 @@ def f23_coherent_core(spark, sf):
     return G.coherent_core(names, anchors, above, ic, 8.5).select("grp", "name", F.round("d", 6).alias("d"))
 
 
+def g4_fired_field(spark, sf):
+    """Market segments as words, forty customers as their senses, priors by rank."""
+    from pyspark.sql import Window as W
+
+    _, above, ic = _tree(spark, sf)
+    c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    n = c.groupBy(F.col("c_mktsegment").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    words = n.select("word", (-F.log2(F.col("n") / F.sum("n").over(W.partitionBy()))).alias("bits"))
+    rank = F.row_number().over(W.partitionBy("c_mktsegment").orderBy("c_custkey"))
+    senses = c.filter("c_custkey <= 40").select(F.col("c_mktsegment").alias("word"), F.concat(F.lit("customer-"), "c_custkey").alias("sense"), (1 / rank).alias("prior"))
+    return G.fired_field(words, senses, above, ic).select("sense", F.round("energy", 6).alias("energy"))
+
+
+def _recognised(spark, sf):
+    """Seeds spread over the tree, ranked, and cut where the signal ends."""
+    _, above, ic = _tree(spark, sf)
+    fired = G.spread(_seeds(spark, sf), above, ic, XI, GAP)
+    ranked = G.rank_fired(fired, ic).select(F.lit("q").alias("q"), "concept", F.round("rank_score", 9).alias("score"))
+    return resolve.leading(ranked, "q", "score", "concept")
+
+
+def g5_recognise(spark, sf):
+    return _recognised(spark, sf).select("concept", "rank", F.round("score", 6).alias("score"))
+
+
+def g6_compose(spark, sf):
+    """The leads said by name, with what they cite."""
+    names = (
+        table(spark, sf, "nation").select(F.concat(F.lit("nation-"), "n_nationkey").alias("concept"), F.lower("n_name").alias("gloss"))
+        .unionByName(table(spark, sf, "region").select(F.concat(F.lit("region-"), "r_regionkey").alias("concept"), F.lower("r_name").alias("gloss")))
+        .unionByName(table(spark, sf, "customer").select(F.concat(F.lit("customer-"), "c_custkey").alias("concept"), F.lower("c_mktsegment").alias("gloss")))
+    )
+    return G.rendered(_recognised(spark, sf).select("concept"), names)
+
+
 _QUERIES = (
     a12_closure, a12_information_content, a13_resnik, a11_geometry, f7_distances, f8_attenuation, f9_hop_costs, j10_propagate, g1_spread,
-    g2_discharge, g3_associate, j9_signed, w5_rank_fired, w12_sense_prior, f23_coherent_core,
+    g2_discharge, g3_associate, j9_signed, w5_rank_fired, w12_sense_prior, f23_coherent_core, g4_fired_field, g5_recognise, g6_compose,
 )
 
 
@@ -141,6 +177,13 @@ def oracle_sql():
     spread = f"""{ic}, {seeds},
         climb AS (SELECT s.concept, energy, ancestor, greatest(i.ic - j.ic, 0) AS d FROM seeds s JOIN up ON up.node = s.concept JOIN ic i ON i.node = s.concept JOIN ic j ON j.node = ancestor),
         fired AS (SELECT ancestor AS concept, sum(energy * exp(-d)) AS energy FROM climb WHERE energy >= {GAP} AND d <= {XI} * ln(energy / {GAP}) GROUP BY 1)"""
+    cut = f"""{spread},
+        k AS (SELECT concept, round(energy / sum(energy) OVER (), 9) AS x FROM fired),
+        o AS (SELECT *, row_number() OVER (ORDER BY x DESC, concept) AS rk, count(*) OVER () AS n FROM k),
+        su AS (SELECT *, sum(x) OVER (ORDER BY rk) AS s, sum(x) OVER () AS t, sum(x * x) OVER () AS q FROM o),
+        et AS (SELECT rk, n, rk * (n - rk) / n * (s / rk - (t - s) / (n - rk)) ** 2 / (q - t * t / n) AS e FROM su WHERE rk < n),
+        en AS (SELECT CASE WHEN round(max(e), 12) > round((SELECT max(j * (n - j) / n * (n / 2) ** 2 / (n * (n * n - 1) / 12)) FROM (SELECT rk AS j, n FROM et)), 12) THEN arg_max(rk, e) ELSE any_value(n) END AS k FROM et),
+        lead AS (SELECT o.* FROM o, en WHERE rk <= k)"""
     return {
         "a12_closure": f"WITH RECURSIVE {tree} SELECT * FROM up",
         "a12_information_content": f"WITH RECURSIVE {ic} SELECT node, cum, round(ic, 6) AS ic, round(sqrt((1 - cum / (SELECT max(cum) FROM cum)) / cum), 6) AS se FROM ic",
@@ -168,6 +211,16 @@ def oracle_sql():
             SELECT concept, round(sum(energy), 6) AS energy FROM (SELECT * FROM seeds UNION ALL SELECT * FROM h) GROUP BY 1""",
         "w5_rank_fired": f"""WITH RECURSIVE {spread}
             SELECT concept, round(energy, 6) AS energy, round(energy / sum(energy) OVER (), 6) AS share, round(energy / sum(energy) OVER (), 6) AS rank_score, round(energy * ic, 6) AS salience FROM fired JOIN ic ON node = concept""",
+        "g4_fired_field": f"""WITH RECURSIVE {jc.format(pairs="x.node IN (SELECT sense FROM senses) AND y.node IN (SELECT sense FROM senses)")},
+            sup AS (SELECT a.word, a.sense, a.prior, sum(CASE WHEN b.word <> a.word THEN b.prior * exp(-greatest(jc, 0)) END) AS s FROM senses a JOIN jc ON jc.a = a.sense JOIN senses b ON b.sense = jc.b GROUP BY ALL)
+            SELECT sense, round(bits * coalesce(s, 0) / sum(s) OVER (PARTITION BY word), 6) AS energy FROM sup JOIN words USING (word)""".replace(
+            "WITH RECURSIVE ", """WITH RECURSIVE words AS (SELECT c_mktsegment AS word, -log2(count(*) / (SELECT count(*) FROM customer)) AS bits FROM customer GROUP BY 1),
+            senses AS (SELECT c_mktsegment AS word, 'customer-' || c_custkey AS sense, 1 / row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS prior FROM customer WHERE c_custkey <= 40), """
+        ),
+        "g5_recognise": f"WITH RECURSIVE {cut} SELECT concept, (rk - 1)::INT AS rank, round(x, 6) AS score FROM lead",
+        "g6_compose": f"""WITH RECURSIVE {cut},
+            names AS (SELECT 'nation-' || n_nationkey AS concept, lower(n_name) AS g FROM nation UNION ALL SELECT 'region-' || r_regionkey, lower(r_name) FROM region UNION ALL SELECT 'customer-' || c_custkey, lower(c_mktsegment) FROM customer)
+            SELECT min(concept) AS concept, upper(g[1]) || g[2:] || '.' AS sentence, string_agg(concept, ',' ORDER BY concept) AS cites FROM lead JOIN names USING (concept) GROUP BY g""",
         "w12_sense_prior": """SELECT p_partkey, r AS sense_rank, round(CASE WHEN p_size > 25 THEN 1.0 + p_size ELSE 1 / (1 + r) END, 6) AS prior
             FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS r FROM part)""",
         "f23_coherent_core": f"""WITH RECURSIVE {jc.format(pairs="x.node IN (SELECT name FROM names) AND y.node IN (SELECT anchor FROM anchors)")}

@@ -132,3 +132,25 @@ def test_the_rest_stands_without_the_llm_part():
 
     code = "import sys; sys.modules['tessera.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op1_') for k in q) and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
+
+
+def test_shards_are_landed_once(spark, tmp_path):
+    from tessera.sources import ingest
+
+    source = ingest.Declared("wiki", "t", "x", "i", 5)
+    for n in (1, 2):
+        spark.createDataFrame([(n, "title", "long text"), (n + 10, "t", "no")], "i long, t string, x string").coalesce(1).write.parquet(str(tmp_path / f"in/s{n}"))
+    args = (spark, str(tmp_path / "in/*/*.parquet"), source, str(tmp_path / "out"), str(tmp_path / "marks"))
+    assert ingest.ingest_shards(*args) == 2 and ingest.ingest_shards(*args) == 0
+    rows = spark.read.parquet(str(tmp_path / "out/artifacts")).collect()
+    assert {r.id for r in rows} == {"wiki-1", "wiki-2"} and len({r.content_ref for r in rows}) == 1
+
+
+def test_streams_land_by_address(spark, tmp_path):
+    from tessera.sources import ingest
+
+    (tmp_path / "in").mkdir()
+    for n, t in enumerate(("same", "same", "other")):
+        (tmp_path / "in" / f"{n}.txt").write_text(t)
+    ingest.land_stream(parsers.folder_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out/artifacts")).count() == 3 and spark.read.parquet(str(tmp_path / "out/bodies")).count() == 2

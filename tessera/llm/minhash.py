@@ -20,8 +20,8 @@ pair of blocks is one piece of work, so that no task holds more than two blocks
 and no row stands for a pair. (A group of over LARGE units is dealt bucket by
 bucket instead, and a pair is compared in its first common bucket.) A comparison
 is exact: weighted Jaccard of all shingles of both whole texts. What is linked
-hangs together as a class (connected components by neighbour minimum and pointer
-jumping, every round written to the shared folder).
+hangs together as a class (connected components by contraction, every round
+written to the shared folder).
 
 Defined cases: null counts as empty; a text of one to four words has one shingle
 of all its words; wordless texts have none and are near no other text, but
@@ -329,20 +329,28 @@ def _links(t: pa.Table, hashes: dict[bytes, int]) -> pa.RecordBatch:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, part: the parts that hang together by links (a, b); part is one of their nodes."""
-    both = written(
-        links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both-ways"
-    )
-    label = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("part")), "parts")
+    """node, part: the parts that hang together by links (a, b); part is one of their nodes.
+
+    In every round each node takes the least node within two steps, and the links
+    are redrawn between what was taken; loops and repeats fall out, so that a round
+    has a fraction of the links of the one before.
+    """
+    ends = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = written(links.select(*ends).filter("a <> b").distinct(), "edges")
+    label = None
     while True:
-        at = label.select(F.col("node").alias("b"), F.col("part").alias("near"))
-        least = both.join(at, "b").groupBy("a").agg(F.min("near").alias("near"))
-        lower = label.join(least.withColumnRenamed("a", "node"), "node").select("node", "part", F.least("part", "near").alias("next"))
-        jump = label.select(F.col("node").alias("next"), F.col("part").alias("beyond"))
-        new = written(lower.join(jump, "next").select("node", F.least("next", "beyond").alias("next"), "part"), "parts")
-        if new.filter("next != part").limit(1).count() == 0:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("near"))
+        step = written(both.join(written(near, "near"), "b").groupBy("a").agg(F.min("near").alias("to")).withColumnRenamed("a", "node"), "steps")
+        if label is None:
+            label = step.select("node", F.col("to").alias("part"))
+        else:
+            on = step.select(F.col("node").alias("part"), "to")
+            label = written(label.join(on, "part", "left").select("node", F.coalesce("to", "part").alias("part")), "parts")
+        redrawn = edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
+        edges = written(redrawn.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).filter("a <> b").distinct(), "edges")
+        if edges.limit(1).count() == 0:
             return label
-        label = new.select("node", F.col("next").alias("part"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -381,9 +389,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(F.col("bucket").alias("grp"), F.lit(True).alias("by_bucket"), *columns[2:])
     )
     members = written(by_chain.unionByName(by_bucket), "block-members")
-    links = links.unionByName(_within_blocks(some, members))
-    parts = components(links)
-    placed = reps.join(parts, "node", "left").select("node", "rep", "text_copies", F.coalesce("part", "node").alias("part"))
+    part_of = lambda end, name: parts.select(F.col("node").alias(end), F.col("part").alias(name))
+    more = _within_blocks(some, members).join(part_of("a", "pa"), "a", "left").join(part_of("b", "pb"), "b", "left")
+    merged = components(more.select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b")))
+    placed = (
+        reps.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+        .join(merged.select(F.col("node").alias("part"), F.col("part").alias("whole")), "part", "left")
+        .select("node", "rep", "text_copies", F.coalesce("whole", "part").alias("part"))
+    )
     classes = placed.groupBy("part").agg(F.min("rep").alias("class_id"), F.sum("text_copies").alias("class_size"))
     known = written(placed.join(classes, "part").select(F.col("node").alias("of"), "class_id", "class_size", "text_copies"), "classes")
     return signed.select("doc_id", "node").join(known, F.col("node") == F.col("of")).select("doc_id", "class_id", "class_size", "text_copies")

@@ -13,7 +13,8 @@ bounded size are all a worker holds.
 Defined cases: a null text counts as empty and gives no ids and the empty
 decoding; texts of any length are taken whole; repeated rows are answered one
 by one; other columns are ignored, or kept by ``round_trip``, which replaces
-``text``.
+``text``. Letters that only Unicode 17 assigns are letters here, while the library
+(Unicode 16) takes them for symbols.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import unicodedata
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -140,6 +142,11 @@ class WordBpe:
                 self.cache[piece] = found
         return found
 
+    def forget(self) -> None:
+        """Empty the caches. Python workers outlive a task, and what they keep would add up over the stages of a job."""
+        self.cache.clear()
+        self.word_cache.clear()
+
     def entries(self, text: str) -> list[tuple[str, str, int]]:
         """Entries of the pieces that have tokens. No word, no composition of letters and no special token crosses a blank."""
         out: list[tuple[str, str, int]] = []
@@ -178,11 +185,17 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(file)
-        for b in batches:
-            ids = [bpe.encode(t or "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64())], ["doc_id", "token_ids", "n_tokens"]
-            )
+        try:
+            for whole in batches:
+                for k in range(0, whole.num_rows, 512):
+                    b = whole.slice(k, 512)
+                    ids = [np.array(bpe.encode(t.as_py() or ""), np.int32) for t in b.column(1)]
+                    lengths = np.array([len(x) for x in ids], np.int64)
+                    ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+                    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))
+                    yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(lengths)], ["doc_id", "token_ids", "n_tokens"])
+        finally:
+            bpe.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, token_ids array<int>, n_tokens long"
@@ -211,17 +224,20 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(file)
         hexed = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
-        for b in batches:
-            n, ids, decoded = [], [], []
-            for t in b.column(1):
-                found = bpe.entries(t.as_py() or "")
-                n.append(sum([e[2] for e in found]))
-                ids.append(hexed(" ".join([e[0] for e in found])))
-                decoded.append(hexed(" ".join([e[1] for e in found])))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        try:
+            for b in batches:
+                n, ids, decoded = [], [], []
+                for t in b.column(1):
+                    found = bpe.entries(t.as_py() or "")
+                    n.append(sum([e[2] for e in found]))
+                    ids.append(hexed(" ".join([e[0] for e in found])))
+                    decoded.append(hexed(" ".join([e[1] for e in found])))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+        finally:
+            bpe.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

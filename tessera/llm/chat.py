@@ -180,14 +180,17 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
             return pa.RecordBatch.from_arrays(arrays, ["conv_id", "nth", "text", "targets", "n_new", "n_turns", "n_tokens"])
 
         size = 0
-        for conv, nth, w in _format(batches, file, budget, history):
-            rows.append((conv, nth, w.text, w.targets, w.n_new, w.n_turns, w.n_tokens))
-            size += len(w.text)
-            if len(rows) >= 1000 or size > 4_000_000:
+        try:
+            for conv, nth, w in _format(batches, file, budget, history):
+                rows.append((conv, nth, w.text, w.targets, w.n_new, w.n_turns, w.n_tokens))
+                size += len(w.text)
+                if len(rows) >= 1000 or size > 4_000_000:
+                    yield batch()
+                    rows, size = [], 0
+            if rows:
                 yield batch()
-                rows, size = [], 0
-        if rows:
-            yield batch()
+        finally:
+            bpe.load(file).forget()
 
     return _sorted(conversations).mapInArrow(run, WINDOWS)
 

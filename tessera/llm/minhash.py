@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,7 +59,7 @@ GROUP = 256
 #: Units (a node has one, and one more per UNIT_WORDS words) in a block, and in a group that is not dealt by buckets.
 BLOCK, LARGE, UNIT_WORDS = 512, 4096, 4000
 #: Words whose hashes a worker keeps; at the bound it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _cdfs: dict[float, np.ndarray] = {}
@@ -189,14 +190,26 @@ def node_of(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of (doc_id, node, text) in portions of 256 rows and about 4 MB of text, so that long texts need no more memory than short ones."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()
+    start = n = 0
+    for i, size in enumerate(sizes):
+        if i > start and (i - start >= 256 or n + size > 4_000_000):
+            yield batch.slice(start, i - start)
+            start, n = i, 0
+        n += size
+    if sizes:
+        yield batch.slice(start)
+
+
 def sign(texts: DataFrame) -> DataFrame:
     """doc_id, node, weight, bands, sig of (doc_id, node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                b = whole.slice(start, 256)
+            for b in _portions(whole):
                 nodes = b.column(1).to_pylist()
                 first = {n: i for i, n in reversed(list(enumerate(nodes)))}
                 at = sorted(first.values())
@@ -217,7 +230,8 @@ def sign(texts: DataFrame) -> DataFrame:
 
 def _with_centre(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The similar ones of pairs (a, b): a's text meets the texts of its partners in groups of bounded size."""
-    groups = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("groups", F.ceil(F.col("n") / GROUP).cast("int"))
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.ceil(F.col("n") / GROUP).cast("int").alias("groups"))
+    groups = written(counts, "centres")  # then the join below meets two plain scans, and a hot centre's side can be split
     sized = pairs.join(groups, "a")
     group = F.pmod(F.xxhash64("b"), F.col("groups")).cast("int")
     members = sized.select(F.col("b").alias("of"), F.col("a").alias("centre"), group.alias("grp"), F.lit(1).alias("kind"))

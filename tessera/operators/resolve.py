@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Vectors in a block of a cosine search.
+QUERY_BLOCK, HELD_BLOCK = 4_000, 20_000
+
 
 def _eta(df: DataFrame, key: str, x: str, rank: str, n: Column) -> DataFrame:
     """(key, k, eta2) for every split after the k-th value; null variance gives no split."""
@@ -76,11 +79,40 @@ def cells(vectors: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def top_by_cosine(queries: DataFrame, held: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, rank, score): per query the k nearest vectors of its probed cells. queries (query_id, qvec, cell), one row per probed cell; held (id, vec, cell)."""
-    q = queries.select("query_id", unit(F.col("qvec")).alias("q"), "cell")
-    pairs = held.select("id", unit(F.col("vec")).alias("v"), "cell").join(q, "cell").select("query_id", "id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
+    """(query_id, id, score, rank): per query the k nearest of all held vectors by cosine; ties by id, vectors without a cosine last. queries (query_id, qvec); held (id, vec).
+
+    Every block of queries meets every block of held vectors in a task of its
+    own, which gives the k best of that block, so no row is made per pair.
+    """
+    n_q, n_h = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (held, HELD_BLOCK)))
+    deal = lambda ident, n: F.pmod(F.xxhash64(ident), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("query_id", unit(F.col("qvec")).alias("q"), deal("query_id", n_q).alias("qb"), every(n_h).alias("hb"))
+    h = held.select("id", unit(F.col("vec")).alias("v"), deal("id", n_h).alias("hb"), every(n_q).alias("qb"))
+
+    def best(left, right):
+        right = right.sort_values("id")
+        out = {"query_id": [], "id": [], "score": []}
+        ids = right["id"].to_numpy()
+        width = next((len(v) for v in [*left["q"], *right["v"]] if v is not None), 1)
+        matrix = lambda vs: np.array([np.full(width, np.nan) if v is None else v for v in vs], float).reshape(-1, width)
+        names, x, y = left["query_id"].to_numpy(), matrix(left["q"]), matrix(right["v"]).T
+        for at in range(0, len(x) if len(ids) else 0, 256):
+            s = np.round(x[at : at + 256] @ y, 6)
+            s[np.isnan(s)] = -2
+            rows = np.arange(len(s))
+            for _ in range(min(k, len(ids))):
+                j = s.argmax(axis=1)  # the first of equal ones, so the least id
+                out["query_id"].append(names[at : at + 256])
+                out["id"].append(ids[j])
+                out["score"].append(np.where(s[rows, j] < -1.5, np.nan, s[rows, j]))
+                s[rows, j] = -3
+        return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()})
+
+    kinds = [f"{n} {dict(df.dtypes)[n]}" for df, n in ((q, "query_id"), (h, "id"))]
+    near = q.groupBy("qb", "hb").cogroup(h.groupBy("qb", "hb")).applyInPandas(best, f"{kinds[0]}, {kinds[1]}, score double")
     r = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")) - 1
-    return pairs.withColumn("rank", r).filter(F.col("rank") < k)
+    return near.withColumn("score", F.when(~F.isnan("score"), F.col("score"))).withColumn("rank", r).filter(F.col("rank") < k)
 
 
 def belonging(frames: DataFrame, key: str, ident: str, vec: str) -> DataFrame:

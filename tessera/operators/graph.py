@@ -178,13 +178,23 @@ def fired_field(words: DataFrame, senses: DataFrame, above: DataFrame, ic: DataF
     words (word, bits); senses (word, sense, prior). Support is the prior-weighted
     similarity exp(-distance) to all senses of other words; a word whose senses
     get none is split by its priors. A sense of several words adds them up.
+    The sums go up the tree once, so no pair of senses is made.
     """
     s = senses.join(words, "word")
     a = s.select("word", "sense", "prior", "bits", F.col("sense").alias("a"))
-    b = s.select(F.col("word").alias("other"), F.col("sense").alias("b"), F.col("prior").alias("weight"))
-    pairs = a.join(b, F.col("word") != F.col("other")).select("word", "a", "b", "weight")
-    near = distances(pairs, above, ic)
-    support = pairs.join(near, ["a", "b"]).groupBy("word", "a").agg(F.sum(F.col("weight") * F.exp(-F.greatest("jc", F.lit(0.0)))).alias("support"))
+    own_ic = F.max(F.when(F.col("up") == 0, F.col("anc_ic"))).over(W.partitionBy("word", "a"))
+    climb = (
+        s.join(above, F.col("sense") == F.col("node")).join(ic.select(F.col("node").alias("ancestor"), F.col("ic").alias("anc_ic")), "ancestor")
+        .select("word", F.col("sense").alias("a"), "prior", "ancestor", "up", "anc_ic").withColumn("own_ic", own_ic).withColumn("m", F.col("prior") * F.exp(-F.col("own_ic")))
+    )
+    under = climb.groupBy("ancestor", "word").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("n"))
+    here = lambda c: F.sum(c).over(W.partitionBy("ancestor")) - F.col(c)
+    others = under.select("ancestor", "word", here("n").alias("n"), F.when(here("n") > 0, here("m")).otherwise(0.0).alias("m"))
+    # senses of other words whose lowest common ancestor with a is this one: those under it less those under the one below
+    below = W.partitionBy("word", "a").orderBy("up")
+    less = lambda c: F.col(c) - F.coalesce(F.lag(c).over(below), F.lit(0))
+    met = climb.drop("m").join(others, ["ancestor", "word"]).select("word", "a", (2 * F.col("anc_ic") - F.col("own_ic")).alias("e"), less("n").alias("n"), less("m").alias("m")).filter("n > 0")
+    support = met.groupBy("word", "a").agg(F.sum(F.col("m") * F.exp("e")).alias("support"))
     per = W.partitionBy("word")
     full = a.join(support, ["word", "a"], "left").withColumn("support", F.coalesce("support", F.lit(0.0)))
     total, prior = F.sum("support").over(per), F.sum("prior").over(per)

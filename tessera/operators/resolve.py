@@ -35,8 +35,8 @@ def ramp_eta(n: Column) -> Column:
     """The greatest eta squared of the ramp n, n - 1, ..., 1, over all splits."""
     def at(k: Column) -> Column:
         # means of the two parts of a ramp differ by n / 2 whatever the split is
-        total = n * (n * n - 1) / 12
-        return k * (n - k) / n * (n / 2) * (n / 2) / total
+        x = n.cast("double")
+        return k * (x - k) / x * (x / 2) * (x / 2) / (x * (x * x - 1) / 12)
 
     return F.array_max(F.transform(F.sequence(F.lit(1), n - 1), lambda k: at(k.cast("double"))))
 

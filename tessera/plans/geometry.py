@@ -19,10 +19,9 @@ def _tree(spark, sf):
     return tree, above, G.information_content(tree, above)
 
 
-def _seeds(spark, sf, n=25):
-    """The customers with the least keys as seeds, with energies of one upwards."""
-    c = table(spark, sf, "customer").filter(F.col("c_custkey") <= n)
-    return c.select(F.concat(F.lit("customer-"), "c_custkey").alias("concept"), (1 + F.col("c_custkey") / 10).alias("energy"))
+def _seeds(spark, sf):
+    """All customers as seeds, with energies of one upwards."""
+    return table(spark, sf, "customer").select(F.concat(F.lit("customer-"), "c_custkey").alias("concept"), (1 + F.col("c_custkey") / 10).alias("energy"))
 
 
 def a12_closure(spark, sf):
@@ -82,12 +81,12 @@ def g2_discharge(spark, sf):
 
 
 def g3_associate(spark, sf):
-    s = table(spark, sf, "supplier").filter("s_suppkey <= 10").select(F.concat(F.lit("supplier-"), "s_suppkey").alias("concept"), F.lit(1.0).alias("energy"))
+    s = table(spark, sf, "supplier").select(F.concat(F.lit("supplier-"), "s_suppkey").alias("concept"), F.lit(1.0).alias("energy"))
     return G.associate(s, edges(spark, sf), XI, 0.01).select("concept", F.round("energy", 6).alias("energy"))
 
 
 def j9_signed(spark, sf):
-    s = table(spark, sf, "supplier").filter("s_suppkey <= 10").select(F.concat(F.lit("supplier-"), "s_suppkey").alias("concept"), F.lit(1.0).alias("energy"))
+    s = table(spark, sf, "supplier").select(F.concat(F.lit("supplier-"), "s_suppkey").alias("concept"), F.lit(1.0).alias("energy"))
     signs = spark.createDataFrame([("based_in", 1.0), ("supplies", -0.5)], "label string, sign double")
     return G.signed_sum(s, edges(spark, sf), signs).select("concept", F.round("energy", 6).alias("energy"))
 
@@ -111,14 +110,14 @@ def w12_sense_prior(spark, sf):
 def f23_coherent_core(spark, sf):
     """Customers by market segment and key decade, held against the first customer of each group."""
     tree, above, ic = _tree(spark, sf)
-    c = table(spark, sf, "customer").filter("c_custkey <= 200").select(F.concat("c_mktsegment", F.lit("-"), F.floor(F.col("c_custkey") / 20)).alias("grp"), "c_custkey")
+    c = table(spark, sf, "customer").select(F.concat("c_mktsegment", F.lit("-"), F.floor(F.col("c_custkey") / 20)).alias("grp"), "c_custkey")
     names = c.select("grp", F.concat(F.lit("customer-"), "c_custkey").alias("name"))
     anchors = c.groupBy("grp").agg(F.min("c_custkey").alias("k")).select("grp", F.concat(F.lit("customer-"), "k").alias("anchor"))
     return G.coherent_core(names, anchors, above, ic, 8.5).select("grp", "name", F.round("d", 6).alias("d"))
 
 
 def g4_fired_field(spark, sf):
-    """Market segments as words, forty customers as their senses, priors by rank."""
+    """Market segments as words, customers as their senses, priors by rank."""
     from pyspark.sql import Window as W
 
     _, above, ic = _tree(spark, sf)
@@ -126,7 +125,7 @@ def g4_fired_field(spark, sf):
     n = c.groupBy(F.col("c_mktsegment").alias("word")).agg(F.count(F.lit(1)).alias("n"))
     words = n.select("word", (-F.log2(F.col("n") / F.sum("n").over(W.partitionBy()))).alias("bits"))
     rank = F.row_number().over(W.partitionBy("c_mktsegment").orderBy("c_custkey"))
-    senses = c.filter("c_custkey <= 40").select(F.col("c_mktsegment").alias("word"), F.concat(F.lit("customer-"), "c_custkey").alias("sense"), (1 / rank).alias("prior"))
+    senses = c.select(F.col("c_mktsegment").alias("word"), F.concat(F.lit("customer-"), "c_custkey").alias("sense"), (1 / rank).alias("prior"))
     return G.fired_field(words, senses, above, ic).select("sense", F.round("energy", 6).alias("energy"))
 
 

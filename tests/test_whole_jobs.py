@@ -1,11 +1,14 @@
 """Queries do their whole job: against brute force that knows no cut."""
 
+import math
+from pathlib import Path
+
 import numpy as np
 import pytest
 
 from tessera.model import table
-from tessera.operators import resolve
-from tessera.plans import signals
+from tessera.operators import graph, resolve
+from tessera.plans import registry, signals
 
 
 @pytest.fixture(params=[(4_000, 20_000), (3, 70)])
@@ -33,3 +36,68 @@ def test_cosine_top_of_ties_zero_and_null_vectors(spark, blocks):
     held = spark.createDataFrame(v, "id long, vec array<double>")
     got = resolve.top_by_cosine(held.selectExpr("id AS query_id", "vec AS qvec").filter("id IN (1, 2)"), held, 4).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.id, r.score) for r in got] == [(1, 1, 1.0), (1, 3, 1.0), (1, 5, 0.0), (1, 2, None), (2, 1, None), (2, 2, None), (2, 3, None), (2, 4, None)]
+
+
+def whole_sql(name, cuts, sf):
+    """Rows of the query's SQL without its restriction, on the small tables."""
+    import duckdb
+
+    sql = registry.oracle_sql()[name]
+    for cut, instead in cuts.items():
+        assert cut in sql
+        sql = sql.replace(cut, instead)
+    con = duckdb.connect()
+    for path in Path(sf).glob("*.parquet"):
+        con.sql(f"CREATE VIEW {path.stem} AS FROM '{path}'")
+    rel = con.sql(sql)
+    return rel.columns, rel.fetchall()
+
+
+def same(df, columns, rows, digits=6):
+    assert df.columns == list(columns)
+    near = lambda r: (tuple(x for x in r if not isinstance(x, float)), [x for x in r if isinstance(x, float)])
+    got, want = sorted(map(near, map(tuple, df.collect())), key=str), sorted(map(near, rows), key=str)
+    assert len(got) == len(want) > 0
+    for (a, x), (b, y) in zip(got, want):
+        assert a == b and x == pytest.approx(y, rel=1e-9, abs=2 * 10**-digits)
+
+
+CUSTOMERS, SUPPLIERS = {" WHERE c_custkey <= 25": ""}, {" WHERE s_suppkey <= 10": ""}
+
+
+@pytest.mark.parametrize("name,cuts", [
+    ("j10_propagate", CUSTOMERS), ("g1_spread", CUSTOMERS), ("g2_discharge", CUSTOMERS), ("w5_rank_fired", CUSTOMERS), ("g5_recognise", CUSTOMERS),
+    ("g6_compose", CUSTOMERS), ("g3_associate", SUPPLIERS), ("j9_signed", SUPPLIERS), ("f23_coherent_core", {" WHERE c_custkey <= 200": ""}),
+    ("g4_fired_field", {" WHERE c_custkey <= 40": ""}),
+])
+def test_geometry_starts_from_all(spark, sf, name, cuts):
+    sf = sf.replace("0.001", "0.01") if name in ("g3_associate", "j9_signed", "f23_coherent_core") else sf
+    same(registry.queries()[name](spark, sf), *whole_sql(name, cuts, sf))
+
+
+def test_fired_field_of_shared_inner_and_unsupported_senses(spark):
+    """Against the sum over all pairs; the words x and y have only senses of their own under the tree."""
+    tree = spark.createDataFrame([("r", None, 0), ("p", "r", 1), ("q", "r", 4), ("a", "p", 3), ("b", "p", 2), ("c", "q", 5), ("d", "q", 1)], "node string, parent string, own long")
+    above = graph.closure(tree, 2)
+    ic = graph.information_content(tree, above)
+    senses = [("u", "a", 1.0), ("u", "p", 0.5), ("v", "a", 0.7), ("v", "c", 1.0), ("w", "gone", 0.4), ("w", "away", 0.1)]
+    got = {r.sense: r.energy for r in graph.fired_field(
+        spark.createDataFrame([("u", 2.0), ("v", 3.0), ("w", 5.0)], "word string, bits double"), spark.createDataFrame(senses, "word string, sense string, prior double"), above, ic,
+    ).collect()}
+    info, ups = {r.node: r.ic for r in ic.collect()}, {}
+    for r in above.collect():
+        ups.setdefault(r.node, set()).add(r.ancestor)
+    sim = lambda a, b: math.exp(-max(0, info[a] + info[b] - 2 * max(info[x] for x in ups[a] & ups[b]))) if a in ups and b in ups else 0.0
+    want = {}
+    for word, bits in (("u", 2.0), ("v", 3.0), ("w", 5.0)):
+        own = [(s, p, sum(q * sim(s, t) for v, t, q in senses if v != word)) for w, s, p in senses if w == word]
+        total, prior = sum(x[2] for x in own), sum(x[1] for x in own)
+        for s, p, x in own:
+            want[s] = want.get(s, 0) + bits * (x / total if total else p / prior)
+    assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_signal_end_of_a_long_list(spark):
+    scores = spark.range(15_000).selectExpr("0 AS q", "id", "CASE WHEN id < 7000 THEN 1.0D ELSE 0.0D END AS score")
+    row = resolve.signal_end(scores, "q", "score", "id").first()
+    assert (row.n, row.k, row.separated) == (15_000, 7_000, True) and row.null_eta2 == pytest.approx(0.75, abs=1e-6)

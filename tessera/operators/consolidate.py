@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from tessera.model import RUNGS
 
+#: Ids in a block of a candidate search, and anchors in a matrix of it.
+ID_BLOCK, ANCHORS = 2_000, 1_024
+
 
 def exact_groups(artifacts: DataFrame) -> DataFrame:
     """(id, canonical, archived): of equal content the least id stays."""
@@ -52,10 +55,41 @@ def anchors(edges: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def candidates(edges: DataFrame, labels: list[str], least_shared: int = 1) -> DataFrame:
-    """(a, b, shared): pairs of ids that share anchors, a < b. Anchors of equal fan-out lists are joined on the anchor itself."""
+    """(a, b, shared): pairs of ids that share anchors, a < b.
+
+    Ids are dealt to blocks and every two blocks meet in one task, which counts
+    by products of incidence matrices; so a hot anchor makes no row per pair.
+    """
     e = edges.filter(F.col("label").isin(labels)).select("src", "dst").distinct()
-    a, b = e.select("src", F.col("dst").alias("a")), e.select("src", F.col("dst").alias("b"))
-    return a.join(b, "src").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least_shared)
+    n = max(1, -(-e.select("dst").distinct().count() // ID_BLOCK))
+    own = e.withColumn("block", F.pmod(F.xxhash64("dst"), F.lit(n)).cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
+    dealt = own.select("src", "dst", "block", F.explode(meet).alias("at")).select("src", "dst", "block", "at.x", "at.y")
+
+    def count(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = key
+        anchor, _ = pd.factorize(pdf["src"])
+        sides = []
+        for side in (x, y):
+            rows = pdf["block"].to_numpy() == side
+            at, ids = pd.factorize(pdf["dst"].to_numpy()[rows])
+            sides.append((at, np.asarray(ids, object), anchor[rows]))
+        (at, ids, of), (bt, jds, og) = sides
+        shared = np.zeros((len(ids), len(jds)), np.int32)
+        for low in range(0, int(anchor.max()) + 1, ANCHORS):
+            a, b = np.zeros((len(ids), ANCHORS), np.float32), np.zeros((len(jds), ANCHORS), np.float32)
+            for m, t, o in ((a, at, of), (b, bt, og)):
+                here = (o >= low) & (o < low + ANCHORS)
+                m[t[here], o[here] - low] = 1
+            shared += (a @ b.T).astype(np.int32)
+        i, j = np.nonzero(shared >= max(1, least_shared))
+        once = ids[i] < jds[j] if x == y else ids[i] != jds[j]
+        i, j = i[once], j[once]
+        first, second = ids[i], jds[j]
+        swap = first > second
+        return pd.DataFrame({"a": np.where(swap, second, first), "b": np.where(swap, first, second), "shared": shared[i, j].astype(np.int64)})
+
+    return dealt.groupBy("x", "y").applyInPandas(count, "a string, b string, shared long")
 
 
 def relates_to(edges: DataFrame, horizon: float, skip: tuple[str, ...] = ("part_of",)) -> DataFrame:

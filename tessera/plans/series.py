@@ -108,10 +108,10 @@ def k1_minted(spark, sf):
 
 
 def k2_absent_edges(spark, sf):
-    """Supply edges of the first fifty parts that are not stored for suppliers up to 50."""
+    """Supply edges that are not stored, where those of suppliers with a positive balance are."""
     e = edges(spark, sf).filter("label = 'supplies'").select("src", "dst", "label")
-    stored = e.filter(F.substring("src", 10, 9).cast("int") <= 50)
-    return writers.absent_edges(e.filter(F.substring("dst", 6, 9).cast("int") <= 50), stored)
+    solvent = table(spark, sf, "supplier").filter("s_acctbal > 0").select(F.concat(F.lit("supplier-"), "s_suppkey").alias("src"))
+    return writers.absent_edges(e, e.join(solvent, "src", "left_semi"))
 
 
 def k14_memory_ids(spark, sf):

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tessera.model import table
-from tessera.operators import graph, resolve
+from tessera.operators import consolidate, graph, resolve
 from tessera.plans import registry, signals
 
 
@@ -101,3 +101,19 @@ def test_signal_end_of_a_long_list(spark):
     scores = spark.range(15_000).selectExpr("0 AS q", "id", "CASE WHEN id < 7000 THEN 1.0D ELSE 0.0D END AS score")
     row = resolve.signal_end(scores, "q", "score", "id").first()
     assert (row.n, row.k, row.separated) == (15_000, 7_000, True) and row.null_eta2 == pytest.approx(0.75, abs=1e-6)
+
+
+@pytest.mark.parametrize("size", [2_000, 60])
+def test_candidates_of_all_anchors(spark, sf, monkeypatch, size):
+    monkeypatch.setattr(consolidate, "ID_BLOCK", size)
+    monkeypatch.setattr(consolidate, "ANCHORS", 7)
+    cut = " AND src IN ('supplier-1', 'supplier-2', 'supplier-3', 'supplier-4', 'supplier-5', 'supplier-6', 'supplier-7', 'supplier-8')"
+    same(registry.queries()["j3_candidates"](spark, sf), *whole_sql("j3_candidates", {cut: ""}, sf))
+
+
+def test_absent_edges_of_all_parts(spark, sf):
+    sf = sf.replace("0.001", "0.01")
+    poor = {r.s_suppkey for r in table(spark, sf, "supplier").collect() if r.s_acctbal <= 0}
+    pairs = {(r.l_suppkey, r.l_partkey) for r in table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").collect()}
+    want = sorted((f"supplier-{s}", f"part-{p}", "supplies") for s, p in pairs if s in poor)
+    assert want and sorted(map(tuple, registry.queries()["k2_absent_edges"](spark, sf).collect())) == want

@@ -182,7 +182,7 @@ def frame_reads(frames: DataFrame, key: str, order: str, vec: str) -> DataFrame:
         s = np.linalg.svd(m, compute_uv=False) ** 2
         rows = m[np.linalg.norm(m, axis=1) > 0]
         rows = rows / np.linalg.norm(rows, axis=1, keepdims=True)
-        own = np.linalg.eigvalsh(rows @ rows.T)
+        own = np.linalg.eigvalsh(rows.T @ rows if len(rows) > f else rows @ rows.T)  # both have the same positive eigenvalues
         z = m - m.mean(axis=0)
         sd = z.std(axis=0)
         z = z[:, sd > 0] / sd[sd > 0]

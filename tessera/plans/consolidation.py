@@ -101,7 +101,7 @@ def g14_merge(spark, sf):
 def a17_vector_sum(spark, sf):
     e = table(spark, sf, "embeddings").select("label", "embedding")
     v = C.vector_sum(e, "label", "embedding")
-    return v.select("label", "n", F.explode(F.slice(F.transform("position", lambda x, i: F.struct(i.alias("i"), F.round(x, 4).alias("x"))), 1, 4)).alias("s")).select("label", "n", F.col("s.i").alias("i"), F.col("s.x").alias("x"))
+    return v.select("label", "n", F.explode(F.transform("position", lambda x, i: F.struct(i.alias("i"), F.round(x, 4).alias("x")))).alias("s")).select("label", "n", F.col("s.i").alias("i"), F.col("s.x").alias("x"))
 
 
 def u2_smoothed_edges(spark, sf):

@@ -67,21 +67,20 @@ def f6_hash_embedding(spark, sf):
 
 
 def a18_pooled_gram(spark, sf):
-    """Products of the first eight elements, pooled per label."""
-    g = R.gram(_vectors(spark, sf).select("label", F.slice("vec", 1, 8).alias("vec")), "label", "vec")
+    """Products of all elements, pooled per label."""
+    g = R.gram(_vectors(spark, sf), "label", "vec")
     return g.select("label", "i", "j", "n", (F.round("xx", 4) + 0.0).alias("xx"))
 
 
 def f15_frame_reads(spark, sf):
-    r = R.frame_reads(_vectors(spark, sf).select("label", "id", F.slice("vec", 1, 16).alias("vec")), "label", "id", "vec")
+    r = R.frame_reads(_vectors(spark, sf), "label", "id", "vec")
     return r.select("label", "rows", "modes", *[F.round(c, 6).alias(c) for c in ("focus", "coherence", "edge")])
 
 
 def f18_route_by_coupling(spark, sf):
     """Frames of vectors routed over three fixed bases."""
-    v = _vectors(spark, sf).select("label", "id", F.slice("vec", 1, 6).alias("vec"))
-    eye = lambda *at: [[1.0 if i == a else 0.0 for i in range(6)] for a in at]
-    r = R.route_by_coupling(v, {"first": eye(0, 1), "second": eye(2, 3), "third": eye(4, 5)}, "label", "id", "vec")
+    eye = lambda *at: [[1.0 if i == a else 0.0 for i in range(64)] for a in at]
+    r = R.route_by_coupling(_vectors(spark, sf), {"first": eye(0, 1), "second": eye(2, 3), "third": eye(4, 5)}, "label", "id", "vec")
     return r.select("label", "step", "basis", F.round("absorbed", 6).alias("absorbed"), F.round("residual", 6).alias("residual"))
 
 
@@ -97,8 +96,8 @@ def o8_jackknife(spark, sf):
 
 
 def o9_spectral_distance(spark, sf):
-    """Distance of neighbouring vectors over their first ten elements."""
-    v = _vectors(spark, sf).select("id", F.slice("vec", 1, 10).alias("a"))
+    """Distance of neighbouring vectors."""
+    v = _vectors(spark, sf).select("id", F.col("vec").alias("a"))
     near = v.select((F.col("id") - 1).alias("id"), F.col("a").alias("b"))
     d = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2)), F.lit(0.0), lambda s, q: s + q))
     return v.join(near, "id").select("id", F.round(d, 6).alias("distance"))

@@ -117,3 +117,34 @@ def test_absent_edges_of_all_parts(spark, sf):
     pairs = {(r.l_suppkey, r.l_partkey) for r in table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").collect()}
     want = sorted((f"supplier-{s}", f"part-{p}", "supplies") for s, p in pairs if s in poor)
     assert want and sorted(map(tuple, registry.queries()["k2_absent_edges"](spark, sf).collect())) == want
+
+
+@pytest.mark.parametrize("name,cuts", [
+    ("a18_pooled_gram", {"range(1, 9)": "range(1, 65)"}), ("o9_spectral_distance", {"[1:10]": ""}), ("a17_vector_sum", {"range(1, 5)": "range(1, 65)"}),
+])
+def test_vectors_are_read_whole(spark, sf, name, cuts):
+    same(registry.queries()[name](spark, sf), *whole_sql(name, cuts, sf), digits=4)
+
+
+def test_frames_of_whole_vectors(spark, sf):
+    by = {}
+    for r in table(spark, sf, "embeddings").orderBy("vec_id").collect():
+        by.setdefault(r.label, []).append(r.embedding)
+    by = {k: np.array(v, float) for k, v in by.items()}
+    reads = {r.label: r for r in registry.queries()["f15_frame_reads"](spark, sf).collect()}
+    routed = registry.queries()["f18_route_by_coupling"](spark, sf).collect()
+    assert set(reads) == {r.label for r in routed} == set(by)
+    for label, m in by.items():
+        s = np.linalg.svd(m, compute_uv=False) ** 2
+        u = m / np.linalg.norm(m, axis=1, keepdims=True)
+        own = np.linalg.eigvalsh(u @ u.T)
+        corr = np.linalg.eigvalsh(np.corrcoef(m.T))
+        edge = (1 + np.sqrt(64 / len(m))) ** 2
+        r = reads[label]
+        assert (r.rows, r.modes) == (len(m), (corr > edge).sum())
+        assert (r.focus, r.coherence, r.edge) == pytest.approx((s[0] / s.sum(), own[-1] / own.sum(), edge), abs=2e-6)
+        left, energy = (m**2).sum(), {n: (m[:, i : i + 2] ** 2).sum() for n, i in (("first", 0), ("second", 2), ("third", 4))}
+        for x in sorted((x for x in routed if x.label == label), key=lambda x: x.step):
+            assert x.basis == max(energy, key=energy.get)
+            left -= energy[x.basis]
+            assert (x.absorbed, x.residual) == pytest.approx((energy.pop(x.basis), left), abs=1e-5)

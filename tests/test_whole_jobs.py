@@ -1,6 +1,7 @@
 """Queries do their whole job: against brute force that knows no cut."""
 
 import math
+import re
 from pathlib import Path
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 
 from tessera.model import table
 from tessera.operators import consolidate, graph, resolve
-from tessera.plans import registry, signals
+from tessera.plans import lexical, registry, signals
 
 
 @pytest.fixture(params=[(4_000, 20_000), (3, 70)])
@@ -148,3 +149,19 @@ def test_frames_of_whole_vectors(spark, sf):
             assert x.basis == max(energy, key=energy.get)
             left -= energy[x.basis]
             assert (x.absorbed, x.residual) == pytest.approx((energy.pop(x.basis), left), abs=1e-5)
+
+
+def test_all_terms_means_all_terms(spark, sf):
+    words = lambda s: re.findall(r"[^\W_]+", (s or "").lower())
+    docs = {r.doc_id: set(words(r.text)) for r in table(spark, sf, "documents").collect()}
+    want = {(r.item_id, i) for r in table(spark, sf, "benchmark").collect() for i, w in docs.items() if w >= set(words(r.text))}
+    got = {(r.query_id, r.id) for r in registry.queries()["g20_bm25_all_terms"](spark, sf).collect()}
+    per = lambda pairs, q: {i for p, i in pairs if p == q}
+    assert got <= want and all(len(per(got, q)) == min(10, len(per(want, q))) for q, _ in want)
+
+
+def test_short_items_are_found_in_documents(spark):
+    long = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, f"zero {long} twelve"), (2, "two three"), (3, "nine ten"), (4, None), (5, "three two")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, long), (2, "two three"), (3, "ten"), (4, "two four"), (5, ""), (6, None)], "item_id long, text string")
+    assert {tuple(r) for r in lexical._holding(docs, items).collect()} == {(1, 1), (2, 1), (2, 2), (3, 1), (3, 3)}

@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .exact_dedup import digest
 
 WINDOW = 10
 #: Tokens after which a segment is closed; a longer document is a segment of its own.
@@ -51,8 +52,9 @@ _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 
-SEGMENT = "segment string, doc_ids array<long>, starts binary, lengths binary, terms binary, counts binary, positions binary"
-HITS = "segment string, nth int, doc_id long, n_words long, spans array<struct<start:long,stop:long>>, item_ids array<string>"
+SEGMENT = "segment string, doc_ids array<{id}>, starts binary, lengths binary, terms binary, counts binary, positions binary"
+HITS = "segment string, nth int, doc_id {id}, n_words long, spans array<struct<start:long,stop:long>>, item_ids array<string>"
+ARROW = {"long": pa.int64(), "string": pa.string()}
 
 
 def words(text: str | None) -> list[bytes]:
@@ -70,15 +72,15 @@ def _segment(name: str, ids: list, tokens: list[np.ndarray], terms: dict[bytes,
     return [name, ids, starts.tobytes(), lengths.tobytes(), pack(b" ".join(terms)), pack(counts.tobytes()), pack(places[order].astype(np.int64).tobytes())]
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index of docs, written to the shared folder: one row per segment."""
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_type: str = "long") -> DataFrame:
+    """The index of docs, written to the shared folder: one row per segment. Ids are long or string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, serial = TaskContext.get().partitionId(), count()
         schema = pa.schema(
-            [("segment", pa.string()), ("doc_ids", pa.list_(pa.int64()))]
+            [("segment", pa.string()), ("doc_ids", pa.list_(ARROW[id_type]))]
             + [(n, pa.binary()) for n in ("starts", "lengths", "terms", "counts", "positions")]
         )
 
@@ -102,8 +104,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if ids:
             yield emit(ids, tokens, terms)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return written(texts.mapInArrow(run, SEGMENT), "positional-index")
+    texts = docs.select(F.col(id_col).cast(id_type).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return written(texts.mapInArrow(run, SEGMENT.format(id=id_type)), "positional-index")
 
 
 def phrases_of(items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> dict[tuple[bytes, ...], set[str]]:
@@ -183,6 +185,7 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
 
 def _search_block(index: DataFrame, phrases: dict[tuple[bytes, ...], set[str]], slop: int) -> DataFrame:
     shared = index.sparkSession.sparkContext.broadcast(phrases)
+    id_type = "string" if dict(index.dtypes)["doc_ids"] == "array<string>" else "long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sought = Phrases(shared.value)
@@ -218,7 +221,7 @@ def _search_block(index: DataFrame, phrases: dict[tuple[bytes, ...], set[str]],
                     [
                         pa.array([name] * n, pa.string()),
                         pa.array(range(n), pa.int32()),
-                        pa.array(ids, pa.int64()),
+                        pa.array(ids, ARROW[id_type]),
                         pa.array(lengths),
                         pa.array([spans.get(d, []) for d in range(n)], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
                         pa.array([sorted(items[d]) if d in items else [] for d in range(n)], pa.list_(pa.string())),
@@ -226,7 +229,7 @@ def _search_block(index: DataFrame, phrases: dict[tuple[bytes, ...], set[str]],
                     ["segment", "nth", "doc_id", "n_words", "spans", "item_ids"],
                 )
 
-    return index.mapInArrow(run, HITS)
+    return index.mapInArrow(run, HITS.format(id=id_type))
 
 
 def merged(hits: DataFrame) -> DataFrame:
@@ -270,7 +273,9 @@ def report(found: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without a benchmark window, with all their columns.
 
-    Of rows that share a doc_id none stays if one of them is contaminated.
+    Each row is judged by its own text, so ids may be null or repeated.
     """
-    bad = contamination(docs, benchmark).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(written(bad, "contaminated"), docs["doc_id"].eqNullSafe(F.col("_bad_id")), "left_anti")
+    text = digest(docs["text"].cast("string"))
+    found = search(build_index(docs.select(text.alias("doc_id"), "text"), id_type="string"), benchmark)
+    bad = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("_bad_text")).distinct()
+    return docs.join(written(bad, "contaminated"), text == F.col("_bad_text"), "left_anti")

@@ -369,6 +369,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, class_id, class_size (rows), text_copies (rows with the same text)."""
+    return _classed(docs, id_col, text_col).drop("node", "leads")
+
+
+def _classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """near_duplicates with node, and leads: whether it is the node that stands for its class."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     texts = plain.select("doc_id", node_of(F.col("text")).alias("node"), "text")
     signed = written(sign(texts), "signatures")
@@ -411,12 +416,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .join(merged.select(F.col("node").alias("part"), F.col("part").alias("whole")), "part", "left")
         .select("node", "rep", "text_copies", F.coalesce("whole", "part").alias("part"))
     )
-    classes = placed.groupBy("part").agg(F.min("rep").alias("class_id"), F.sum("text_copies").alias("class_size"))
-    known = written(placed.join(classes, "part").select(F.col("node").alias("of"), "class_id", "class_size", "text_copies"), "classes")
-    return signed.select("doc_id", "node").join(known, F.col("node") == F.col("of")).select("doc_id", "class_id", "class_size", "text_copies")
+    classes = placed.groupBy("part").agg(F.min("rep").alias("class_id"), F.sum("text_copies").alias("class_size"), F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("lead"))
+    known = written(placed.join(classes, "part").select(F.col("node").alias("of"), "class_id", "class_size", "text_copies", (F.col("node") == F.col("lead.node")).alias("leads")), "classes")
+    return signed.select("doc_id", "node").join(known, F.col("node") == F.col("of")).select("doc_id", "node", "class_id", "class_size", "text_copies", "leads")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the class id of its class, with all their columns; of rows that repeat that id, all stay that are equal in text."""
-    stay = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One text of every class, that of its least id, with all columns; ids may be null or repeated. Rows that repeat both id and text all stay."""
+    led = _classed(docs).filter(F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id")))
+    stay = led.select(F.col("doc_id").alias("_kept_id"), F.col("node").alias("_kept_node")).distinct()
+    same = node_of(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("_kept_node")
+    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_kept_id")) & same, "left_semi")

@@ -4,8 +4,8 @@ A rule blocks or allows a host, all its subdomains, and paths with a given
 start; the longest fitting rule wins. The URLs that a rule decides are the
 labelled URLs: on a bounded, hash-ordered sample of them boosted trees are
 fitted to lexical features (length, depth, digit ratio, entropy, parameter
-counts, and how often the sample blocks the host's suffixes and the path's
-first part). The trees then judge every URL without a rule. Features, fitting
+counts, and how often rules block the host's suffixes and the path's first
+part, counted over all labelled URLs). The trees then judge every URL without a rule. Features, fitting
 and scoring run on the JVM.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, no
@@ -102,21 +102,15 @@ def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE, id_col: str = "pa
             return ruled.select(
                 "page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("score")
             )
-        prior = count["block"] / sum(count.values())
-        rates = {}
-        for part in ("suffix", "domain", "section"):
-            #: Of a sample of fixed size, so its size is bounded however large the corpus is.
-            stats = chosen.groupBy(part).agg(((F.sum((F.col("ruled") == "block").cast("int")) + prior) / (F.count(F.lit(1)) + 1)).alias("rate")).collect()
-            rates[part] = [(r[0], r[1]) for r in stats]
-        spark = pages.sparkSession
+        known = ruled.filter("ruled IS NOT NULL")
+        blocked, labelled = known.agg(F.sum((F.col("ruled") == "block").cast("long")), F.count(F.lit(1))).first()
+        prior = blocked / labelled
 
         def rated(df: DataFrame) -> DataFrame:
-            for part, rows in rates.items():
-                text = "\x02".join(f"{k}\x01{v!r}" for k, v in rows)
-                pairs = spark.range(1).select(F.explode(F.split(F.lit(text), "\x02")).alias("kv")).select(
-                    F.split("kv", "\x01")[0].alias(part), F.split("kv", "\x01")[1].cast("double").alias(f"{part}_rate")
-                )
-                df = df.join(F.broadcast(pairs), part, "left").withColumn(f"{part}_block", F.coalesce(f"{part}_rate", F.lit(prior)))
+            for part in ("suffix", "domain", "section"):
+                rate = (F.sum((F.col("ruled") == "block").cast("long")) + prior) / (F.count(F.lit(1)) + 1)
+                rates = known.groupBy(F.col(part).alias("_part")).agg(rate.alias("_rate"))
+                df = df.join(rates, F.col(part) == F.col("_part"), "left").withColumn(f"{part}_block", F.coalesce("_rate", F.lit(prior))).drop("_part", "_rate")
             features = lexical(F.col("url"), F.col("host"), F.col("path"))
             return df.withColumns({k: v.cast("double") for k, v in features.items()})
 

@@ -1,23 +1,34 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page is cut into blocks: the text between two block-level tags. A classifier
-gives every block a cost of being called content and one of being called
-boilerplate, from the elements around it (article, nav, aside ...), the words in
-their class, id and role, its share of link text and its length. Those costs
-are the capacities to the two terminals of a graph; smoothness edges join
-blocks that follow each other (the weaker, the further apart they stand in the
-tree) and consecutive blocks of one parent. A minimum cut labels all blocks at
-once. Blocks whose own costs outweigh all their edges are labelled beforehand,
-which cannot change the cut, and the rest is solved by maximum flow.
+A page is cut into blocks: the text between two block-level tags. Blocks and
+marked elements (those whose tag, role, class or id says something) are the
+nodes of a graph. A classifier gives every node a cost of being called content
+and one of being called boilerplate: of a block by its text alone (length, share
+of link text, how it ends), of a marked element by what its mark says. Those
+costs are the capacities to the two terminals. Smoothness edges tie every block
+to the nearest marked element around it and every marked element to the next one
+above, and join blocks that follow each other (the weaker, the further apart they
+stand in the tree) and consecutive blocks of one parent; between blocks of
+different marks they are weaker. No block's own cost outweighs its edges, so a
+minimum cut, found by maximum flow, labels all blocks at once.
+
+Marks are strong or soft. A strong one (nav, aside, footer, form, ad, comments;
+article) costs more than the text below it could, so it can be overruled only
+from above: whatever stands in a strongly marked sidebar belongs to it. A soft
+one (a class such as legal, tags or content) is outvoted by enough text. Where a
+page has an article, what stands outside it is marked as boilerplate; where it
+has none, ``main`` takes its place, and without either the text decides.
 
 Map-only; whole pages, one at a time.
 
 Defined cases: null counts as empty and gives the empty text; broken, cut-off
 and unclosed markup is read as far as it goes, and an unfinished tag at the end
-is dropped; character references are decoded once, after which runs of white
-space become one space; a page without content blocks gives the empty text;
-repeated rows are answered one by one; other columns are ignored; an empty
-table gives an empty result.
+is dropped; elements that are not shown (hidden, aria-hidden, display:none) have
+no text; character references are decoded once, after which runs of white space
+become one space; very long pages are read whole; of equal cuts the one with
+fewest content blocks is taken; a page without content blocks gives the empty
+text; repeated rows are answered one by one; other columns are ignored, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +38,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +51,7 @@ BLOCK = frozenset(
     " table tbody td tfoot th thead title tr ul caption".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noscript noembed noframes xmp template svg math object audio video canvas".split())
+RAW = frozenset("script style textarea title iframe noscript noembed noframes xmp template svg object audio video canvas".split())
 CLOSES_P = BLOCK - frozenset("body html head title option optgroup button td th tr tbody thead tfoot caption".split())
 #: Elements that a start tag of the same kind ends, and up to where.
 ENDS = {
@@ -53,80 +65,133 @@ ENDS = {
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-#: What elements and the words of class, id and role say of the text in them.
-BOILER_TAGS = frozenset("nav aside footer form menu dialog button select fieldset head search".split())
-CONTENT_TAGS = frozenset("article main".split())
+#: What tags, roles and the words of class and id say of the text below.
+BOILER_TAGS = frozenset("nav aside footer menu dialog search button select fieldset".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-BOILER_WORDS = frozenset(
-    "ad ads adv advert advertisement adsense sponsor sponsored sponsors promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs"
-    " crumbs footer header masthead sidebar side aside rail widget cookie cookies consent gdpr notice notices alert popup modal overlay newsletter"
-    " subscribe signup login signin share sharing social related recommended recommendations trending toolbar pagination pager tags copyright"
-    " disclaimer legal skip form search outbrain taboola".split()
-)
+ADVERT_WORDS = frozenset("ad ads adv advert adverts advertisement adsense sponsor sponsored sponsors promo promotion outbrain taboola".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus discussion replies respond reactions feedback".split())
-CONTENT_WORDS = frozenset("article articlebody content main post entry story body text page maincontent prose".split())
+STRONG_WORDS = ADVERT_WORDS | COMMENT_WORDS | frozenset(
+    "banner nav navbar navigation menu breadcrumb breadcrumbs crumbs footer masthead sidebar aside cookie cookies consent gdpr notice notices"
+    " popup modal overlay newsletter subscribe signup login signin share sharing social related recommended recommendations trending"
+    " pagination pager skip".split()
+)
+SOFT_WORDS = frozenset("header side rail widget alert toolbar tags copyright disclaimer legal form search".split())
+CONTENT_WORDS = frozenset("article articlebody content main maincontent post entry story prose".split())
+#: Before a word of a class these say that it is something about the element, not what it is.
+ABOUT = frozenset("has no with without is not".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)",
     re.S,
 )
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute after the other, values included, so that no name is found inside a value or a longer name.
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.S)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b).{0,200}$|.{0,200}\ball rights reserved\W*$", re.I | re.S)
 
-#: Costs, in hundredths.
-SURE, LIKELY, LEAN, NEXT, KIN = 900, 300, 60, 80, 120
+#: Costs, in hundredths. A block's own is between -TEXT - LINKS and TEXT + ENDED, so under TIE.
+TEXT, ENDED, LINKS, TIE, SOFT_TIE, SOFT = 90, 20, 100, 240, 60, 140
+#: A strong mark costs BASE, and PER for every block and mark tied to it: more than these can pull together.
+BASE, PER = 600, 300
+NEXT, KIN = 80, 120
+#: Divisors of an edge between blocks under different marks, or to a line that states rights.
+STRONG_WALL, SOFT_WALL = 8, 2
 
 
-@dataclass
+@dataclass(eq=False)
+class Mark:
+    """A marked element: over or under 0 by what its mark says; ``strong`` ones cannot be outvoted by the text below."""
+
+    says: int
+    strong: bool
+    above: "Mark | None"
+    tag: str = ""
+    sticky: bool = False  # nothing below it is marked anew
+    tied: int = 0  # blocks and marks tied to it
+    node: int = -1
+
+
+@dataclass(eq=False)
 class Element:
     tag: str
     parent: "Element | None"
     depth: int
-    verdict: int = 0  # over it and all above: 1 content, 0 nothing said, -1 boilerplate, -2 boilerplate whatever stands below
+    mark: Mark
+    hidden: bool = False
     last: int = -1  # its last block
 
 
-@dataclass
+@dataclass(eq=False)
 class Block:
     text: str
     element: Element
     linked: int
     heading: bool
+    rights: bool
     edges: dict[int, int] = field(default_factory=dict)
 
 
-def _verdict(tag: str, attrs: str, above: int) -> int:
-    if above == -2:
-        return -2
-    said, words = 0, frozenset()
-    if attrs:
-        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
-        if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-            return -2
-        words = frozenset(w.lower() for k in ("class", "id") for w in _WORDS.findall(found.get(k, "")))
-        if found.get("role", "").lower() in BOILER_ROLES and tag not in CONTENT_TAGS:
-            said = -1
-        if found.get("itemprop", "") == "articleBody" or found.get("role", "").lower() in ("main", "article"):
-            said = 1
-    wide = tag in ("body", "html", "main")
-    if words & COMMENT_WORDS and not wide:
-        return -2
-    if tag in BOILER_TAGS or tag == "header" and above != 1:
-        return -1
-    if tag in CONTENT_TAGS:
-        return 1
-    if said:
-        return said if above != -1 or said < 0 else above
-    if words & BOILER_WORDS and not wide and tag not in HEADINGS and not (tag == "header" and above == 1):
-        return -1
-    if words & CONTENT_WORDS and above == 0 and not wide:
-        return 1
-    return above
+def attributes(text: str) -> dict[str, str]:
+    """Names in lower case and values; of a name given twice the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(text):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _class_words(found: dict[str, str]) -> frozenset[str]:
+    words: list[str] = []
+    for token in f"{found.get('class', '')} {found.get('id', '')}".split():
+        parts = [w.lower() for w in _WORDS.findall(token)]
+        if parts and parts[0] not in ABOUT:
+            words += parts
+    return frozenset(words)
+
+
+def _marked(tag: str, attrs: str, above: Element) -> tuple[Mark, bool]:
+    """(the mark that holds below this element, whether the element is hidden)."""
+    mark = above.mark
+    if tag not in BLOCK and not attrs:
+        return mark, above.hidden
+    found = attributes(attrs) if attrs else {}
+    hidden = above.hidden or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_UNSHOWN.search(found.get("style", "")))
+    if mark.sticky or tag not in BLOCK:
+        return mark, hidden
+    role, words = found.get("role", "").lower(), _class_words(found)
+    if tag in ("html", "body"):
+        return mark, hidden
+    if tag == "article" or found.get("itemprop", "") == "articleBody" or role == "article":
+        if words & (ADVERT_WORDS | COMMENT_WORDS):
+            return Mark(-1, True, mark, tag, True), hidden
+        return Mark(1, True, mark, "article"), hidden
+    if tag == "main" or role == "main":
+        return Mark(1, False, mark, "main"), hidden
+    if tag in BOILER_TAGS or role in BOILER_ROLES or (words & STRONG_WORDS and tag not in HEADINGS):
+        return Mark(-1, True, mark, tag, True), hidden
+    if tag == "form":  # one around the whole page says little
+        return Mark(-1, above.tag not in ("body", "html"), mark, tag), hidden
+    if tag == "header" and not _inside(mark):
+        return Mark(-1, True, mark, tag), hidden
+    if words & SOFT_WORDS and tag not in HEADINGS:
+        return Mark(-1, False, mark, tag), hidden
+    if words & CONTENT_WORDS and mark.says <= 0 and tag not in HEADINGS:
+        return Mark(1, False, mark, tag), hidden
+    return mark, hidden
+
+
+def _inside(mark: Mark | None) -> bool:
+    """Within an article or main."""
+    while mark is not None:
+        if mark.tag in ("article", "main"):
+            return True
+        mark = mark.above
+    return False
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page in page order, with their smoothness edges."""
-    top = Element("", None, 0)
+    """The blocks of a page in page order, with the smoothness edges between them."""
+    top = Element("", None, 0, Mark(0, False, None))
     stack, out = [top], []
     pieces: list[str] = []
     linked = links = at = 0
@@ -138,12 +203,12 @@ def blocks_of(page: str) -> list[Block]:
             pieces.clear()
             if text:
                 own = next(e for e in reversed(stack) if e.tag in BLOCK or not e.tag)
-                out.append(Block(text, own, min(linked, len(text)), own.tag in HEADINGS))
+                out.append(Block(text, own, min(linked, len(text)), own.tag in HEADINGS, len(text) <= 200 and bool(_RIGHTS.match(text))))
             linked = 0
 
     def add(text: str) -> None:
         nonlocal linked
-        if text:
+        if text and not stack[-1].hidden:
             pieces.append(text)
             if links:
                 linked += len(text.strip())
@@ -203,18 +268,19 @@ def blocks_of(page: str) -> list[Block]:
                     if tag != "tr":
                         break
         above = stack[-1]
-        stack.append(Element(tag, above, above.depth + 1, _verdict(tag, attrs, above.verdict)))
+        mark, hidden = _marked(tag, attrs, above)
+        stack.append(Element(tag, above, above.depth + 1, mark, hidden))
         links += tag == "a"
     close()
     for i, b in enumerate(out):
         if i:
-            weight = NEXT // (1 + _apart(out[i - 1].element, b.element))
+            weight = NEXT // (1 + _apart(out[i - 1].element, b.element)) // _wall(out[i - 1], b)
             if weight:
                 b.edges[i - 1] = out[i - 1].edges[i] = weight
         kin = b.element.parent or b.element
         if kin.last >= 0:
             j = kin.last
-            b.edges[j] = out[j].edges[i] = b.edges.get(j, 0) + KIN
+            b.edges[j] = out[j].edges[i] = b.edges.get(j, 0) + KIN // _wall(out[j], b)
         kin.last = i
     return out
 
@@ -231,56 +297,73 @@ def _apart(a: Element, b: Element) -> int:
     return max(0, n - 2)
 
 
+def _wall(a: Block, b: Block) -> int:
+    if a.rights or b.rights:
+        return STRONG_WALL
+    x, y = a.element.mark, b.element.mark
+    return 1 if x is y else STRONG_WALL if x.strong or y.strong else SOFT_WALL
+
+
 def cost(b: Block) -> int:
-    """What it costs to call a block boilerplate, less what it costs to call it content."""
-    said = b.element.verdict
-    if said:
-        return {1: SURE, -1: -SURE, -2: -2 * SURE}[said]
+    """What it costs to call a block boilerplate, less what it costs to call it content, by its text alone."""
+    if b.rights:
+        return -TEXT
     n = len(b.text)
-    share = b.linked / n
-    if share > 0.5:
-        return -LIKELY
-    z = LIKELY if n >= 120 else LEAN * 2 if n >= 40 else LEAN if b.text[-1] in ".!?:;…\"" else -LEAN
+    z = max(-TEXT, min(TEXT, round(40 * log(n / 60))))
+    if b.text[-1] in ".!?:;…\"»”":
+        z += ENDED
     if b.heading:
-        z = max(z, LEAN)
-    return z - int(share * LIKELY)
+        z = max(z, ENDED)
+    return z - LINKS * b.linked // n
+
+
+def graph_of(blocks: list[Block]) -> tuple[list[int], list[dict[int, int]]]:
+    """(costs, edges) of the page's graph: its blocks in order, then the marked elements above them."""
+    costs, edges = [cost(b) for b in blocks], [dict(b.edges) for b in blocks]
+    marks: list[Mark] = []
+    for b in blocks:
+        mark = b.element.mark
+        while mark is not None and mark.node < 0:
+            mark.node = len(blocks) + len(marks)
+            marks.append(mark)
+            mark = mark.above
+    for m in [b.element.mark for b in blocks] + [m.above for m in marks if m.above is not None]:
+        m.tied += 1
+    has_article = any(m.tag == "article" and m.says > 0 for m in marks)
+    for m in marks:
+        if m.tag == "main" and not has_article and m.says > 0:
+            m.strong = True
+    framed = any(m.says > 0 and m.strong for m in marks)
+    for m in marks:
+        if m.above is None and framed:  # the page itself, around the article
+            m.says, m.strong = -1, True
+        costs.append(m.says * (BASE + PER * m.tied if m.strong else SOFT))
+        edges.append({})
+    tie = lambda i, j, w: (edges[i].__setitem__(j, w), edges[j].__setitem__(i, w))
+    for i, b in enumerate(blocks):
+        m = b.element.mark
+        if m.says:
+            tie(i, m.node, TIE if m.strong else SOFT_TIE)
+    for m in marks:
+        if m.above is not None and m.above.says:
+            tie(m.node, m.above.node, TIE if m.above.strong else SOFT_TIE)
+    return costs, edges
 
 
 def min_cut(costs: list[int], edges: list[dict[int, int]]) -> list[bool]:
-    """Which nodes stand on the content side of a minimum cut; costs over 0 pull towards content."""
-    n = len(costs)
-    pull, label = list(costs), [None] * n
-    slack = [sum(e.values()) for e in edges]
-    todo = deque(range(n))
-    while todo:
-        i = todo.popleft()
-        if label[i] is None and abs(pull[i]) > slack[i]:
-            label[i] = pull[i] > 0
-            for j, w in edges[i].items():
-                if label[j] is None:
-                    pull[j] += w if label[i] else -w
-                    slack[j] -= w
-                    todo.append(j)
-    free = [i for i in range(n) if label[i] is None]
-    if free:
-        side = _max_flow(free, pull, edges)
-        for i in free:
-            label[i] = i in side
-    return label  # type: ignore[return-value]
-
-
-def _max_flow(free: list[int], pull: list[int], edges: list[dict[int, int]]) -> set[int]:
-    """Nodes that the source still reaches after a maximum flow (shortest augmenting paths by levels)."""
-    source, sink, inside = -1, -2, set(free)
-    rest: dict[int, dict[int, int]] = {i: {j: w for j, w in edges[i].items() if j in inside} for i in free}
+    """Which nodes stand on the content side of a minimum cut (costs over 0 pull towards content).
+
+    The cut is found by maximum flow along shortest paths, level by level; the
+    nodes that the source still reaches are content.
+    """
+    source, sink = -1, -2
+    rest: dict[int, dict[int, int]] = {i: dict(e) for i, e in enumerate(edges)}
     rest[source], rest[sink] = {}, {}
-    for i in free:
-        if pull[i] > 0:
-            rest[source][i] = pull[i]
-            rest[i].setdefault(source, 0)
-        elif pull[i] < 0:
-            rest[i][sink] = -pull[i]
-            rest[sink].setdefault(i, 0)
+    for i, c in enumerate(costs):
+        if c > 0:
+            rest[source][i], rest[i][source] = c, 0
+        elif c < 0:
+            rest[i][sink], rest[sink][i] = -c, 0
     while True:
         level, queue = {source: 0}, deque([source])
         while queue:
@@ -290,17 +373,18 @@ def _max_flow(free: list[int], pull: list[int], edges: list[dict[int, int]]) ->
                     level[j] = level[i] + 1
                     queue.append(j)
         if sink not in level:
-            return set(level) - {source}
+            return [i in level for i in range(len(costs))]
         arcs = {i: iter(list(rest[i])) for i in level}
         path = [source]
         while path:
             i = path[-1]
             if i == sink:
-                flow = min(rest[a][b] for a, b in zip(path, path[1:]))
+                steps = list(zip(path, path[1:]))
+                flow = min(rest[a][b] for a, b in steps)
                 cut = 0
-                for k, (a, b) in enumerate(zip(path, path[1:])):
+                for k, (a, b) in enumerate(steps):
                     rest[a][b] -= flow
-                    rest[b][a] = rest[b].get(a, 0) + flow
+                    rest[b][a] += flow
                     if not rest[a][b] and not cut:
                         cut = k + 1
                 del path[cut:]
@@ -314,11 +398,28 @@ def _max_flow(free: list[int], pull: list[int], edges: list[dict[int, int]]) ->
                 level[i] = -1
 
 
+@dataclass
+class Labelled:
+    blocks: list[Block]
+    costs: list[int]
+    content: list[bool]
+
+    @property
+    def changed(self) -> int:
+        """Blocks that the cut labels otherwise than their own cost would."""
+        return sum((c > 0) != k for c, k in zip(self.costs, self.content))
+
+
+def label(page: str | None) -> Labelled:
+    blocks = blocks_of(page or "")
+    costs, edges = graph_of(blocks)
+    return Labelled(blocks, costs[: len(blocks)], min_cut(costs, edges)[: len(blocks)])
+
+
 def extract(page: str | None) -> list[str]:
     """The content blocks of a page, in order."""
-    found = blocks_of(page or "")
-    keep = min_cut([cost(b) for b in found], [b.edges for b in found])
-    return [b.text for b, k in zip(found, keep) if k]
+    found = label(page)
+    return [b.text for b, k in zip(found.blocks, found.content) if k]
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

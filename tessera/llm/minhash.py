@@ -12,37 +12,40 @@ whatever its length; texts with a coordinate left empty throw on at twice T.
 
 Copies of a text are one node. Signatures are cut into bands; nodes that share
 a band's value share a bucket. In every bucket all nodes are compared with one
-centre, chosen by hash and so another one in each band. Buckets whose nodes do
-not yet all hang together are open: there every pair of nodes in different parts
-that no sketch or size bound rules out is compared too. For that, the nodes that
-open buckets chain together form a group; a group is dealt to blocks, and each
-pair of blocks is one piece of work, so that no task holds more than two blocks
-and no row stands for a pair. (A group of over LARGE units is dealt bucket by
-bucket instead, and a pair is compared in its first common bucket.) A comparison
-is exact: weighted Jaccard of all shingles of both whole texts. What is linked
-hangs together as a class (connected components by contraction, every round
-written to the shared folder).
+centre, chosen by hash and so another one in each band. What is linked hangs
+together as a part (connected components by contraction, every round written to
+the shared folder). Buckets whose nodes are still of several parts are open. The
+nodes of open buckets are then joined exactly, by prefixes: with the elements of
+every text (shingles, a repeated one once for each time) in one order, rarest
+first, two texts of similarity t share one of the first n - t n + 1 of each, and
+the shorter one has it among its first n - 2 t / (1 + t) n + 1. So a node makes a
+row for each element of its prefix, which are its rare ones, and however large a
+bucket is, what all its texts have in common makes no pairs; the rest is weighed
+by where in both texts the shared element stands. Pairs that this leaves, between
+parts, are compared. A comparison is exact: weighted Jaccard of all shingles of
+both whole texts.
 
 Defined cases: null counts as empty; a text of one to four words has one shingle
 of all its words; wordless texts have none and are near no other text, but
 equal texts are always of one class; the class id is the least doc_id of the
-class (null if it has only null ids); rows are answered one by one, so repeated
-rows each get their class; other columns are ignored; an empty table gives an
-empty result.
+class (null if it has only null ids); texts of any length are taken whole; rows
+are answered one by one, so repeated rows each get their class; other columns are
+ignored by ``near_duplicates`` and kept by ``one_of_each``, whatever their names;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Steps, chosen_rows, portions
 from .decontam import words
 
 SHINGLE = 5
@@ -52,12 +55,12 @@ K, ROWS = 64, 4
 BANDS = K // ROWS
 #: Darts thrown per text at first: K ln K + 2 K leave a coordinate empty in one text of seven.
 DARTS = int(K * np.log(K) + 2 * K)
-#: Pairs whose signatures agree in fewer coordinates are not compared in the second step: six deviations under the threshold.
-LEAST_AGREEING = K // 2
 #: Members compared with one copy of a centre's text in one group; hot centres are dealt to several groups.
 GROUP = 256
-#: Units (a node has one, and one more per UNIT_WORDS words) in a block, and in a group that is not dealt by buckets.
-BLOCK, LARGE, UNIT_WORDS = 512, 4096, 4000
+#: Rows of one element's prefix table that meet in one piece of work, twice.
+BLOCK = 512
+#: Slots of the table of element frequencies, which is sent to all executors. Elements that share one are only ordered worse.
+SLOT_BITS = 18
 #: Words whose hashes a worker keeps; at the bound it starts anew.
 CACHE_WORDS = 200_000
 
@@ -190,26 +193,13 @@ def node_of(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch of (doc_id, node, text) in portions of 256 rows and about 4 MB of text, so that long texts need no more memory than short ones."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()
-    start = n = 0
-    for i, size in enumerate(sizes):
-        if i > start and (i - start >= 256 or n + size > 4_000_000):
-            yield batch.slice(start, i - start)
-            start, n = i, 0
-        n += size
-    if sizes:
-        yield batch.slice(start)
-
-
 def sign(texts: DataFrame) -> DataFrame:
-    """doc_id, node, weight, bands, sig of (doc_id, node, text)."""
+    """doc_id, node, weight, bands of (doc_id, node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for whole in batches:
-            for b in _portions(whole):
+            for b in portions(whole, 2):
                 nodes = b.column(1).to_pylist()
                 first = {n: i for i, n in reversed(list(enumerate(nodes)))}
                 at = sorted(first.values())
@@ -221,22 +211,22 @@ def sign(texts: DataFrame) -> DataFrame:
                 ends = lambda n: np.arange(0, (len(nodes) + 1) * n, n, dtype=np.int32)
                 listed = lambda x: pa.ListArray.from_arrays(ends(x.shape[1]), pa.array(x[back].ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(weight[back]), listed(bands(sig)), listed((sig >> np.uint64(33)).astype(np.int32))],
-                    ["doc_id", "node", "weight", "bands", "sig"],
+                    [b.column(0), b.column(1), pa.array(weight[back]), listed(bands(sig))],
+                    ["doc_id", "node", "weight", "bands"],
                 )
 
-    return texts.mapInArrow(run, "doc_id long, node binary, weight long, bands array<long>, sig array<int>")
+    return texts.mapInArrow(run, "doc_id long, node binary, weight long, bands array<long>")
 
 
-def _with_centre(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+def _with_centre(steps: Steps, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The similar ones of pairs (a, b): a's text meets the texts of its partners in groups of bounded size."""
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.ceil(F.col("n") / GROUP).cast("int").alias("groups"))
-    groups = written(counts, "centres")  # then the join below meets two plain scans, and a hot centre's side can be split
+    groups = steps.written(counts, "centres")  # then the join below meets two plain scans, and a hot centre's side can be split
     sized = pairs.join(groups, "a")
     group = F.pmod(F.xxhash64("b"), F.col("groups")).cast("int")
     members = sized.select(F.col("b").alias("of"), F.col("a").alias("centre"), group.alias("grp"), F.lit(1).alias("kind"))
     centres = groups.select(F.col("a").alias("of"), F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("grp"), F.lit(0).alias("kind"))
-    wanted = written(members.unionByName(centres), "comparisons")
+    wanted = steps.written(members.unionByName(centres), "comparisons")
     dealt = (
         texts.join(wanted, F.col("node") == F.col("of"))
         .select("centre", "grp", "kind", "node", "text")
@@ -258,91 +248,132 @@ def _with_centre(texts: DataFrame, pairs: DataFrame) -> DataFrame:
                     right.append(b.column(3)[i].as_py())
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
-    return written(dealt.mapInArrow(run, "a binary, b binary"), "links")
+    return steps.written(dealt.mapInArrow(run, "a binary, b binary"), "links")
+
+
+def elements(text: str, hashes: dict[bytes, int]) -> np.ndarray:
+    """The shingles of a text as a set: of one that stands there k times, k different elements."""
+    h, c = shingles(text, hashes)
+    if not len(h) or c.max() == 1:
+        return h
+    nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+    each = np.repeat(h, c)
+    return np.where(nth == 0, each, mix(each + nth.astype(np.uint64) * _GOLD))
+
+
+def _slot(e: np.ndarray) -> np.ndarray:
+    return (e >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _frequencies(texts: DataFrame) -> np.ndarray:
+    """How many elements of the texts fall into each slot: a table of fixed size, on the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, seen = _WordHashes(), np.zeros(1 << SLOT_BITS, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                seen += np.bincount(_slot(elements(t.as_py(), hashes)), minlength=len(seen))
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["slot", "n"])
 
+    counts = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(1 << SLOT_BITS, np.int64)
+    table[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
+    return table
 
-def _within_blocks(texts: DataFrame, members: DataFrame) -> DataFrame:
-    """Links (a, b) between parts, of members (grp, by_bucket, units, of, part, weight, bands, sig): all pairs of a group, block by block."""
-    blocks = members.groupBy("grp").agg(F.ceil(F.sum("units") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("of"), F.col("blocks")).cast("int")
+
+def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Elements that sets of these sizes share at least if they are similar."""
+    return np.ceil(SIMILARITY / (1 + SIMILARITY) * (a + b) - 1e-9)
+
+
+PREFIX = "element long, node binary, part long, size long, at long, short boolean"
+
+
+def _prefixes(texts: DataFrame) -> DataFrame:
+    """PREFIX rows of texts (node, part, text): elements of every prefix, where they stand in it, and whether the shorter of two similar texts could first share one there."""
+    table = texts.sparkSession.sparkContext.broadcast(_frequencies(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for whole in batches:
+            for b in portions(whole, 2):
+                rows: list[tuple[np.ndarray, int, int]] = []
+                for t in b.column(2):
+                    e = elements(t.as_py(), hashes)
+                    n = len(e)
+                    order = np.lexsort((e, table.value[_slot(e)]))[: n - ceil(SIMILARITY * n - 1e-9) + 1]
+                    rows.append((e[order], n, n - int(overlap(np.int64(n), np.int64(n))) + 1))
+                lengths = [len(r[0]) for r in rows]
+                back = np.repeat(np.arange(len(rows)), lengths)
+                at = np.concatenate([np.arange(n) for n in lengths])
+                size, short = (np.array([r[k] for r in rows], np.int64)[back] for k in (1, 2))
+                found = np.concatenate([r[0] for r in rows]).view(np.int64)
+                arrays = [pa.array(found), b.column(0).take(pa.array(back)), b.column(1).take(pa.array(back)), pa.array(size), pa.array(at), pa.array(at < short)]
+                yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in PREFIX.split(", ")])
+
+    return texts.select("node", "part", "text").mapInArrow(run, PREFIX)
+
+
+def _prefix_pairs(steps: Steps, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts (node, part, text) of different parts that may be similar, every one that is among them."""
+    rows = steps.written(_prefixes(texts), "prefixes")
+    shared = rows.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("p"), F.max("part").alias("q"), F.max("short").alias("short"))
+    open_ = steps.written(shared.filter("p != q AND short").select(F.col("element").alias("key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "shared-elements")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    met = rows.join(open_, F.col("element") == F.col("key")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = (
-        members.join(blocks, "grp").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "by_bucket", "of", "part", "weight", "bands", "sig")
+        met.select("element", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "part", "size", "at", "short")
+        .repartition("element", "lo", "hi")
+        .sortWithinPartitions("element", "lo", "hi")
     )
-    placed = texts.join(dealt, F.col("node") == F.col("of")).drop("of", "doc_id").repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
-    names = ["grp", "lo", "hi", "own", "by_bucket", "node", "part", "weight", "bands", "sig", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, key, rows = _WordHashes(), None, []
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            keys = list(zip(*(b.column(j).to_pylist() for j in range(3))))
-            start = 0
-            for i in range(1, len(keys) + 1):
-                if i == len(keys) or keys[i] != keys[start]:
-                    if keys[start] != key and rows:
-                        yield _links(pa.Table.from_batches(rows), hashes)
-                        rows = []
-                    key = keys[start]
-                    rows.append(b.slice(start, i - start))
-                    start = i
-        if rows:
-            yield _links(pa.Table.from_batches(rows), hashes)
-
-    return written(placed.select(*names).mapInArrow(run, "a binary, b binary"), "links")
-
-
-def _links(t: pa.Table, hashes: dict[bytes, int]) -> pa.RecordBatch:
-    """Links that join parts, among the nodes of one pair of blocks; likeliest pairs first, and none between what is joined already."""
-    left: list[bytes] = []
-    right: list[bytes] = []
-    n = t.num_rows
-    lo, hi, by_bucket, grp = (t.column(c)[0].as_py() for c in ("lo", "hi", "by_bucket", "grp"))
-    own = t.column("own").to_numpy()
-    codes: dict[bytes, int] = {}
-    part = np.array([codes.setdefault(p, len(codes)) for p in t.column("part").to_pylist()])
-    weight = t.column("weight").to_numpy()
-    wide = lambda c, k: t.column(c).combine_chunks().flatten().to_numpy().reshape(n, k)
-    band, sig, nodes = wide("bands", BANDS), wide("sig", K), t.column("node").to_pylist()
-    rows = np.flatnonzero(own == lo)
-    columns = np.flatnonzero(own == hi)
-    found = []
-    for i in rows:
-        j = columns[(part[columns] != part[i]) & ((columns > i) | (lo != hi))]
-        j = j[np.minimum(weight[j], weight[i]) >= SIMILARITY * np.maximum(weight[j], weight[i])]
-        same = band[j] == band[i]
-        if by_bucket:
-            at = same.argmax(axis=1)
-            j = j[same.any(axis=1) & (band[j, at] == grp)]
-        else:
-            j = j[same.any(axis=1)]
-        agreeing = (sig[j] == sig[i]).sum(axis=1)
-        keep = agreeing >= LEAST_AGREEING
-        found += zip(agreeing[keep].tolist(), [int(i)] * int(keep.sum()), j[keep].tolist())
-    root = list(range(len(codes)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    text = t.column("text")
-    for _, i, j in sorted(found, key=lambda x: -x[0]):
-        a, b = find(part[i]), find(part[j])
-        if a == b:
-            continue
-        for k in (i, j):
-            if k not in sets:
-                sets[k] = shingles(text[k].as_py(), hashes)
-        if jaccard(sets[i], sets[j]) >= SIMILARITY:
-            root[b] = a
-            left.append(nodes[i])
-            right.append(nodes[j])
-    return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
-
-
-def components(links: DataFrame) -> DataFrame:
+            last = tuple(b.column(j)[b.num_rows - 1].as_py() for j in range(3)) if b.num_rows else None
+            if last is None:
+                continue
+            same = np.ones(b.num_rows, bool)
+            for j in range(3):
+                same &= b.column(j).to_numpy(zero_copy_only=False) == last[j]
+            start = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if start or (held and tuple(held[-1].column(j)[0].as_py() for j in range(3)) != last):
+                yield _near(pa.Table.from_batches([*held, b.slice(0, start)]))
+                held = []
+            held.append(b.slice(start))
+        if held:
+            yield _near(pa.Table.from_batches(held))
+
+    return steps.written(dealt.mapInArrow(run, "a binary, b binary").distinct(), "prefix-pairs")
+
+
+def _near(t: pa.Table) -> pa.RecordBatch:
+    """Pairs within whole groups of rows that are sorted by (element, lo, hi)."""
+    column = lambda c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+    element, lo, hi, own, part, size, at, short = map(column, ("element", "lo", "hi", "own", "part", "size", "at", "short"))
+    n = len(element)
+    new = np.ones(n, bool)
+    new[1:] = (element[1:] != element[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    group = np.cumsum(new)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    i, step = np.arange(n), 1
+    while len(i := i[i + step < n]) and len(i := i[group[i] == group[i + step]]):
+        j = i + step
+        keep = (part[i] != part[j]) & (short[i] | short[j]) & ((lo[i] == hi[i]) | (own[i] != own[j]))
+        x, y = i[keep], j[keep]
+        reach = np.minimum(size[x] - at[x], size[y] - at[y])
+        fits = (np.minimum(size[x], size[y]) >= SIMILARITY * np.maximum(size[x], size[y]) - 1e-9) & (reach >= overlap(size[x], size[y]))
+        left.append(x[fits])
+        right.append(y[fits])
+        step += 1
+    nodes = t.column("node").combine_chunks()
+    x, y = (nodes.take(pa.array(np.concatenate(k))) for k in (left, right))
+    ordered = [sorted(p) for p in zip(x.to_pylist(), y.to_pylist())]
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in ordered], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+
+def components(steps: Steps, links: DataFrame) -> DataFrame:
     """node, part: the parts that hang together by links (a, b); part is one of their nodes.
 
     In every round each node takes the least node within two steps, and the links
@@ -350,80 +381,73 @@ def components(links: DataFrame) -> DataFrame:
     has a fraction of the links of the one before.
     """
     ends = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    edges = written(links.select(*ends).filter("a <> b").distinct(), "edges")
+    edges = steps.written(links.select(*ends).filter("a <> b").distinct(), "edges")
     label = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("near"))
-        step = written(both.join(written(near, "near"), "b").groupBy("a").agg(F.min("near").alias("to")).withColumnRenamed("a", "node"), "steps")
+        step = steps.written(both.join(steps.written(near, "near"), "b").groupBy("a").agg(F.min("near").alias("to")).withColumnRenamed("a", "node"), "steps")
         if label is None:
             label = step.select("node", F.col("to").alias("part"))
         else:
             on = step.select(F.col("node").alias("part"), "to")
-            label = written(label.join(on, "part", "left").select("node", F.coalesce("to", "part").alias("part")), "parts")
+            label = steps.written(label.join(on, "part", "left").select("node", F.coalesce("to", "part").alias("part")), "parts")
         redrawn = edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
-        edges = written(redrawn.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).filter("a <> b").distinct(), "edges")
+        edges = steps.written(redrawn.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).filter("a <> b").distinct(), "edges")
         if edges.limit(1).count() == 0:
             return label
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, class_id, class_size (rows), text_copies (rows with the same text)."""
-    return _classed(docs, id_col, text_col).drop("node", "leads")
+    signed, classes = _classed(docs, id_col, text_col)
+    found = signed.select("doc_id", "node").join(classes, F.col("node") == F.col("of"))
+    return found.select("doc_id", "class_id", "class_size", "text_copies")
 
 
-def _classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """near_duplicates with node, and leads: whether it is the node that stands for its class."""
+def _classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(signed rows; of, class_id, class_size, text_copies, leads: whether the node stands for its class)."""
+    steps = Steps(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     texts = plain.select("doc_id", node_of(F.col("text")).alias("node"), "text")
-    signed = written(sign(texts), "signatures")
-    reps = written(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("text_copies")), "nodes")
+    signed = steps.written(sign(texts), "signatures")
+    reps = steps.written(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("text_copies")), "nodes")
     #: One row of every node stands for it. (Rows repeated whole stand twice, which makes no new link.)
     stands = (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("rep"))
     own = signed.filter("weight > 0").join(reps.select(F.col("node").alias("of"), "rep"), stands).drop("of", "rep")
     exploded = own.select("node", F.explode("bands").alias("bucket"))
     order = F.xxhash64("node", "bucket")
     centre = exploded.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node")).alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = written(centre.select(F.col("bucket").alias("key"), F.col("c.node").alias("centre")), "buckets")
-    inside = written(exploded.join(buckets, F.col("bucket") == F.col("key")).select("bucket", "node", "centre"), "bucket-members")
-    first = written(inside.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    buckets = steps.written(centre.select(F.col("bucket").alias("key"), F.col("c.node").alias("centre")), "buckets")
+    inside = steps.written(exploded.join(buckets, F.col("bucket") == F.col("key")).select("bucket", "node", "centre"), "bucket-members")
+    first = steps.written(inside.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     compared = inside.select(F.col("node").alias("of")).distinct().join(reps.select(F.col("node").alias("of"), "rep"), "of")
-    some = written(texts.join(compared, stands).select("node", "text").dropDuplicates(["node"]), "compared-texts")
-    links = _with_centre(some, first)
-    parts = components(links)
-    labelled = written(inside.join(parts, "node", "left").select("bucket", "node", "centre", F.coalesce("part", "node").alias("part")), "labelled")
+    some = steps.written(texts.join(compared, stands).select("node", "text").dropDuplicates(["node"]), "compared-texts")
+    parts = components(steps, _with_centre(steps, some, first))
+    labelled = steps.written(inside.join(parts, "node", "left").select("bucket", "node", F.coalesce("part", "node").alias("part")), "labelled")
     open_keys = labelled.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select(F.col("bucket").alias("key"))
-    loose = written(labelled.join(open_keys, F.col("bucket") == F.col("key"), "left_semi"), "open-buckets")
-    chains = components(loose.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")))
-    unit = (1 + F.floor(F.col("weight") / UNIT_WORDS)).alias("units")
-    known = own.select(F.col("node").alias("of"), unit, "weight", "bands", "sig").dropDuplicates(["of"])
-    chained = loose.select("node", "part").distinct().join(chains.withColumnRenamed("part", "chain"), "node").join(known, F.col("node") == F.col("of")).drop("node")
-    chained = written(chained, "open-nodes")
-    large = chained.groupBy("chain").agg(F.sum("units").alias("total")).filter(F.col("total") > LARGE).select("chain")
-    columns = ["grp", "by_bucket", "units", "of", "part", "weight", "bands", "sig"]
-    by_chain = chained.join(large, "chain", "left_anti").select(F.xxhash64("chain").alias("grp"), F.lit(False).alias("by_bucket"), *columns[2:])
-    by_bucket = (
-        chained.join(large, "chain", "left_semi").drop("chain")
-        .join(loose.select("bucket", "node").distinct(), F.col("of") == F.col("node"))
-        .select(F.col("bucket").alias("grp"), F.lit(True).alias("by_bucket"), *columns[2:])
-    )
-    members = written(by_chain.unionByName(by_bucket), "block-members")
+    loose = labelled.join(open_keys, F.col("bucket") == F.col("key"), "left_semi").select(F.col("node").alias("of"), F.xxhash64("part").alias("part")).distinct()
+    open_texts = steps.written(some.join(loose, F.col("node") == F.col("of")).select("node", "part", "text"), "open-texts")
     part_of = lambda end, name: parts.select(F.col("node").alias(end), F.col("part").alias(name))
-    more = _within_blocks(some, members).join(part_of("a", "pa"), "a", "left").join(part_of("b", "pb"), "b", "left")
-    merged = components(more.select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b")))
+    links = _with_centre(steps, some, _prefix_pairs(steps, open_texts))
+    more = links.join(part_of("a", "pa"), "a", "left").join(part_of("b", "pb"), "b", "left")
+    merged = components(steps, more.select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b")))
     placed = (
         reps.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
         .join(merged.select(F.col("node").alias("part"), F.col("part").alias("whole")), "part", "left")
         .select("node", "rep", "text_copies", F.coalesce("whole", "part").alias("part"))
     )
+    placed = steps.written(placed, "placed")
     classes = placed.groupBy("part").agg(F.min("rep").alias("class_id"), F.sum("text_copies").alias("class_size"), F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("lead"))
-    known = written(placed.join(classes, "part").select(F.col("node").alias("of"), "class_id", "class_size", "text_copies", (F.col("node") == F.col("lead.node")).alias("leads")), "classes")
-    return signed.select("doc_id", "node").join(known, F.col("node") == F.col("of")).select("doc_id", "node", "class_id", "class_size", "text_copies", "leads")
+    known = steps.written(placed.join(classes, "part").select(F.col("node").alias("of"), "class_id", "class_size", "text_copies", (F.col("node") == F.col("lead.node")).alias("leads")), "classes")
+    steps.over(signed, known)
+    return signed, known
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One text of every class, that of its least id, with all columns; ids may be null or repeated. Rows that repeat both id and text all stay."""
-    led = _classed(docs).filter(F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id")))
-    stay = led.select(F.col("doc_id").alias("_kept_id"), F.col("node").alias("_kept_node")).distinct()
-    same = node_of(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("_kept_node")
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_kept_id")) & same, "left_semi")
+    """One row of every class, with all columns: that of its least id. Ids may be null or repeated; of rows that repeat both id and text one stays."""
+    signed, classes = _classed(docs)
+    led = classes.filter("leads").select("of", "class_id")
+    stay = signed.join(led, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    keys = {"node": node_of(F.coalesce(docs["text"].cast("string"), F.lit(""))), "doc_id": docs["doc_id"].cast("long")}
+    return chosen_rows(docs, keys, stay)

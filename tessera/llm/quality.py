@@ -1,14 +1,18 @@
 """Quality classifier learnt from positive and unlabelled texts.
 
 Trusted positives are the texts labelled 1, unlabelled are texts of the whole
-corpus, and the class prior is the share of label 1 among the labelled texts of
-the learning fold. A small network is fitted to the non-negative unbiased risk
+corpus. The class prior is estimated from these two alone: a network is fitted to
+tell half of the positives from half of the unlabelled; among the texts of the
+other halves that score above a threshold, the share of the unlabelled over that
+of the positives is at least the prior, and comes nearest to it at the threshold
+where that ratio, with its sampling error, is least. A small network is then
+fitted to the non-negative unbiased risk
 
     prior * R+(P)  +  max(0, R-(U) - prior * R-(P))
 
 by mini-batches; where the part in max() turns negative, which it cannot do but
 by over-fitting, the step goes against it instead. Texts labelled 0 are no
-input of the risk. The features are counts and ratios of the whole text; no
+input of anything. The features are counts and ratios of the whole text; no
 label, language, source or id is among them.
 
 Learning reads only rows whose crc32(id as text) mod 5 is not 0, and of those a
@@ -16,10 +20,11 @@ bounded sample, the first by hash: POSITIVES positive and UNLABELLED unlabelled
 texts. Scoring is one map-only pass over all rows with whole texts.
 
 Defined cases: a null text counts as empty and gets a score like any text; with
-no positives or no documents to learn from every score is the prior (0.5 if
-nothing is labelled); repeated rows are scored one by one; null labels count as
-unlabelled, and of ids labelled twice a 1 counts; other columns are ignored; an
-empty table gives an empty result.
+no positives or no documents to learn from every score is 0.5; texts of any
+length are read whole; repeated rows are scored one by one, and an id counts once
+among the texts to learn from; null labels count as unlabelled, and of ids labelled
+twice a 1 counts; other columns are ignored, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ from pyspark.sql import functions as F
 POSITIVES, UNLABELLED = 6000, 12000
 THRESHOLD = 0.3
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 24, 60, 256, 0.01, 1e-4, 7
+#: Of the sampling error in the estimate of the prior.
+CONFIDENCE = 0.1
 
 _DIGITS = b"0123456789"
 _UPPER = bytes(range(65, 91))
@@ -89,7 +96,8 @@ class Network:
         self.w: list[np.ndarray] | None = None
         self.mean = self.scale = np.zeros(0)
 
-    def fit(self, positive: np.ndarray, unlabelled: np.ndarray) -> "Network":
+    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, apart: bool = False) -> "Network":
+        """Minimise the non-negative risk; or, to tell positives and unlabelled ``apart``, the plain one of two equal classes."""
         both = np.concatenate([positive, unlabelled])
         self.mean, self.scale = both.mean(axis=0), both.std(axis=0) + 1e-6
         p, u = self.standard(positive), self.standard(unlabelled)
@@ -101,13 +109,7 @@ class Network:
         for _ in range(EPOCHS):
             order, chosen = rnd.permutation(len(u)), rnd.integers(0, len(p), (steps, BATCH))
             for k in range(steps):
-                xp, xu = p[chosen[k]], u[order[k * BATCH : (k + 1) * BATCH]]
-                gp_plus, gp_minus, gu_minus, minus_part = self._risk(w, xp, xu)
-                if minus_part >= 0:
-                    g_out_p, g_out_u = self.prior * (gp_plus - gp_minus), gu_minus
-                else:
-                    g_out_p, g_out_u = self.prior * gp_minus, -gu_minus
-                grads = [a + b for a, b in zip(self._back(w, xp, g_out_p / len(xp)), self._back(w, xu, g_out_u / len(xu)))]
+                grads = self.slopes(w, p[chosen[k]], u[order[k * BATCH : (k + 1) * BATCH]], apart)
                 t += 1
                 for i, g in enumerate(grads):
                     g = g + DECAY * w[i]
@@ -117,6 +119,25 @@ class Network:
         self.w = w
         return self
 
+    def risk(self, w, xp, xu, apart: bool = False) -> float:
+        """The risk that is minimised: sigmoid losses of P as positive, of U and P as negative."""
+        sp, su = self._sigmoid(self._out(w, xp)), self._sigmoid(self._out(w, xu))
+        if apart:
+            return float((1 - sp).mean() + su.mean())
+        return float(self.prior * (1 - sp).mean() + max(0.0, su.mean() - self.prior * sp.mean()))
+
+    def slopes(self, w, xp, xu, apart: bool = False) -> list[np.ndarray]:
+        """Its gradient; where the part in max() is negative, the step against that part."""
+        sp, su = self._sigmoid(self._out(w, xp)), self._sigmoid(self._out(w, xu))
+        dp, du = sp * (1 - sp), su * (1 - su)
+        if apart:
+            at_p, at_u = -dp, du
+        elif su.mean() - self.prior * sp.mean() >= 0:
+            at_p, at_u = -2 * self.prior * dp, du
+        else:
+            at_p, at_u = self.prior * dp, -du
+        return [a + b for a, b in zip(self._back(w, xp, at_p / len(xp)), self._back(w, xu, at_u / len(xu)))]
+
     def standard(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -6, 6)
 
@@ -124,11 +145,6 @@ class Network:
     def _out(w: list[np.ndarray], x: np.ndarray) -> np.ndarray:
         return np.tanh(x @ w[0] + w[1]) @ w[2] + w[3][0]
 
-    def _risk(self, w, xp, xu):
-        """Slopes of the sigmoid losses at the outputs: of P as positive, P and U as negative; and the part that must stay over 0."""
-        sp, su = self._sigmoid(self._out(w, xp)), self._sigmoid(self._out(w, xu))
-        return -sp * (1 - sp), sp * (1 - sp), su * (1 - su), su.mean() - self.prior * sp.mean()
-
     @staticmethod
     def _sigmoid(z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -145,35 +161,49 @@ class Network:
         return self._sigmoid(self._out(self.w, self.standard(x)))
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled, from these two samples alone; 0.5 where there are under two of either."""
+    if min(len(positive), len(unlabelled)) < 2:
+        return 0.5
+    judge = Network(0.5).fit(positive[::2], unlabelled[::2], apart=True)
+    p, u = np.sort(judge.score(positive[1::2])), np.sort(judge.score(unlabelled[1::2]))
+    above = lambda x, c: (len(x) - np.searchsorted(x, c)) / len(x)
+    cuts = np.unique(p)
+    of_p, of_u = above(p, cuts), above(u, cuts)
+    error = np.sqrt(np.log(4 / CONFIDENCE) / 2) * (len(u) ** -0.5 + len(p) ** -0.5)
+    best = np.argmin((of_u + error) / of_p)
+    return float(np.clip(of_u[best] / of_p[best], 0.02, 0.98))
+
+
 def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def _featured(texts: DataFrame) -> np.ndarray:
-    """Features of a bounded number of texts, on the driver, in a fixed order."""
+    """Features of the texts (doc_id, text) of a bounded number of ids, on the driver, in a fixed order; of several texts of one id that of least hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [features(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
+            x = [features(t.as_py()) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "hash", "x"])
 
-    rows = sorted((r[0], *r[1]) for r in texts.mapInArrow(run, "doc_id long, x array<double>").collect())
-    return np.array([r[1:] for r in rows])
+    each = texts.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "doc_id long, hash long, x array<double>")
+    rows = each.groupBy("doc_id").agg(F.min(F.struct("hash", "x")).alias("least")).select("doc_id", "least.x").collect()
+    return np.array([r[1] for r in sorted(map(tuple, rows))])
 
 
 def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Network:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    fold = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(
-        ~held_out(F.col("doc_id")) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()
-    )
-    n, ones = fold.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("quality") == 1).cast("int")), F.lit(0))).first()
-    prior = min(max(ones / n, 0.02), 0.98) if n else 0.5
-    #: Ids alone are ordered and cut; a set of bounded size then meets the texts as a broadcast.
-    first = lambda ids, k: F.broadcast(ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(k).withColumnRenamed("doc_id", "chosen"))
-    of = lambda chosen: texts.join(chosen, F.col("doc_id") == F.col("chosen"), "left_semi")
-    p = _featured(of(first(fold.filter("quality = 1").select("doc_id"), positives)))
-    u = _featured(of(first(texts.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id"), unlabelled)))
-    network = Network(prior)
+    fold = lambda ids: ids.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).distinct()
+
+    def sample(ids: DataFrame, k: int) -> np.ndarray:
+        """Ids alone are ordered and cut; a set of bounded size then meets the texts as a broadcast."""
+        chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(k).withColumnRenamed("doc_id", "chosen")
+        return _featured(texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen"), "left_semi"))
+
+    p = sample(fold(labels.filter(F.col("quality").cast("int") == 1).select(F.col("doc_id").cast("long").alias("doc_id"))), positives)
+    u = sample(fold(texts.select("doc_id")), unlabelled)
+    network = Network(class_prior(p, u) if len(p) and len(u) else 0.5)
     return network.fit(p, u) if len(p) and len(u) else network
 
 

@@ -10,7 +10,7 @@ moves few slots between the others.
 Defined cases: a null key is placed like the empty string; equal keys always
 share a shard; a shard named twice counts once; no shards is an error. An empty
 table gives an empty result, and columns of the input other than the key are
-ignored (``place``) or kept as they are (``with_shard``).
+ignored (``place``) or kept as they are (``with_shard``), whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Prime; over a hundred slots a shard for up to 655 shards, so shares differ by under 1 %.
 TABLE_SIZE = 65537
 #: The table is sent to every executor; its size is fixed by TABLE_SIZE, never by the data.
@@ -79,15 +81,14 @@ def place(docs: DataFrame, shards: list[str], key: str = "doc_id", size: int = T
 
 def with_shard(docs: DataFrame, shards: list[str], key: str = "doc_id", size: int = TABLE_SIZE, name: str = "shard") -> DataFrame:
     """docs with one more column, the shard (an existing column of that name is replaced)."""
-    looked = lookup_table(docs.sparkSession, shards, size).select(
-        F.col("slot").alias("_tessera_slot"), F.col("shard").alias("_tessera_shard")
-    )
+    at, slot, owner = unused(docs, "_at", "_slot", "_owner")
+    looked = lookup_table(docs.sparkSession, shards, size).toDF(slot, owner)
     out = docs.drop(name) if name != key else docs
     return (
-        out.withColumn("_tessera_at", slot_of(F.col(key), size))
-        .join(F.broadcast(looked), F.col("_tessera_at") == F.col("_tessera_slot"))
-        .withColumn(name, F.col("_tessera_shard"))
-        .drop("_tessera_at", "_tessera_slot", "_tessera_shard")
+        out.withColumn(at, slot_of(F.col(key), size))
+        .join(F.broadcast(looked), F.col(at) == F.col(slot))
+        .withColumn(name, F.col(owner))
+        .drop(at, slot, owner)
     )
 
 

@@ -5,37 +5,43 @@ sums of the turns' tokens choose spans of whole turns: every window opens with
 the system turn (a first turn of role "system", repeated in each window), then
 repeats as much of the latest history as fits ``history`` tokens, then takes new
 turns as long as the budget lasts, one at least. So a turn that alone exceeds
-the budget stands in an oversize window of its own; nothing is cut. Assistant
-turns are targets: their text is under the loss mask where the turn is new, and
-masked where it is repeated.
+the budget stands in an oversize window of its own; nothing is cut. What is
+counted is the turn as it is written, with its marks and escapes; as every turn
+ends its line, no token spans two turns, and a window's tokens are the sum of its
+turns'. Assistant turns are targets: their text is under the loss mask where the
+turn is new, and masked where it is repeated.
 
 Template: ``<|turn|>role\\n text <|end|>\\n`` per turn. Control strings inside roles and
 texts get a backslash after their first character, and one more where backslashes
 stand there already, so that unescaping gives back every text.
 
-Each conversation streams through one task in turn order, one window in memory
-at a time, so that a conversation of any number of turns needs only the memory
-of a window.
+Turns are counted where they are read, whatever conversation they belong to. Then
+each conversation streams through one task in turn order, one window in memory at
+a time, so that a conversation of any number of turns needs only the memory of a
+window.
 
-Defined cases: null texts and null roles count as empty; turns are ordered by
-turn (null first), then role, then text, so ties and repeated rows have one
-order and all stay; a null conv_id is one conversation; only a first turn can be
-the system turn; other columns are ignored; an empty table gives an empty result.
+Defined cases: null texts and null roles count as empty; texts of any length are
+whole turns; turns are ordered by turn (null first), then role, then text, so
+ties and repeated rows have one order and all stay; a null conv_id is one
+conversation; only a first turn can be the system turn; other columns are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import deque
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
+from .common import portions
 
 BUDGET, HISTORY = 1024, 256
 TURN, END = "<|turn|>", "<|end|>"
@@ -76,14 +82,13 @@ def _unrole(role: str) -> str:
 
 @dataclass
 class Turn:
+    """A turn as it is written: its head, its escaped text, and the tokens of all of it."""
+
     role: str
-    text: str
+    head: str
+    body: str
     tokens: int
 
-    @property
-    def head(self) -> str:
-        return f"{TURN}{_role(self.role)}\n"
-
     @property
     def target(self) -> bool:
         return self.role == "assistant"
@@ -98,66 +103,94 @@ class Window:
     n_tokens: int
 
 
+def turn(role: str, text: str, tokens: int = 0) -> Turn:
+    return Turn(role, f"{TURN}{_role(role)}\n", escape(text), tokens)
+
+
+def tokens_of(role: str, text: str, count: Callable[[str], int]) -> int:
+    t = turn(role, text)
+    return count(f"{t.head}{t.body}{END}\n")
+
+
 def _window(system: list[Turn], past: list[Turn], new: list[Turn]) -> Window:
     parts, targets, at = [], [], 0
     for k, t in enumerate(turns := [*system, *past, *new]):
-        body = escape(t.text)
         start = at + len(t.head)
         if t.target and k >= len(turns) - len(new):
-            targets.append((start, start + len(body)))
-        parts += [t.head, body, END, "\n"]
-        at = start + len(body) + len(END) + 1
+            targets.append((start, start + len(t.body)))
+        parts += [t.head, t.body, END, "\n"]
+        at = start + len(t.body) + len(END) + 1
     return Window("".join(parts), targets, len(new), len(turns), sum(t.tokens for t in turns))
 
 
 def windows(turns: Iterable[Turn], budget: int = BUDGET, history: int = HISTORY) -> Iterator[Window]:
-    """The windows of one conversation. ``past`` and ``new`` are spans between two prefix sums of the turns' tokens."""
+    """The windows of one conversation.
+
+    ``sums[k]`` are the tokens before turn k of those still held, and sums[-1]
+    of all: a window is a span [low, fresh) of history and [fresh, end) of new
+    turns, chosen by differences of these sums. What no later window can repeat
+    is let go.
+    """
     system: list[Turn] = []
-    past: deque[Turn] = deque()
-    new: list[Turn] = []
-    fixed = before = fresh = 0
-    first = True
-    for t in turns:
-        if first and t.role == "system":
-            system, fixed, first = [t], t.tokens, False
+    held: list[Turn] = []
+    sums, low, fresh, fixed = [0], 0, 0, 0
+    for k, t in enumerate(turns):
+        if k == 0 and t.role == "system":
+            system, fixed = [t], t.tokens
             continue
-        first = False
-        if new and fixed + before + fresh + t.tokens > budget:
-            yield _window(system, list(past), new)
-            past.extend(new)
-            before, new, fresh = before + fresh, [], 0
-            while past and (before > history or fixed + before + t.tokens > budget):
-                before -= past.popleft().tokens
-        new.append(t)
-        fresh += t.tokens
-    if new or system:
-        yield _window(system, list(past), new)
-
-
-def _sorted(conversations: DataFrame) -> DataFrame:
+        if fresh < len(held) and fixed + sums[-1] - sums[low] + t.tokens > budget:
+            yield _window(system, held[low:fresh], held[fresh:])
+            fresh = len(held)
+            room = min(history, budget - fixed - t.tokens)
+            low = min(bisect_left(sums, sums[-1] - room), fresh)
+            held, sums, low, fresh = held[low:], sums[low:], 0, fresh - low
+        held.append(t)
+        sums.append(sums[-1] + t.tokens)
+    if system or fresh < len(held):
+        yield _window(system, held[low:fresh], held[fresh:])
+
+
+COUNTED = "conv_id long, turn long, role string, text string, tokens long"
+
+
+def _counted(conversations: DataFrame, file: str) -> DataFrame:
+    """Turns with their tokens as they are written: conversations do not matter yet, so a long one is spread like any other rows."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     plain = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text("role"), text("text"))
-    return plain.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = bpe.load(file).count
+        try:
+            for whole in batches:
+                for b in portions(whole, 3):
+                    n = [tokens_of(r, t, count) for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], [c.split()[0] for c in COUNTED.split(", ")])
+        finally:
+            bpe.load(file).forget()
+
+    return plain.mapInArrow(run, COUNTED)
+
+
+def _sorted(counted: DataFrame) -> DataFrame:
+    order = ("conv_id", "turn", "role", "text")
+    return counted.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "role", "text", "tokens")
 
-def _turns(batches: Iterator[pa.RecordBatch], file: str) -> Iterator[tuple[int | None, Turn]]:
-    count, per_turn = bpe.load(file).count, 4
+
+def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, Turn]]:
     for b in batches:
         for i in range(b.num_rows):
-            role, text = b.column(2)[i].as_py(), b.column(3)[i].as_py()
-            yield b.column(0)[i].as_py(), Turn(role, text, count(text) + per_turn)
+            conv, role, text, tokens = (b.column(j)[i].as_py() for j in range(4))
+            yield conv, turn(role, text, tokens)
 
 
 def _by_conversation(turns: Iterator[tuple[int | None, Turn]]) -> Iterator[tuple[int | None, Iterator[Turn]]]:
-    """Like itertools.groupby: one pass, nothing held."""
-    from itertools import groupby
-
+    """One pass, nothing held."""
     for conv, group in groupby(turns, key=lambda x: x[0]):
         yield conv, (t for _, t in group)
 
 
-def _format(batches: Iterator[pa.RecordBatch], file: str, budget: int, history: int) -> Iterator[tuple[int | None, int, Window]]:
-    for conv, turns in _by_conversation(_turns(batches, file)):
+def _format(batches: Iterator[pa.RecordBatch], budget: int, history: int) -> Iterator[tuple[int | None, int, Window]]:
+    for conv, turns in _by_conversation(_turns(batches)):
         for nth, w in enumerate(windows(turns, budget, history)):
             yield conv, nth, w
 
@@ -180,19 +213,16 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
             return pa.RecordBatch.from_arrays(arrays, ["conv_id", "nth", "text", "targets", "n_new", "n_turns", "n_tokens"])
 
         size = 0
-        try:
-            for conv, nth, w in _format(batches, file, budget, history):
-                rows.append((conv, nth, w.text, w.targets, w.n_new, w.n_turns, w.n_tokens))
-                size += len(w.text)
-                if len(rows) >= 1000 or size > 4_000_000:
-                    yield batch()
-                    rows, size = [], 0
-            if rows:
+        for conv, nth, w in _format(batches, budget, history):
+            rows.append((conv, nth, w.text, w.targets, w.n_new, w.n_turns, w.n_tokens))
+            size += len(w.text)
+            if len(rows) >= 1000 or size > 4_000_000:
                 yield batch()
-        finally:
-            bpe.load(file).forget()
+                rows, size = [], 0
+        if rows:
+            yield batch()
 
-    return _sorted(conversations).mapInArrow(run, WINDOWS)
+    return _sorted(_counted(conversations, file)).mapInArrow(run, WINDOWS)
 
 
 def parse(text: str) -> list[tuple[str, str, int, int]]:

@@ -21,9 +21,11 @@ first, two texts of similarity t share one of the first n - t n + 1 of each, and
 the shorter one has it among its first n - 2 t / (1 + t) n + 1. So a node makes a
 row for each element of its prefix, which are its rare ones, and however large a
 bucket is, what all its texts have in common makes no pairs; the rest is weighed
-by where in both texts the shared element stands. Pairs that this leaves, between
-parts, are compared. A comparison is exact: weighted Jaccard of all shingles of
-both whole texts.
+by where in both texts the shared element stands. Of the pairs that this leaves
+between parts, twice a forest is compared, likeliest pairs first, so that near
+copies of one another become one part by as many comparisons as they are; then,
+with the parts that this gives, all pairs between parts are. A comparison is
+exact: weighted Jaccard of all shingles of both whole texts.
 
 Defined cases: null counts as empty; a text of one to four words has one shingle
 of all its words; wordless texts have none and are near no other text, but
@@ -287,43 +289,56 @@ def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.ceil(SIMILARITY / (1 + SIMILARITY) * (a + b) - 1e-9)
 
 
-PREFIX = "element long, node binary, part long, size long, at long, short boolean"
+PREFIX = "element long, node binary, size long, at long, short boolean, sketch binary"
+#: Four bits each of the least element in so many classes of elements: only says which pairs are compared first.
+SKETCH = 64
+
+
+def _sketch(e: np.ndarray) -> bytes:
+    ordered = np.sort(e)
+    slots, at = np.unique((ordered % np.uint64(SKETCH)).astype(np.int64), return_index=True)
+    nibbles = np.zeros(SKETCH, np.uint8)
+    nibbles[slots] = (ordered[at] >> np.uint64(8)).astype(np.uint8) & 15
+    return (nibbles[0::2] | nibbles[1::2] << 4).tobytes()
 
 
 def _prefixes(texts: DataFrame) -> DataFrame:
-    """PREFIX rows of texts (node, part, text): elements of every prefix, where they stand in it, and whether the shorter of two similar texts could first share one there."""
+    """PREFIX rows of texts (node, text): elements of every prefix, where they stand in it, and whether the shorter of two similar texts could first share one there."""
     table = texts.sparkSession.sparkContext.broadcast(_frequencies(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for whole in batches:
-            for b in portions(whole, 2):
-                rows: list[tuple[np.ndarray, int, int]] = []
-                for t in b.column(2):
+            for b in portions(whole, 1):
+                rows: list[tuple[np.ndarray, int, int, bytes]] = []
+                for t in b.column(1):
                     e = elements(t.as_py(), hashes)
                     n = len(e)
                     order = np.lexsort((e, table.value[_slot(e)]))[: n - ceil(SIMILARITY * n - 1e-9) + 1]
-                    rows.append((e[order], n, n - int(overlap(np.int64(n), np.int64(n))) + 1))
+                    rows.append((e[order], n, n - int(overlap(np.int64(n), np.int64(n))) + 1, _sketch(e)))
                 lengths = [len(r[0]) for r in rows]
-                back = np.repeat(np.arange(len(rows)), lengths)
+                back = pa.array(np.repeat(np.arange(len(rows)), lengths))
                 at = np.concatenate([np.arange(n) for n in lengths])
-                size, short = (np.array([r[k] for r in rows], np.int64)[back] for k in (1, 2))
+                size, short = (pa.array([r[k] for r in rows], pa.int64()).take(back) for k in (1, 2))
+                sketch = pa.array([r[3] for r in rows], pa.binary()).take(back)
                 found = np.concatenate([r[0] for r in rows]).view(np.int64)
-                arrays = [pa.array(found), b.column(0).take(pa.array(back)), b.column(1).take(pa.array(back)), pa.array(size), pa.array(at), pa.array(at < short)]
+                arrays = [pa.array(found), b.column(0).take(back), size, pa.array(at), pa.array(at < short.to_numpy()), sketch]
                 yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in PREFIX.split(", ")])
 
-    return texts.select("node", "part", "text").mapInArrow(run, PREFIX)
+    return texts.select("node", "text").mapInArrow(run, PREFIX)
 
 
-def _prefix_pairs(steps: Steps, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts (node, part, text) of different parts that may be similar, every one that is among them."""
-    rows = steps.written(_prefixes(texts), "prefixes")
+def _prefix_pairs(steps: Steps, prefixes: DataFrame, label: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (a, b) of nodes of different parts that may be similar: all, or of each piece of work a forest. label (node, part)."""
+    part = label.select(F.col("node").alias("of"), F.xxhash64("part").alias("part"))
+    rows = prefixes.join(part, F.col("node") == F.col("of")).drop("of")
     shared = rows.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("p"), F.max("part").alias("q"), F.max("short").alias("short"))
     open_ = steps.written(shared.filter("p != q AND short").select(F.col("element").alias("key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "shared-elements")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     met = rows.join(open_, F.col("element") == F.col("key")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = ["own", "node", "part", "size", "at", "short", *(["sketch"] if forest else [])]
     dealt = (
-        met.select("element", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "part", "size", "at", "short")
+        met.select("element", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), *columns)
         .repartition("element", "lo", "hi")
         .sortWithinPartitions("element", "lo", "hi")
     )
@@ -331,13 +346,13 @@ def _prefix_pairs(steps: Steps, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for b in batches:
-            last = tuple(b.column(j)[b.num_rows - 1].as_py() for j in range(3)) if b.num_rows else None
-            if last is None:
+            if not b.num_rows:
                 continue
+            last = tuple(b.column(j)[b.num_rows - 1].as_py() for j in range(3))
             same = np.ones(b.num_rows, bool)
             for j in range(3):
                 same &= b.column(j).to_numpy(zero_copy_only=False) == last[j]
-            start = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            start = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
             if start or (held and tuple(held[-1].column(j)[0].as_py() for j in range(3)) != last):
                 yield _near(pa.Table.from_batches([*held, b.slice(0, start)]))
                 held = []
@@ -349,7 +364,7 @@ def _prefix_pairs(steps: Steps, texts: DataFrame) -> DataFrame:
 
 
 def _near(t: pa.Table) -> pa.RecordBatch:
-    """Pairs within whole groups of rows that are sorted by (element, lo, hi)."""
+    """Pairs within whole groups of rows that are sorted by (element, lo, hi); if there are sketches, a forest of them over the parts."""
     column = lambda c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
     element, lo, hi, own, part, size, at, short = map(column, ("element", "lo", "hi", "own", "part", "size", "at", "short"))
     n = len(element)
@@ -367,12 +382,36 @@ def _near(t: pa.Table) -> pa.RecordBatch:
         left.append(x[fits])
         right.append(y[fits])
         step += 1
+    x, y = np.concatenate(left), np.concatenate(right)
+    if "sketch" in t.column_names and len(x):
+        chosen = _forest(part, np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(n, -1), x, y)
+        x, y = x[chosen], y[chosen]
     nodes = t.column("node").combine_chunks()
-    x, y = (nodes.take(pa.array(np.concatenate(k))) for k in (left, right))
-    ordered = [sorted(p) for p in zip(x.to_pylist(), y.to_pylist())]
+    ends = zip(*(nodes.take(pa.array(k)).to_pylist() for k in (x, y)))
+    ordered = [sorted(p) for p in ends]
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in ordered], pa.binary()) for k in (0, 1)], ["a", "b"])
 
 
+def _forest(part: np.ndarray, sketch: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Which of the pairs join parts that no likelier pair has joined."""
+    alike = np.concatenate([((a := sketch[x[k : k + 4096]] ^ sketch[y[k : k + 4096]]) & 15 == 0).sum(axis=1) + (a >> 4 == 0).sum(axis=1) for k in range(0, len(x), 4096)])
+    root: dict[int, int] = {}
+
+    def find(p: int) -> int:
+        while (q := root.get(p, p)) != p:
+            root[p] = p = root.get(q, q)
+        return p
+
+    out = []
+    of_x, of_y = part[x].tolist(), part[y].tolist()
+    for k in np.argsort(-alike, kind="stable").tolist():
+        a, b = find(of_x[k]), find(of_y[k])
+        if a != b:
+            root[b] = a
+            out.append(k)
+    return out
+
+
 def components(steps: Steps, links: DataFrame) -> DataFrame:
     """node, part: the parts that hang together by links (a, b); part is one of their nodes.
 
@@ -398,6 +437,14 @@ def components(steps: Steps, links: DataFrame) -> DataFrame:
             return label
 
 
+def _linked(steps: Steps, label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (node, part) with the parts put together that links (a, b) of nodes join."""
+    part_of = lambda end, name: label.select(F.col("node").alias(end), F.col("part").alias(name))
+    joined = components(steps, links.join(part_of("a", "pa"), "a").join(part_of("b", "pb"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")))
+    whole = joined.select(F.col("node").alias("part"), F.col("part").alias("whole"))
+    return steps.written(label.join(whole, "part", "left").select("node", F.coalesce("whole", "part").alias("part")), "labels")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, class_id, class_size (rows), text_copies (rows with the same text)."""
     signed, classes = _classed(docs, id_col, text_col)
@@ -423,20 +470,15 @@ def _classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = steps.written(inside.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     compared = inside.select(F.col("node").alias("of")).distinct().join(reps.select(F.col("node").alias("of"), "rep"), "of")
     some = steps.written(texts.join(compared, stands).select("node", "text").dropDuplicates(["node"]), "compared-texts")
-    parts = components(steps, _with_centre(steps, some, first))
-    labelled = steps.written(inside.join(parts, "node", "left").select("bucket", "node", F.coalesce("part", "node").alias("part")), "labelled")
+    label = _linked(steps, steps.written(some.select("node", F.col("node").alias("part")), "labels"), _with_centre(steps, some, first))
+    labelled = inside.select("bucket", "node").join(label, "node")
     open_keys = labelled.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select(F.col("bucket").alias("key"))
-    loose = labelled.join(open_keys, F.col("bucket") == F.col("key"), "left_semi").select(F.col("node").alias("of"), F.xxhash64("part").alias("part")).distinct()
-    open_texts = steps.written(some.join(loose, F.col("node") == F.col("of")).select("node", "part", "text"), "open-texts")
-    part_of = lambda end, name: parts.select(F.col("node").alias(end), F.col("part").alias(name))
-    links = _with_centre(steps, some, _prefix_pairs(steps, open_texts))
-    more = links.join(part_of("a", "pa"), "a", "left").join(part_of("b", "pb"), "b", "left")
-    merged = components(steps, more.select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b")))
-    placed = (
-        reps.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-        .join(merged.select(F.col("node").alias("part"), F.col("part").alias("whole")), "part", "left")
-        .select("node", "rep", "text_copies", F.coalesce("whole", "part").alias("part"))
-    )
+    loose = inside.join(open_keys, F.col("bucket") == F.col("key"), "left_semi").select(F.col("node").alias("of")).distinct()
+    open_texts = steps.written(some.join(loose, F.col("node") == F.col("of"), "left_semi"), "open-texts")
+    prefixes = steps.written(_prefixes(open_texts), "prefixes")
+    for forest in (True, True, False):
+        label = _linked(steps, label, _with_centre(steps, some, _prefix_pairs(steps, prefixes, label, forest)))
+    placed = reps.join(label, "node", "left").select("node", "rep", "text_copies", F.coalesce("part", "node").alias("part"))
     placed = steps.written(placed, "placed")
     classes = placed.groupBy("part").agg(F.min("rep").alias("class_id"), F.sum("text_copies").alias("class_size"), F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("lead"))
     known = steps.written(placed.join(classes, "part").select(F.col("node").alias("of"), "class_id", "class_size", "text_copies", (F.col("node") == F.col("lead.node")).alias("leads")), "classes")

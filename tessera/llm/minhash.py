@@ -22,7 +22,7 @@ the shorter one has it among its first n - 2 t / (1 + t) n + 1. So a node makes
 row for each element of its prefix, which are its rare ones, and however large a
 bucket is, what all its texts have in common makes no pairs; the rest is weighed
 by where in both texts the shared element stands. Of the pairs that this leaves
-between parts, twice a forest is compared, likeliest pairs first, so that near
+between parts, first a forest is compared, likeliest pairs first, so that near
 copies of one another become one part by as many comparisons as they are; then,
 with the parts that this gives, all pairs between parts are. A comparison is
 exact: weighted Jaccard of all shingles of both whole texts.
@@ -60,7 +60,7 @@ DARTS = int(K * np.log(K) + 2 * K)
 #: Members compared with one copy of a centre's text in one group; hot centres are dealt to several groups.
 GROUP = 256
 #: Rows of one element's prefix table that meet in one piece of work, twice.
-BLOCK = 512
+BLOCK = 256
 #: Slots of the table of element frequencies, which is sent to all executors. Elements that share one are only ordered worse.
 SLOT_BITS = 18
 #: Words whose hashes a worker keeps; at the bound it starts anew.
@@ -328,6 +328,13 @@ def _prefixes(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, PREFIX)
 
 
+def _shared(steps: Steps, prefixes: DataFrame) -> DataFrame:
+    """The rows of elements that several prefixes share, and a shorter text early enough; most elements are in one text alone."""
+    counts = prefixes.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.max("short").alias("short"))
+    useful = counts.filter("n > 1 AND short").select(F.col("element").alias("key"))
+    return steps.written(prefixes.join(useful, F.col("element") == F.col("key"), "left_semi"), "shared-prefixes")
+
+
 def _prefix_pairs(steps: Steps, prefixes: DataFrame, label: DataFrame, forest: bool) -> DataFrame:
     """Pairs (a, b) of nodes of different parts that may be similar: all, or of each piece of work a forest. label (node, part)."""
     part = label.select(F.col("node").alias("of"), F.xxhash64("part").alias("part"))
@@ -475,8 +482,8 @@ def _classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     open_keys = labelled.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select(F.col("bucket").alias("key"))
     loose = inside.join(open_keys, F.col("bucket") == F.col("key"), "left_semi").select(F.col("node").alias("of")).distinct()
     open_texts = steps.written(some.join(loose, F.col("node") == F.col("of"), "left_semi"), "open-texts")
-    prefixes = steps.written(_prefixes(open_texts), "prefixes")
-    for forest in (True, True, False):
+    prefixes = _shared(steps, steps.written(_prefixes(open_texts), "prefixes"))
+    for forest in (True, False):
         label = _linked(steps, label, _with_centre(steps, some, _prefix_pairs(steps, prefixes, label, forest)))
     placed = reps.join(label, "node", "left").select("node", "rep", "text_copies", F.coalesce("part", "node").alias("part"))
     placed = steps.written(placed, "placed")

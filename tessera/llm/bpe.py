@@ -225,6 +225,23 @@ class WordBpe:
         ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
         return Encoded(entries, pieces.indices.to_numpy(zero_copy_only=False), ends)
 
+    def apart(self, texts: pa.Array) -> np.ndarray:
+        """Which texts are encoded by themselves: those with a special token, and very long ones."""
+        apart = pc.greater(pc.binary_length(texts), LONG)
+        for s in self.specials:
+            apart = pc.or_(apart, pc.match_substring(texts, s))
+        return apart.to_numpy(zero_copy_only=False)
+
+    def count_all(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of every text of a portion (none null)."""
+        apart = self.apart(texts)
+        n = np.zeros(len(texts), np.int64)
+        if not apart.all():
+            n[~apart] = self.encode_all(texts.filter(pa.array(~apart))).n_tokens
+        for i in np.flatnonzero(apart):
+            n[i] = self.count(texts[i].as_py())
+        return n
+
     def count(self, text: str) -> int:
         return sum(n for _, _, n in self.entries(text))
 
@@ -265,14 +282,6 @@ def load(path: str) -> WordBpe:
     return _loaded[path]
 
 
-def _apart(bpe: WordBpe, texts: pa.Array) -> np.ndarray:
-    """Texts that are encoded by themselves: those with a special token, and very long ones."""
-    apart = pc.greater(pc.binary_length(texts), LONG)
-    for s in bpe.specials:
-        apart = pc.or_(apart, pc.match_substring(texts, s))
-    return apart.to_numpy(zero_copy_only=False)
-
-
 def _texts(batch: pa.RecordBatch) -> pa.Array:
     return pc.fill_null(batch.column(1), "")
 
@@ -291,7 +300,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             for whole in batches:
                 for b in portions(whole, 1, PORTION_ROWS, PORTION_BYTES):
                     texts = _texts(b)
-                    apart = _apart(bpe, texts)
+                    apart = bpe.apart(texts)
                     if not apart.all():
                         found = bpe.encode_all(texts.filter(pa.array(~apart)))
                         yield out(b.column(0).filter(pa.array(~apart)), found.ids(), found.n_tokens)
@@ -339,7 +348,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
             for whole in batches:
                 for b in portions(whole, 1, PORTION_ROWS, PORTION_BYTES):
                     texts = _texts(b)
-                    apart = _apart(bpe, texts)
+                    apart = bpe.apart(texts)
                     if not apart.all():
                         found = bpe.encode_all(texts.filter(pa.array(~apart)))
                         ids, decoded = ([hexed(x.as_buffer()) for x in found.joined(part)] for part in (0, 1))

@@ -32,7 +32,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -107,9 +107,10 @@ def turn(role: str, text: str, tokens: int = 0) -> Turn:
     return Turn(role, f"{TURN}{_role(role)}\n", escape(text), tokens)
 
 
-def tokens_of(role: str, text: str, count: Callable[[str], int]) -> int:
+def said(role: str, text: str) -> str:
+    """A turn as it is written."""
     t = turn(role, text)
-    return count(f"{t.head}{t.body}{END}\n")
+    return f"{t.head}{t.body}{END}\n"
 
 
 def _window(system: list[Turn], past: list[Turn], new: list[Turn]) -> Window:
@@ -159,14 +160,15 @@ def _counted(conversations: DataFrame, file: str) -> DataFrame:
     plain = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text("role"), text("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = bpe.load(file).count
+        encoder = bpe.load(file)
         try:
             for whole in batches:
-                for b in portions(whole, 3):
-                    n = [tokens_of(r, t, count) for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+                for b in portions(whole, 3, bpe.PORTION_ROWS, bpe.PORTION_BYTES):
+                    texts = pa.array([said(r, t) for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.string())
+                    n = encoder.count_all(texts)
                     yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], [c.split()[0] for c in COUNTED.split(", ")])
         finally:
-            bpe.load(file).forget()
+            encoder.forget()
 
     return plain.mapInArrow(run, COUNTED)
 

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import hashlib
 import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,84 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SETTING = "spark.checkpoint.dir"
-_own: dict[str, str] = {}
-
+from tessera.steps import Steps, delete, exists, folder, fresh_path, shared_folder, written  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; only Spark's readers touch the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``, and without that setting this
-    is an error. In local mode, where all run on one machine, a temporary folder
-    per process stands in for it and goes when the process ends.
-    """
-    named = spark.conf.get(SETTING, None)
-    if named:
-        return named.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError(f"{SETTING} must name a folder that the driver and all executors share")
-    if "dir" not in _own:
-        _own["dir"] = tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, _own["dir"], True)
-    return _own["dir"]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def _folder(spark: SparkSession, path: str):
-    """(file system, path) on the JVM, whatever store the path is in."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, at = _folder(spark, path)
-    return fs.exists(at)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    fs, at = _folder(spark, path)
-    fs.delete(at, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back.
-
-    This cuts lineage: what is read later does not depend on an executor that
-    may be lost meanwhile, and non-deterministic steps are fixed once.
-    """
-    return Steps(df.sparkSession).written(df, name)
-
-
-class Steps:
-    """The written steps of one run. Those that its answer does not read are deleted when the run is over."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.made: list[tuple[str, DataFrame]] = []
-
-    def written(self, df: DataFrame, name: str) -> DataFrame:
-        path = fresh_path(self.spark, name)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.made.append((path, out))
-        return out
-
-    def over(self, *read: DataFrame) -> None:
-        """Delete all steps but those in ``read``, which the answer still needs."""
-        for path, frame in self.made:
-            if not any(frame is r for r in read):
-                delete(self.spark, path)
-        self.made = []
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores before those that df has already."""
     have, out = {c.lower() for c in df.columns}, []
@@ -146,7 +71,7 @@ class BucketedTable:
         )
 
     def _begun(self) -> int | None:
-        fs, at = _folder(self.spark, self.path)
+        fs, at = folder(self.spark, self.path)
         if fs.exists(at):
             for status in fs.listStatus(at):
                 if m := re.fullmatch(r"buckets=(\d+)", status.getPath().getName()):

@@ -269,7 +269,7 @@ def test_windows_keep_their_budget(spark):
         got = chat.format_windows(d, budget, history).orderBy("conv_id", "nth").collect()
         assert all(own.count(w.text) == w.n_tokens and (w.n_tokens <= budget or w.n_new == 1) for w in got)
         for c in range(12):
-            n = [chat.tokens_of(r[2], r[3], own.count) for r in rows if r[0] == c]
+            n = [own.count(chat.said(r[2], r[3])) for r in rows if r[0] == c]
             fixed, turns, want, at = n[0], n[1:], [], 0
             while at < len(turns):
                 low = next(k for k in range(at + 1) if sum(turns[k:at]) <= min(history if want else 0, max(0, budget - fixed - turns[at])))

@@ -108,6 +108,22 @@ TAXONOMY_SQL = """
     FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS own FROM orders GROUP BY 1) ON o_custkey = c_custkey"""
 
 
+def taxonomy_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The taxonomy with a second parent for every customer: its market segment, which stands under the root too."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("segment-"), "c_mktsegment").alias("segment"))
+    tree = taxonomy(spark, sf_dir)
+    own = tree.select(F.col("node").alias("known"), "own")
+    second = c.select(F.concat(F.lit("customer-"), "c_custkey").alias("node"), F.col("segment").alias("parent")).join(own, F.col("node") == F.col("known")).select("node", "parent", "own")
+    segments = c.select(F.col("segment").alias("node"), F.lit("root").alias("parent"), F.lit(0).cast("long").alias("own")).distinct()
+    return tree.unionByName(second).unionByName(segments)
+
+
+TAXONOMY_DAG_SQL = f"""
+    SELECT * FROM ({TAXONOMY_SQL})
+    UNION ALL SELECT t.node, 'segment-' || c_mktsegment, own FROM customer JOIN ({TAXONOMY_SQL}) t ON t.node = 'customer-' || c_custkey
+    UNION ALL SELECT DISTINCT 'segment-' || c_mktsegment, 'root', 0 FROM customer"""
+
+
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(agent, concept, tick, energy): events in each user's own order; energy is the share of the value within the tick's day."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")

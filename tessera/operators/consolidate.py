@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.model import RUNGS
+from tessera.operators.resolve import dot, signal_end
+from tessera.steps import Steps
 
 #: Ids in a block of a candidate search, and anchors in a matrix of it.
 ID_BLOCK, ANCHORS = 2_000, 1_024
@@ -26,27 +28,78 @@ def exact_groups(artifacts: DataFrame) -> DataFrame:
     return artifacts.join(canonical, "content_ref").select("id", "canonical", (F.col("id") != F.col("canonical")).alias("archived"))
 
 
+#: Texts that share one shingle in their prefixes and meet in one piece of work, twice.
+PREFIX_BLOCK = 256
+
+
 def shingle_jaccard(docs: DataFrame, id_col: str, tokens: Column, size: int, threshold: float) -> DataFrame:
-    """(a, b, jaccard): advisory pairs by exact Jaccard of token shingles.
+    """(a, b, jaccard): advisory pairs by exact Jaccard of token shingles. Texts should be distinct (``exact_groups`` has their copies).
 
-    Prefix filter: with shingles in order of their hash, two sets of similarity
-    t share one among the first n - ceil(t n) + 1 of each, so only those are
-    joined, and the whole sets are then intersected.
+    Prefix filter: with the shingles of every text in one order, rarest first, two
+    sets of similarity t share one among the first n - ceil(t n) + 1 of each, and
+    where that one stands bounds what they can share at all. What many texts have
+    in common comes last and is in few prefixes; texts that do share a shingle
+    there meet block by block, so no hot one is a task of its own.
     """
+    steps = Steps(docs.sparkSession)
     grams = F.transform(F.sequence(F.lit(1), F.size("t") - size + 1), lambda i: F.xxhash64(F.array_join(F.slice("t", i, size), " ")))
-    sets = (
-        docs.select(F.col(id_col).alias("id"), tokens.alias("t")).filter(F.size("t") >= size)
-        .select("id", F.array_sort(F.array_distinct(grams)).alias("s"))
-    )
-    keep = F.size("s") - F.ceil(F.size("s") * threshold).cast("int") + 1
-    heads = sets.select("id", F.explode(F.slice("s", F.lit(1), keep)).alias("g"), F.size("s").alias("n"))
-    x, y = heads.select(F.col("id").alias("a"), "g", F.col("n").alias("na")), heads.select(F.col("id").alias("b"), "g", F.col("n").alias("nb"))
-    close = F.least("na", "nb") >= threshold * F.greatest("na", "nb")
-    pairs = x.join(y, "g").filter((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+    sets = steps.written(docs.select(F.col(id_col).alias("id"), tokens.alias("t")).filter(F.size("t") >= size).select("id", F.array_distinct(grams).alias("s")), "shingles")
+    each = sets.select("id", F.explode("s").alias("g"))
+    often = each.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    ordered = each.join(often, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
+    n = F.size("o")
+    head = F.slice("o", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
+    heads = steps.written(ordered.select("id", n.alias("n"), F.posexplode(head).alias("at", "x")).filter("x.df > 1").select("id", "n", "at", F.col("x.g").alias("g")), "prefixes")
+    shared = heads.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("g", F.ceil(F.col("m") / PREFIX_BLOCK).cast("int").alias("blocks"))
+    dealt = heads.join(shared, "g").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = dealt.withColumn("other", other).select("g", F.col("own").alias("x"), F.col("other").alias("y"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    right = dealt.withColumn("other", other).select("g", F.col("other").alias("x"), F.col("own").alias("y"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    need = F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
+    close = (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need)
+    pairs = steps.written(left.join(right, ["g", "x", "y"]).filter((F.col("a") < F.col("b")) & close).select("a", "b").distinct(), "pairs")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    jaccard = shared / (F.size("sa") + F.size("sb") - shared)
-    return both.select("a", "b", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold)
+    common = F.size(F.array_intersect("sa", "sb"))
+    out = steps.written(both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard")).filter(F.col("jaccard") >= threshold), "near-pairs")
+    steps.over(out)
+    return out
+
+
+def merge_boundary(k: int) -> float:
+    """The similarity from which a sketch of k coordinates cannot tell two sets from equal ones."""
+    return 1 - 1 / (k + 1)
+
+
+def advice(pairs: DataFrame, least: float, budget: int, k: int = 128) -> DataFrame:
+    """(src, dst, label, score, within_error, truncated): near pairs (a, b, jaccard) as advisory edges, the best first until the budget is spent; they archive nothing.
+
+    within_error says that the score reaches the merge boundary less its standard
+    error sqrt(J (1 - J) / k); truncated, whether the budget left some out.
+    """
+    some = pairs.filter(F.col("jaccard") >= least)
+    left_out = some.count() > budget
+    edge = merge_boundary(k)
+    score = F.col("jaccard")
+    return some.orderBy(F.desc("jaccard"), "a", "b").limit(budget).select(
+        F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("near_dup_candidate").alias("label"), score.alias("score"),
+        (score >= edge - F.sqrt(score * (1 - score) / k)).alias("within_error"), F.lit(left_out).alias("truncated"),
+    )
+
+
+def archived(artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(artifacts with all but the canonical member of each group of equal content archived, consolidates edges from canonical to member)."""
+    groups = exact_groups(artifacts)
+    rows = artifacts.join(groups, "id").withColumn("state", F.when(F.col("archived"), "archived").otherwise(F.col("state")))
+    return rows.drop("canonical", "archived"), groups.filter("archived").select(F.col("canonical").alias("src"), F.col("id").alias("dst"), F.lit("consolidates").alias("label"))
+
+
+def rho(artifacts: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: bytes, and the share of them that is not reconstructible before and after a consolidation. artifacts (id, bytes); before, after (id) of the members that others stand for."""
+    flag = lambda df, name: df.select("id", F.lit(True).alias(name)).distinct()
+    rows = artifacts.join(flag(before, "old"), "id", "left").join(flag(after, "new"), "id", "left")
+    kept = lambda c: F.sum(F.when(F.col(c).isNull(), F.col("bytes")).otherwise(0))
+    total = F.sum("bytes")
+    return rows.agg(total.cast("long").alias("bytes"), kept("new").cast("long").alias("kept"), F.count("new").alias("archived"), (kept("old") / total).alias("rho_before"), (kept("new") / total).alias("rho_after"))
 
 
 def anchors(edges: DataFrame, labels: list[str]) -> DataFrame:
@@ -66,7 +119,7 @@ def candidates(edges: DataFrame, labels: list[str], least_shared: int = 1) -> Da
     meet = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
     dealt = own.select("src", "dst", "block", F.explode(meet).alias("at")).select("src", "dst", "block", "at.x", "at.y")
 
-    def count(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = key
         anchor, _ = pd.factorize(pdf["src"])
         sides = []
@@ -92,14 +145,22 @@ def candidates(edges: DataFrame, labels: list[str], least_shared: int = 1) -> Da
     return dealt.groupBy("x", "y").applyInPandas(count, "a string, b string, shared long")
 
 
-def relates_to(edges: DataFrame, horizon: float, skip: tuple[str, ...] = ("part_of",)) -> DataFrame:
-    """(a, b, weight): neighbours of neighbours through dst; each shared one counts 1 / (1 + ln in-degree) and is left out beyond the horizon."""
+def relates_to(edges: DataFrame, horizon: float, skip: tuple[str, ...] = ("part_of",), only: DataFrame | None = None) -> DataFrame:
+    """(a, b, weight): neighbours of neighbours through dst; each shared one counts 1 / (1 + ln in-degree) and is left out beyond the horizon.
+
+    A fallback for ids without anchors: with only (id), pairs that touch one of these.
+    """
     e = edges.filter(~F.col("label").isin(*skip)).select("src", "dst").distinct()
     hub = e.groupBy("dst").agg(F.count(F.lit(1)).alias("deg")).filter(F.log("deg") <= horizon)
     hops = e.join(hub, "dst")
     a = hops.select(F.col("src").alias("a"), "dst", (1 / (1 + F.log("deg"))).alias("w"))
     b = hops.select(F.col("src").alias("b"), "dst")
-    return a.join(b, "dst").filter("a < b").groupBy("a", "b").agg(F.sum("w").alias("weight"))
+    pairs = a.join(b, "dst").filter("a < b").groupBy("a", "b").agg(F.sum("w").alias("weight"))
+    if only is None:
+        return pairs
+    lacking = only.select(F.col("id").alias("lone")).distinct()
+    touched = pairs.join(lacking, (F.col("a") == F.col("lone")), "left_semi").unionByName(pairs.join(lacking, F.col("b") == F.col("lone"), "left_semi"))
+    return touched.distinct()
 
 
 def evidence(edges: DataFrame, anchor_labels: list[str]) -> DataFrame:
@@ -126,36 +187,75 @@ def tolerance(rows: int, features: int) -> float:
     return float(np.finfo(float).eps) * rows * features
 
 
+#: Others that one id is held against in a piece of work.
+SEPARATION_BLOCK = 64
+
+
 def separation(frames: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, a_outside_b, b_outside_a, one_object, subsumed): each one's evidence outside the other's band.
 
     One object if both are within rounding; subsumed if exactly one is; null
-    where a side has no evidence. A task holds the frames of one pair.
+    where a side has no evidence. A task holds the frames of one id and of some
+    of those it is paired with.
+    """
+    asked = pairs.select("a", "b").distinct()
+    sizes = asked.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SEPARATION_BLOCK).cast("int").alias("pieces"))
+    dealt = asked.join(sizes, "a").withColumn("piece", F.pmod(F.xxhash64("b"), F.col("pieces")).cast("int")).select("a", "piece", "b")
+    rows = frames.select(F.col("id").alias("who"), "row", "feature", "value")
+    theirs = dealt.join(rows, F.col("b") == F.col("who"), "left").select("a", "piece", F.col("b").alias("who"), "row", "feature", "value")
+    own = dealt.select("a", "piece").distinct().join(rows, F.col("a") == F.col("who"), "left").select("a", "piece", F.col("a").alias("who"), "row", "feature", "value")
+
+    def measure(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        a = key[0]
+        have = pdf[pdf["feature"].notna()]
+        names, at = pd.factorize(have["feature"], sort=True)[::-1]
+        mats: dict[str, np.ndarray] = {}
+        for who, part in have.assign(at=at).groupby("who"):
+            _, nth = np.unique(part["row"].to_numpy(object), return_inverse=True)
+            m = np.zeros((nth.max() + 1, len(names)))
+            np.add.at(m, (nth, part["at"].to_numpy()), part["value"].to_numpy(float))
+            mats[who] = m
+        out = []
+        for b in sorted(set(pdf["who"]) - {a}):
+            x, y = mats.get(a), mats.get(b)
+            if x is None or y is None:
+                out.append((a, b, None, None, None, None))
+                continue
+            used = (x != 0).any(axis=0) | (y != 0).any(axis=0)
+            x, y = x[:, used], y[:, used]
+            one, two = _residual(x, y), _residual(y, x)
+            tol = tolerance(max(len(x), len(y)), x.shape[1])
+            out.append((a, b, one, two, bool(one <= tol and two <= tol), bool((one <= tol) != (two <= tol))))
+        return pd.DataFrame(out, columns=["a", "b", "a_outside_b", "b_outside_a", "one_object", "subsumed"])
+
+    shape = "a string, b string, a_outside_b double, b_outside_a double, one_object boolean, subsumed boolean"
+    return own.unionByName(theirs).groupBy("a", "piece").applyInPandas(measure, shape)
+
+
+def diagrams(separated: DataFrame) -> DataFrame:
+    """(id, member): every id with itself and the candidates that are one object with it."""
+    same = separated.filter("one_object").select(F.col("a").alias("id"), F.col("b").alias("member"))
+    return separated.select(F.col("a").alias("id"), F.col("a").alias("member")).distinct().unionByName(same)
+
+
+def superposition(separated: DataFrame) -> DataFrame:
+    """(a, n, lands, explained): of each source's candidates that share evidence with it (residual under 1) the one that explains most.
+
+    It lands only if what the candidates explain separates in two, which takes
+    more than one of them; else lands is null. Ties go to the least id.
     """
-    left = pairs.join(frames.withColumnRenamed("id", "a"), "a", "left").withColumn("side", F.lit(0))
-    right = pairs.join(frames.withColumnRenamed("id", "b"), "b", "left").withColumn("side", F.lit(1))
-    long = left.select("a", "b", "side", "row", "feature", "value").unionByName(right.select("a", "b", "side", "row", "feature", "value"))
-
-    def measure(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf["feature"].notna()]
-        names = {f: i for i, f in enumerate(sorted(pdf["feature"].unique()))}
-        mats = []
-        for side in (0, 1):
-            part = pdf[pdf["side"] == side]
-            at = {r: i for i, r in enumerate(sorted(part["row"].unique()))}
-            m = np.zeros((len(at), len(names)))
-            for r, f, v in zip(part["row"], part["feature"], part["value"]):
-                m[at[r], names[f]] += v
-            mats.append(m)
-        if not len(mats[0]) or not len(mats[1]):
-            out = (None, None, None, None)
-        else:
-            x, y = _residual(mats[0], mats[1]), _residual(mats[1], mats[0])
-            tol = tolerance(max(map(len, mats)), len(names))
-            out = (x, y, bool(x <= tol and y <= tol), bool((x <= tol) != (y <= tol)))
-        return pd.DataFrame([(*key, *out)], columns=["a", "b", "a_outside_b", "b_outside_a", "one_object", "subsumed"])
-
-    return long.groupBy("a", "b").applyInPandas(measure, "a string, b string, a_outside_b double, b_outside_a double, one_object boolean, subsumed boolean")
+    some = separated.filter("a_outside_b < 1").select("a", "b", F.round(1 - F.col("a_outside_b"), 9).alias("explained"))
+    cut = signal_end(some, "a", "explained", "b").select("a", "n", "separated")
+    best = some.groupBy("a").agg(F.min(F.struct((-F.col("explained")).alias("less"), "b")).alias("m"))
+    lands = F.coalesce("separated", F.lit(False))
+    return cut.join(best, "a").select("a", "n", F.when(lands, F.col("m.b")).alias("lands"), F.when(lands, -F.col("m.less")).alias("explained"))
+
+
+def feature_union(frames: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, features): the features of both sides, sorted, each once."""
+    of = frames.select("id", "feature").distinct()
+    sides = pairs.join(of, F.col("a") == F.col("id")).select("a", "b", "feature").unionByName(pairs.join(of, F.col("b") == F.col("id")).select("a", "b", "feature"))
+    return sides.groupBy("a", "b").agg(F.array_sort(F.collect_set("feature")).alias("features"))
 
 
 def rung_index(provenance: Column) -> Column:
@@ -187,6 +287,35 @@ def vector_sum(vectors: DataFrame, group: str, vec: str) -> DataFrame:
     return sums.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("position"), F.max("n").alias("n"))
 
 
+def certified(members: DataFrame, merged: DataFrame, group: str) -> DataFrame:
+    """(group, n, mass_in, mass_out, balanced): whether a merged record carries what its members brought: mass, count and the weakest rung.
+
+    members (group, id, mass, provenance); merged as ``merge`` gives them. A merge
+    that does not balance is refused; null where no mass was measured.
+    """
+    weakest = F.min(rung_index(F.col("provenance")))
+    brought = members.groupBy(group).agg(F.count(F.lit(1)).alias("n_in"), F.sum("mass").alias("mass_in"), weakest.alias("rung_in"))
+    both = brought.join(merged.select(group, F.col("n"), F.col("mass").alias("mass_out"), rung_index(F.col("provenance")).alias("rung_out")), group)
+    same = (F.col("n_in") == F.col("n")) & F.col("mass_in").eqNullSafe(F.col("mass_out")) & F.col("rung_in").eqNullSafe(F.col("rung_out"))
+    return both.select(group, "n", "mass_in", "mass_out", F.when(F.col("mass_in").isNotNull() | F.col("mass_out").isNotNull(), same).alias("balanced"))
+
+
+def applied(artifacts: DataFrame, members: DataFrame, merged: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+    """(artifacts with the merged members archived and the merged records added, consolidates edges from record to member). members (group, id)."""
+    to = members.join(merged.select(group, "merged_id"), group).select("id", "merged_id")
+    rows = artifacts.join(to, "id", "left").withColumn("state", F.when(F.col("merged_id").isNotNull(), "archived").otherwise(F.col("state"))).drop("merged_id")
+    new = merged.select(F.col("merged_id").alias("id"), "state", "provenance")
+    return rows.unionByName(new, allowMissingColumns=True), to.select(F.col("merged_id").alias("src"), F.col("id").alias("dst"), F.lit("consolidates").alias("label"))
+
+
+def position_error(vectors: DataFrame, group: str, vec: str) -> DataFrame:
+    """(group, n, worst): how far the sum of a group's vectors is from giving back the energy of each: the greatest |sum . v - v . v| / v . v; null for zero vectors."""
+    sums = vector_sum(vectors, group, vec).select(F.col(group).alias("_g"), "position", "n")
+    own = dot(F.col(vec), F.col(vec))
+    err = F.when(own > 0, F.abs(dot(F.col("position"), F.col(vec)) - own) / own)
+    return vectors.join(sums, F.col(group) == F.col("_g")).groupBy(group).agg(F.first("n").alias("n"), F.max(err).alias("worst"))
+
+
 def smooth_edges(edges: DataFrame, mapping: DataFrame, drop: tuple[str, ...] = ("consolidates",)) -> tuple[DataFrame, DataFrame]:
     """Edges between merged ids (mapping: id, merged), distinct; and one row of counts: emitted, self_edges, kept."""
     m = mapping.select(F.col("id").alias("m_id"), F.col("merged").alias("m_to"))
@@ -207,6 +336,28 @@ def crosswalk(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
+def concept_rows(walk: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(concept rows of a crosswalk, aligns edges from each concept to its two sides). Nothing is archived by it."""
+    rows = walk.select(F.col("concept").alias("id"), F.lit("concept").alias("content_type"), F.lit("derived").alias("provenance"), F.lit("live").alias("state")).distinct()
+    ends = F.explode(F.array("left_id", "right_id"))
+    return rows, walk.select(F.col("concept").alias("src"), ends.alias("dst"), F.lit("aligns").alias("label")).distinct()
+
+
+def pivot_counts(members: DataFrame, resolved: DataFrame) -> DataFrame:
+    """One row: groups with edges, groups of a single member, and groups without a resolved row."""
+    every = members.unionByName(resolved).distinct()
+    n = every.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).join(resolved.select("grp", F.lit(1).alias("r")).distinct(), "grp", "left")
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    return n.agg(count(F.col("n") > 1).alias("with_edges"), count(F.col("n") == 1).alias("single"), count(F.col("r").isNull()).alias("unresolved"))
+
+
+def attached(rows: DataFrame, pivots: DataFrame, prefer: str) -> DataFrame:
+    """rows (id, grp) with dst, the pivot of their group: the least whose id begins with prefer, else the least; null without one."""
+    liked = F.min(F.when(F.col("id").startswith(prefer), F.col("id")))
+    best = pivots.groupBy("grp").agg(F.coalesce(liked, F.min("id")).alias("dst"))
+    return rows.join(best, "grp", "left").select("id", "grp", "dst")
+
+
 def pivot_edges(members: DataFrame, resolved: DataFrame) -> DataFrame:
     """(src, dst): from every other member of a group to its canonical one, the resolved row if there is one, else the least. members (grp, id); resolved (grp, id)."""
     every = members.unionByName(resolved).distinct()
@@ -214,6 +365,12 @@ def pivot_edges(members: DataFrame, resolved: DataFrame) -> DataFrame:
     return every.join(canon, "grp").withColumn("dst", F.coalesce("known", "least")).filter("id <> dst").select(F.col("id").alias("src"), "dst")
 
 
+def incident(edges: DataFrame, leads: DataFrame, field: DataFrame) -> DataFrame:
+    """(lead, label, far, energy): the edges of the leads (lead) in both directions, and what a field (concept, energy) gives their far end, null for nothing."""
+    out = edges.select(F.col("src").alias("lead"), "label", F.col("dst").alias("far")).unionByName(edges.select(F.col("dst").alias("lead"), "label", F.col("src").alias("far")))
+    return out.join(leads.select("lead").distinct(), "lead", "left_semi").join(field.select(F.col("concept").alias("far"), "energy"), "far", "left").select("lead", "label", "far", "energy")
+
+
 def endpoint_kept(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges both of whose ends are stored."""
     known = ids.select(F.col("id").alias("known")).distinct()

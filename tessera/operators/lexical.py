@@ -17,7 +17,7 @@ K1, B, FLOOR = 1.2, 0.75, 1e-6
 
 
 def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(id, term, tf, len). A text's terms are counted inside its own row, so no shuffle carries single tokens."""
+    """(id, term, tf, len). All tokens of a text are in one task, so what is shuffled is its distinct terms with their counts."""
     found = docs.select(F.col(id_col).alias("id"), T.tokens(text).alias("t"))
     each = found.select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
     return each.groupBy("id", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
@@ -87,12 +87,14 @@ def bm25(index: DataFrame, lengths: DataFrame, queries: DataFrame, conjunctive:
 
 
 def top_k(hits: DataFrame, k: int, score: str = "score", digits: int = 6) -> DataFrame:
-    """The k best hits of every query with their 0-based rank; ties by id. Scores are compared and given rounded."""
+    """The k best hits of every query with their 0-based rank; ties by id. Scores are compared and given rounded.
+
+    The filter is on the bare row number, from which Spark derives a limit per
+    query that holds before the shuffle.
+    """
     best = W.partitionBy("query_id").orderBy(F.desc("rounded"), "id")
-    return (
-        hits.withColumn("rounded", F.round(score, digits)).withColumn("rank", F.row_number().over(best) - 1)
-        .filter(F.col("rank") < k).drop(score).withColumnRenamed("rounded", score)
-    )
+    rows = hits.withColumn("rounded", F.round(score, digits)).withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k)
+    return rows.withColumn("rank", F.col("nth") - 1).drop(score, "nth").withColumnRenamed("rounded", score)
 
 
 def within_budget(ranked: DataFrame, lengths: DataFrame, per_doc: int = 1400, total: int = 7000) -> DataFrame:

@@ -6,6 +6,8 @@ aggregates; the only joins are semi-joins against the edge list.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -112,7 +114,29 @@ def flow(snapshots: DataFrame) -> DataFrame:
 
 def self_information(df: DataFrame, key: str) -> DataFrame:
     """(key, n, bits): -log2 of each value's share."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumn("bits", -F.log2(F.col("n") / F.sum("n").over(W.partitionBy())))
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("_total"))
+    return counts.crossJoin(F.broadcast(total)).withColumn("bits", -F.log2(F.col("n") / F.col("_total"))).drop("_total")
+
+
+def exact_median(df: DataFrame, x: str) -> DataFrame:
+    """One row (median): the exact median of a column, null without values.
+
+    A quantile sketch bounds the middle; only what lies within the bounds is
+    sorted, a few ten-thousandths of the rows. Bounds that miss the middle, as of
+    a handful of values, are widened to all.
+    """
+    values = df.select(F.col(x).cast("double").alias("x")).filter("x IS NOT NULL")
+    n = values.count()
+    if not n:
+        return df.sparkSession.range(1).select(F.lit(None).cast("double").alias("median"))
+    first, last = (n - 1) // 2, n // 2
+    low, high = values.agg(F.approx_percentile("x", [0.4999, 0.5001], 100_000)).first()[0]
+    below, within = values.agg(count_if(F.col("x") < low), count_if(F.col("x").between(low, high))).first()
+    if not below <= first <= last < below + within:
+        low, high, below = -math.inf, math.inf, 0
+    nth = F.row_number().over(W.orderBy("x")) - 1 + below
+    return values.filter(F.col("x").between(low, high)).withColumn("nth", nth).filter(F.col("nth").isin(first, last)).agg(F.avg("x").alias("median"))
 
 
 def joint_entropies(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -127,3 +151,61 @@ def joint_entropies(df: DataFrame, x: str, y: str) -> DataFrame:
     h = lambda s: F.log2(F.col(f"total_{s}")) - F.col(s) / F.col(f"total_{s}")
     hx, hy, hxy = h("sx"), h("sy"), h("sxy")
     return one.select(hx.alias("h_x"), hy.alias("h_y"), hxy.alias("h_xy"), (hx + hy - hxy).alias("mutual"), (hxy - hy).alias("h_x_given_y"), (hxy - hx).alias("h_y_given_x"))
+
+
+def types_and_fitness(artifacts: DataFrame) -> DataFrame:
+    """(content_type, n, fitness): counts and the mean measured fitness (null where none is measured)."""
+    return artifacts.groupBy("content_type").agg(F.count(F.lit(1)).alias("n"), F.avg("quality").alias("fitness"))
+
+
+def counts_by(df: DataFrame, key: str, live: Column) -> DataFrame:
+    """(key, n, live): rows in all states, as a resuming ingest counts them, and the live ones."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), count_if(live).alias("live"))
+
+
+def null_counts(df: DataFrame, fields: list[str], measured: bool = True, cap: int | None = None) -> DataFrame:
+    """One row: how many rows lack each field. Null for "not measured": where a scan is not allowed, or the rows are more than cap."""
+    n = df.limit(cap + 1).count() if cap is not None and measured else 0
+    if not measured or (cap is not None and n > cap):
+        return df.sparkSession.range(1).select(*[F.lit(None).cast("long").alias(f"no_{c}") for c in fields])
+    return df.agg(*[count_if(F.col(c).isNull()).alias(f"no_{c}") for c in fields])
+
+
+def page_after(df: DataFrame, key: str, after, n: int) -> DataFrame:
+    """The next n rows by key: those with a greater key than the last page's last, never an offset."""
+    return df.filter(F.col(key) > after).orderBy(key).limit(n)
+
+
+def queue_stats(tasks: DataFrame) -> DataFrame:
+    return tasks.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.max("since").alias("last"))
+
+
+def recent_terminal(tasks: DataFrame, n: int) -> DataFrame:
+    return tasks.filter("status = 'done'").orderBy(F.desc("since"), "id").limit(n)
+
+
+def pending_window(tasks: DataFrame, n: int = 24, most_attempts: int = 5) -> DataFrame:
+    return tasks.filter((F.col("status") == "pending") & (F.col("attempts") < most_attempts)).orderBy("priority", "since", "id").limit(n)
+
+
+def consistency(recorded: DataFrame, measured: DataFrame) -> DataFrame:
+    """(check, holds): a recorded snapshot against what is measured now, null where a side has no reading.
+
+    Both are rows of collections with artifacts, consolidated, bytes,
+    generator_bytes, keyed, content; the recorded ones of an earlier time.
+    """
+    r = {c: F.col(f"r_{c}") for c in ("artifacts", "consolidated", "bytes", "generator_bytes", "keyed", "content")}
+    now = {c: F.col(f"m_{c}") for c in r}
+    total = lambda df, side: df.agg(*[F.sum(c).alias(f"{side}_{c}") for c in r])
+    row = total(recorded, "r").crossJoin(total(measured, "m"))
+    checks = {
+        "artifacts_never_shrink": now["artifacts"] >= r["artifacts"],
+        "merged_never_unmerge": now["consolidated"] >= r["consolidated"],
+        "merged_within_all": now["consolidated"] <= now["artifacts"],
+        "generators_within_bytes": now["generator_bytes"] <= now["bytes"],
+        "ratio_never_rises": now["generator_bytes"] / F.nullif(now["bytes"], F.lit(0)) <= r["generator_bytes"] / F.nullif(r["bytes"], F.lit(0)),
+        "keyed_within_content": now["keyed"] <= now["content"],
+        "coverage_never_falls": now["keyed"] / F.nullif(now["content"], F.lit(0)) >= r["keyed"] / F.nullif(r["content"], F.lit(0)),
+    }
+    pairs = F.array(*[F.struct(F.lit(k).alias("check"), v.alias("holds")) for k, v in checks.items()])
+    return row.select(F.explode(pairs).alias("c")).select("c.check", "c.holds")

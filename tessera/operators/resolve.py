@@ -21,14 +21,14 @@ QUERY_BLOCK, HELD_BLOCK = 4_000, 20_000
 
 
 def _eta(df: DataFrame, key: str, x: str, rank: str, n: Column) -> DataFrame:
-    """(key, k, eta2) for every split after the k-th value; null variance gives no split."""
+    """(key, k, eta2) for every split after the k-th value; a variance within rounding of null gives no split."""
     run = W.partitionBy(key).orderBy(rank).rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy(key)
     s = df.withColumn("_n", n.over(whole)).withColumn("_k", F.row_number().over(W.partitionBy(key).orderBy(rank))).withColumn("_s", F.sum(x).over(run)).withColumn("_t", F.sum(x).over(whole)).withColumn("_q", F.sum(F.col(x) * F.col(x)).over(whole))
     total = F.col("_q") - F.col("_t") * F.col("_t") / F.col("_n")
     mean_gap = F.col("_s") / F.col("_k") - (F.col("_t") - F.col("_s")) / (F.col("_n") - F.col("_k"))
     between = F.col("_k") * (F.col("_n") - F.col("_k")) / F.col("_n") * mean_gap * mean_gap
-    return s.filter(F.col("_k") < F.col("_n")).select(key, F.col("_k").alias("k"), F.col("_n").alias("n"), F.when(total > 0, between / total).alias("eta2"))
+    return s.filter(F.col("_k") < F.col("_n")).select(key, F.col("_k").alias("k"), F.col("_n").alias("n"), F.when(total > 1e-12 * F.col("_q"), between / total).alias("eta2"))
 
 
 def ramp_eta(n: Column) -> Column:
@@ -56,7 +56,7 @@ def signal_end(scores: DataFrame, key: str, score: str, ident: str) -> DataFrame
 
 
 def leading(scores: DataFrame, key: str, score: str, ident: str) -> DataFrame:
-    """The rows of each list that are signal, with their rank from 0."""
+    """The rows of each list that are signal, with their rank from 0. Lists of one key each: hits, readings, the concepts of one question."""
     r = F.row_number().over(W.partitionBy(key).orderBy(F.desc(score), ident)) - 1
     ends = signal_end(scores, key, score, ident).select(F.col(key).alias("_key"), F.col("k").alias("_k"))
     return scores.withColumn("rank", r).join(ends, F.col(key) == F.col("_key")).filter(F.col("rank") < F.col("_k")).drop("_key", "_k")
@@ -72,10 +72,38 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
 
 
+#: Anchors of cells, at most: they are sent to all.
+MOST_ANCHORS = 4_096
+
+
 def cells(vectors: DataFrame, anchors: DataFrame) -> DataFrame:
-    """vectors (id, vec) with cell, the nearest anchor by cosine. anchors (cell, anchor) are a fixed small set, sent to all."""
-    near = vectors.crossJoin(F.broadcast(anchors)).groupBy("id").agg(F.max(F.struct(F.round(dot(unit(F.col("vec")), unit(F.col("anchor"))), 9).alias("s"), (-F.col("cell")).alias("neg"))).alias("best"))
-    return vectors.join(near, "id").withColumn("cell", -F.col("best.neg")).drop("best")
+    """vectors (id, vec) with cell, the nearest anchor by cosine, ties to the least cell. Every row finds its own; anchors (cell, anchor) are sent to all, at most MOST_ANCHORS."""
+    held = anchors.select("cell", unit(F.col("anchor")).alias("u")).orderBy("cell").limit(MOST_ANCHORS + 1).collect()
+    if len(held) > MOST_ANCHORS:
+        raise ValueError(f"more than {MOST_ANCHORS} anchors")
+    kind = dict(anchors.dtypes)["cell"]
+    names = [r[0] for r in held]
+    shared = vectors.sparkSession.sparkContext.broadcast(np.array([r[1] for r in held], float))
+
+    @F.pandas_udf("int")
+    def nearest(vs: pd.Series) -> pd.Series:
+        m = np.array(vs.tolist(), float)
+        length = np.linalg.norm(m, axis=1, keepdims=True)
+        return pd.Series(np.round(m / np.where(length > 0, length, 1) @ shared.value.T, 9).argmax(axis=1).astype(np.int32))
+
+    which = F.array(*[F.lit(n) for n in names]).cast(f"array<{kind}>")
+    return vectors.withColumn("cell", F.get(which, nearest("vec")))
+
+
+def probed_top(queries: DataFrame, held: DataFrame, anchors: DataFrame, k: int, nprobe: int) -> DataFrame:
+    """top_by_cosine over the nprobe cells nearest to each query only: (query_id, id, score, rank); held (id, vec)."""
+    near = queries.select("query_id", "qvec").crossJoin(F.broadcast(anchors.limit(MOST_ANCHORS)))
+    best = W.partitionBy("query_id").orderBy(F.desc("s"), "cell")
+    probes = near.withColumn("s", F.round(dot(unit(F.col("qvec")), unit(F.col("anchor"))), 9)).withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= nprobe)
+    hits = probes.select("query_id", "qvec", "cell").join(cells(held, anchors), "cell")
+    scored = hits.withColumn("score", F.round(dot(unit(F.col("qvec")), unit(F.col("vec"))), 6))
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return scored.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).select("query_id", "id", "score", (F.col("nth") - 1).alias("rank"))
 
 
 def top_by_cosine(queries: DataFrame, held: DataFrame, k: int) -> DataFrame:
@@ -90,7 +118,7 @@ def top_by_cosine(queries: DataFrame, held: DataFrame, k: int) -> DataFrame:
     q = queries.select("query_id", unit(F.col("qvec")).alias("q"), deal("query_id", n_q).alias("qb"), every(n_h).alias("hb"))
     h = held.select("id", unit(F.col("vec")).alias("v"), deal("id", n_h).alias("hb"), every(n_q).alias("qb"))
 
-    def best(left, right):
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("id")
         out = {"query_id": [], "id": [], "score": []}
         ids = right["id"].to_numpy()
@@ -111,8 +139,9 @@ def top_by_cosine(queries: DataFrame, held: DataFrame, k: int) -> DataFrame:
 
     kinds = [f"{n} {dict(df.dtypes)[n]}" for df, n in ((q, "query_id"), (h, "id"))]
     near = q.groupBy("qb", "hb").cogroup(h.groupBy("qb", "hb")).applyInPandas(best, f"{kinds[0]}, {kinds[1]}, score double")
-    r = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")) - 1
-    return near.withColumn("score", F.when(~F.isnan("score"), F.col("score"))).withColumn("rank", r).filter(F.col("rank") < k)
+    nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    ranked = near.withColumn("score", F.when(~F.isnan("score"), F.col("score"))).withColumn("nth", nth).filter(F.col("nth") <= k)
+    return ranked.withColumn("rank", F.col("nth") - 1).drop("nth")
 
 
 def belonging(frames: DataFrame, key: str, ident: str, vec: str) -> DataFrame:
@@ -174,7 +203,7 @@ def frame_reads(frames: DataFrame, key: str, order: str, vec: str) -> DataFrame:
     features, or all zero) read null.
     """
 
-    def read(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def read(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         m = np.array(pdf.sort_values(order)[vec].tolist(), float)
         t, f = m.shape if m.ndim == 2 else (len(m), 0)
         if t < 4 or f < 2 or not m.any():
@@ -208,7 +237,7 @@ def route_by_coupling(frames: DataFrame, bases: dict[str, list[list[float]]], ke
     """Per frame, the bases in the order in which each takes the most of what the others left: (key, step, basis, absorbed, residual). bases is a fixed small set."""
     held = {name: np.array(b, float) for name, b in sorted(bases.items())}
 
-    def route(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def route(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rest = np.array(pdf.sort_values(order)[vec].tolist(), float)
         left, out = dict(held), []
         floor = np.finfo(float).eps * rest.size * float((rest * rest).sum())

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
 from tessera.model import ARTIFACTS_SQL, EDGES_SQL, artifacts, edges, table
 from tessera.operators import consolidate as C
 from tessera.operators import metrics as M
+from tessera.plans.sql import signal_ctes
 
 _TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 
@@ -17,26 +19,48 @@ def g15_exact_groups(spark, sf):
 
 
 def g15_rho_after(spark, sf):
-    """Compression ratio before and after exact consolidation."""
-    a = artifacts(spark, sf)
-    g = C.exact_groups(a).select("id", "archived")
-    size = F.octet_length("content")
-    r = a.join(g, "id").agg(F.sum(size).cast("long").alias("bytes"), F.sum(F.when(~F.col("archived"), size)).cast("long").alias("kept"), M.count_if(F.col("archived")).alias("archived"))
-    return r.select("bytes", "kept", "archived", F.lit(1.0).alias("rho_before"), F.round(F.col("kept") / F.col("bytes"), 9).alias("rho_after"))
+    """Compression ratio before exact consolidation, when only copies within one collection are merged, and after, when all are."""
+    a = artifacts(spark, sf).withColumn("bytes", F.octet_length("content"))
+    old = C.exact_groups(a.withColumn("content_ref", F.concat_ws("|", "collection_id", "content_ref"))).filter("archived")
+    r = C.rho(a.select("id", "bytes"), old, C.exact_groups(a).filter("archived"))
+    return r.select("bytes", "kept", "archived", F.round("rho_before", 9).alias("rho_before"), F.round("rho_after", 9).alias("rho_after"))
 
 
-def g15_near_pairs(spark, sf):
-    """Advisory pairs: exact Jaccard of shingles of five words, 0.5 and more."""
+def _distinct_texts(spark, sf):
+    """One document of every text, that of the least id."""
     d = table(spark, sf, "documents").select("doc_id", "text")
-    p = C.shingle_jaccard(d, "doc_id", tokens(F.col("text")), 5, 0.5)
-    return p.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    first = d.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("ref")).agg(F.min("doc_id").alias("first")).select("first")
+    return d.join(first, F.col("doc_id") == F.col("first"), "left_semi")
+
+
+def _near(spark, sf):
+    return C.shingle_jaccard(_distinct_texts(spark, sf), "doc_id", tokens(F.col("text")), 5, 0.5)
+
+
+def g15_near_pairs(spark, sf):
+    """Advisory pairs of different texts: exact Jaccard of shingles of five words, 0.5 and more. Copies are in g15_exact_groups."""
+    return _near(spark, sf).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+def g15_advice(spark, sf):
+    """The best fifty near pairs as advisory edges, with the merge boundary of a 128-coordinate sketch."""
+    e = C.advice(_near(spark, sf), 0.6, 50)
+    return e.select("src", "dst", "label", F.round("score", 6).alias("score"), "within_error", "truncated")
+
+
+def g15_archived(spark, sf):
+    """States after exact consolidation, and the edges that it made."""
+    rows, links = C.archived(artifacts(spark, sf))
+    states = rows.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    return states.unionByName(links.groupBy(F.col("label").alias("state")).agg(F.count(F.lit(1)).alias("n")))
 
 
 def u4_near_not_exact(spark, sf):
-    """Near pairs less the pairs of equal content."""
-    ref = artifacts(spark, sf).select("doc_id", "content_ref")
+    """Near pairs less those whose words are the same one after the other."""
+    said = _distinct_texts(spark, sf).select("doc_id", F.md5(F.array_join(tokens(F.col("text")), " ").cast("binary")).alias("said"))
     pairs = g15_near_pairs(spark, sf)
-    same = pairs.join(ref.withColumnRenamed("doc_id", "a").withColumnRenamed("content_ref", "ra"), "a").join(ref.withColumnRenamed("doc_id", "b").withColumnRenamed("content_ref", "rb"), "b").filter("ra = rb")
+    of = lambda end: said.select(F.col("doc_id").alias(end), F.col("said").alias(f"said_{end}"))
+    same = pairs.join(of("a"), "a").join(of("b"), "b").filter("said_a = said_b")
     return pairs.join(same.select("a", "b"), ["a", "b"], "left_anti")
 
 
@@ -60,36 +84,63 @@ def j4_relates_to(spark, sf):
     return r.select("a", "b", F.round("weight", 6).alias("weight"))
 
 
+def j4_fallback(spark, sf):
+    """The same for suppliers without an anchor alone; anchored are those of a positive balance."""
+    anchored = table(spark, sf, "supplier").filter("s_acctbal > 0").select(F.concat(F.lit("supplier-"), "s_suppkey").alias("id"))
+    e = edges(spark, sf).filter("label = 'supplies'")
+    lacking = e.select(F.col("src").alias("id")).distinct().join(anchored, "id", "left_anti")
+    return C.relates_to(e, 3.5, only=lacking).select("a", "b", F.round("weight", 6).alias("weight"))
+
+
 def a14_evidence(spark, sf):
-    e = edges(spark, sf).filter("label IN ('based_in', 'part_of')")
-    return C.evidence(e, ["part_of", "based_in"]).groupBy("id").agg(F.countDistinct("row").alias("n_rows"), F.countDistinct("feature").alias("n_features"), F.sum("value").alias("total"))
+    return C.evidence(edges(spark, sf), ["part_of", "based_in"]).groupBy("id").agg(F.countDistinct("row").alias("n_rows"), F.countDistinct("feature").alias("n_features"), F.sum("value").alias("total"))
 
 
 def a15_evidence_weights(spark, sf):
     """Evidence of all nations of a region, united: count and sum per feature."""
-    e = edges(spark, sf).filter("label IN ('based_in', 'part_of')")
-    ev = C.evidence(e, ["part_of", "based_in"]).filter("id LIKE 'nation-%'")
+    ev = C.evidence(edges(spark, sf), ["part_of", "based_in"]).filter("id LIKE 'nation-%'")
     home = edges(spark, sf).filter("label = 'part_of'").select(F.col("src").alias("id"), F.col("dst").alias("region"))
     return ev.join(home, "id").groupBy("region", "feature").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
+def _frames(spark, sf):
+    """Customers by the priorities of their orders: some have the same ones, some have all that another has and more, some have none."""
+    o = table(spark, sf, "orders").select(F.concat(F.lit("customer-"), "o_custkey").alias("id"), F.col("o_orderpriority").alias("row")).distinct()
+    return o.select("id", "row", F.col("row").alias("feature"), F.lit(1.0).alias("value"))
+
+
+def _next_of_nation(spark, sf):
+    """Every customer with the next one of its nation."""
+    after = F.lead("c_custkey").over(W.partitionBy("c_nationkey").orderBy("c_custkey"))
+    pairs = table(spark, sf, "customer").select("c_custkey", after.alias("next")).filter("next IS NOT NULL")
+    return pairs.select(F.concat(F.lit("customer-"), "c_custkey").alias("a"), F.concat(F.lit("customer-"), "next").alias("b"))
+
+
+def _same_segment(spark, sf):
+    """Customers of one nation, segment and five hundred of keys, in both directions: as many to each, however many there are."""
+    c = table(spark, sf, "customer").select("c_nationkey", "c_mktsegment", F.floor(F.col("c_custkey") / 500).alias("block"), F.concat(F.lit("customer-"), "c_custkey").alias("a"))
+    return c.join(c.withColumnRenamed("a", "b"), ["c_nationkey", "c_mktsegment", "block"]).filter("a <> b").select("a", "b")
+
+
 def g11_separation(spark, sf):
-    """Nation pairs of one region: does the evidence of one explain the other?"""
-    e = edges(spark, sf).filter("label IN ('based_in', 'part_of')")
-    home = e.filter("label = 'part_of'").select(F.col("src").alias("id"), "dst")
-    pairs = home.withColumnRenamed("id", "a").join(home.withColumnRenamed("id", "b"), "dst").filter("a < b").select("a", "b")
-    return C.separation(C.evidence(e, ["part_of", "based_in"]), pairs)
+    """Does the evidence of a customer explain that of the next one of its nation?"""
+    s = C.separation(_frames(spark, sf), _next_of_nation(spark, sf))
+    return s.select("a", "b", *[F.round(c, 9).alias(c) for c in ("a_outside_b", "b_outside_a")], "one_object", "subsumed")
 
 
 def g12_diagram(spark, sf):
-    """Members that are one object with each nation."""
-    return g11_separation(spark, sf).filter("one_object").select("a", "b")
+    """Every customer with those of its nation and segment that are one object with it."""
+    return C.diagrams(C.separation(_frames(spark, sf), _same_segment(spark, sf)))
 
 
 def g13_superposition(spark, sf):
-    """For each nation the pairs with a residual under 1, by how much they explain."""
-    s = g11_separation(spark, sf).filter("a_outside_b < 1")
-    return s.select("a", "b", F.round(1 - F.col("a_outside_b"), 6).alias("explained"))
+    """For every customer which one of its nation and segment it lands on, if any stands out."""
+    return C.superposition(C.separation(_frames(spark, sf), _same_segment(spark, sf)))
+
+
+def u3_feature_union(spark, sf):
+    u = C.feature_union(_frames(spark, sf), _next_of_nation(spark, sf))
+    return u.select("a", "b", F.array_join("features", ",").alias("features"))
 
 
 def g14_merge(spark, sf):
@@ -98,6 +149,73 @@ def g14_merge(spark, sf):
     return C.merge(a, "content_ref").filter("n > 1")
 
 
+def _equal_content(spark, sf):
+    a = artifacts(spark, sf).select("content_ref", "id", F.col("quality").alias("mass"), "provenance", "state")
+    return a, C.merge(a, "content_ref").filter("n > 1")
+
+
+def g14_certified(spark, sf):
+    """Every merge of equal content against what its members brought."""
+    a, merged = _equal_content(spark, sf)
+    return C.certified(a, merged, "content_ref")
+
+
+def g14_applied(spark, sf):
+    """States and edges after the merged records took their members' place."""
+    a, merged = _equal_content(spark, sf)
+    rows, links = C.applied(a.select("id", "state", "provenance"), a.select("content_ref", "id"), merged, "content_ref")
+    states = rows.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    return states.unionByName(links.groupBy(F.col("label").alias("state")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def g16_supplied(spark, sf):
+    """A supplied diagram (documents of one language and one collection) merged and smoothed."""
+    a = artifacts(spark, sf).filter("lang IS NOT NULL").select(F.concat_ws("/", "lang", "collection_id").alias("grp"), "id", F.col("quality").alias("mass"), "provenance", "state", F.col("cited_from").alias("far"))
+    merged = C.merge(a, "grp")
+    to = a.join(merged.select("grp", "merged_id"), "grp").select("id", F.col("merged_id").alias("merged"))
+    links = a.filter("far IS NOT NULL").select(F.col("id").alias("src"), F.col("far").alias("dst"), F.lit("cites").alias("label"))
+    return C.smooth_edges(links, to)[0].join(merged.select(F.col("merged_id").alias("src"), "n", "mass"), "src").select("src", "dst", "n", "mass")
+
+
+def g18_recovered(spark, sf):
+    """How far the summed position of a label's vectors is from giving back each one's energy."""
+    e = C.position_error(table(spark, sf, "embeddings").select("label", "embedding"), "label", "embedding")
+    return e.select("label", "n", F.round("worst", 4).alias("worst"))
+
+
+def n23_recovered_live(spark, sf):
+    """The same over the vectors of live artifacts."""
+    live = artifacts(spark, sf).filter("state = 'live'").select(F.col("doc_id").alias("vec_id"))
+    e = C.position_error(table(spark, sf, "embeddings").join(live, "vec_id", "left_semi").select("label", "embedding"), "label", "embedding")
+    return e.select("label", "n", F.round("worst", 4).alias("worst"))
+
+
+def g17_aligned(spark, sf):
+    """Concept rows and aligns edges of the crosswalk, as one list."""
+    rows, links = C.concept_rows(j2_crosswalk(spark, sf))
+    return rows.select("id", F.col("provenance").alias("what")).unionByName(links.select(F.col("src").alias("id"), F.concat(F.lit("aligns "), "dst").alias("what")))
+
+
+def s14_counts(spark, sf):
+    """Groups of suppliers and customers of rich nations: with edges, of one member, without a resolved row."""
+    m = table(spark, sf, "supplier").filter("s_acctbal > 7000").select(F.col("s_nationkey").alias("grp"), F.concat(F.lit("supplier-"), "s_suppkey").alias("id"))
+    r = table(spark, sf, "customer").filter("c_nationkey < 12").groupBy(F.col("c_nationkey").alias("grp")).agg(F.min("c_custkey").alias("k")).select("grp", F.concat(F.lit("customer-"), "k").alias("id"))
+    return C.pivot_counts(m, r)
+
+
+def s17_attached(spark, sf):
+    """Customers to a supplier of their nation as pivot, one of the first ten by preference."""
+    rows = table(spark, sf, "customer").select(F.concat(F.lit("customer-"), "c_custkey").alias("id"), F.col("c_nationkey").alias("grp"))
+    pivots = table(spark, sf, "supplier").select(F.when(F.col("s_suppkey") < 10, F.concat(F.lit("main-"), "s_suppkey")).otherwise(F.concat(F.lit("also-"), "s_suppkey")).alias("id"), F.col("s_nationkey").alias("grp"))
+    return C.attached(rows, pivots, "main-")
+
+
+def w14_live_generations(spark, sf):
+    """Documents of a collection as generations of one root: the latest live one, whatever was archived later."""
+    a = artifacts(spark, sf).select(F.col("collection_id").alias("root"), F.col("doc_id").alias("generation"), "state", "id")
+    return C.latest_live(a, "root").select("root", "generation", "id")
+
+
 def a17_vector_sum(spark, sf):
     e = table(spark, sf, "embeddings").select("label", "embedding")
     v = C.vector_sum(e, "label", "embedding")
@@ -141,15 +259,15 @@ def j6_endpoints(spark, sf):
 
 
 def j8_incident_edges(spark, sf):
-    """Edges of three nations in both directions, with the far end."""
-    e = edges(spark, sf)
-    leads = ["nation-1", "nation-2", "nation-3"]
-    out = e.filter(F.col("src").isin(leads)).select(F.col("src").alias("lead"), "label", F.col("dst").alias("far"))
-    return out.unionByName(e.filter(F.col("dst").isin(leads)).select(F.col("dst").alias("lead"), "label", F.col("src").alias("far")))
+    """Edges of every nation in both directions, with the far end and what a field gives it."""
+    leads = table(spark, sf, "nation").select(F.concat(F.lit("nation-"), "n_nationkey").alias("lead"))
+    field = table(spark, sf, "supplier").select(F.concat(F.lit("supplier-"), "s_suppkey").alias("concept"), (1 + F.col("s_suppkey") / 100).alias("energy"))
+    return C.incident(edges(spark, sf), leads, field).select("lead", "label", "far", F.round("energy", 6).alias("energy"))
 
 
 _QUERIES = (
-    g15_exact_groups, g15_rho_after, g15_near_pairs, u4_near_not_exact, j1_generators, j5_anchors, j3_candidates, j4_relates_to, a14_evidence,
+    g15_advice, g15_archived, j4_fallback, u3_feature_union, g14_certified, g14_applied, g16_supplied, g18_recovered, n23_recovered_live, g17_aligned,
+    s14_counts, s17_attached, w14_live_generations, g15_exact_groups, g15_rho_after, g15_near_pairs, u4_near_not_exact, j1_generators, j5_anchors, j3_candidates, j4_relates_to, a14_evidence,
     a15_evidence_weights, g11_separation, g12_diagram, g13_superposition, g14_merge, a17_vector_sum, u2_smoothed_edges, u2_smoothing_counts,
     j2_crosswalk, s14_pivots, j6_endpoints, j8_incident_edges,
 )
@@ -162,37 +280,78 @@ def queries():
 def oracle_sql():
     a, e = f"a AS ({ARTIFACTS_SQL})", f"e AS ({EDGES_SQL})"
     near = f"""
-        t AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
+        t AS (SELECT min(doc_id) AS doc_id, {_TOKENS} AS t FROM documents GROUP BY text),
         g AS (SELECT DISTINCT doc_id, array_to_string(t[i:i + 4], ' ') AS g FROM (SELECT *, unnest(range(1, len(t) - 3)) AS i FROM t WHERE len(t) >= 5)),
         n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
         c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
         near AS (SELECT a, b, c / (na.n + nb.n - c) AS jaccard FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE c / (na.n + nb.n - c) >= 0.5)"""
-    ev = f"""{e}, r AS (SELECT src AS id, dst AS far, label FROM e WHERE label IN ('based_in', 'part_of') UNION ALL SELECT dst, src, label FROM e WHERE label IN ('based_in', 'part_of')),
+    ev = f"""{e}, r AS (SELECT src AS id, dst AS far, label FROM e UNION ALL SELECT dst, src, label FROM e),
         an AS (SELECT DISTINCT dst AS far, src AS feature FROM e WHERE label IN ('based_in', 'part_of')),
         ev AS (SELECT id, label || '|' || r.far AS row, coalesce(feature, 'id:' || r.far) AS feature, 1.0::DOUBLE AS value FROM r LEFT JOIN an ON an.far = r.far)"""
+    frames = """f AS (SELECT DISTINCT 'customer-' || o_custkey AS id, o_orderpriority AS f FROM orders), size AS (SELECT id, count(*) AS n FROM f GROUP BY 1),
+        next AS (SELECT * FROM (SELECT 'customer-' || c_custkey AS a, 'customer-' || lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS b FROM customer) WHERE b IS NOT NULL),
+        peers AS (SELECT 'customer-' || x.c_custkey AS a, 'customer-' || y.c_custkey AS b FROM customer x JOIN customer y USING (c_nationkey, c_mktsegment) WHERE x.c_custkey <> y.c_custkey AND x.c_custkey // 500 = y.c_custkey // 500)"""
+    held = lambda pairs: f"""met AS (SELECT a, b, count(*) AS c FROM {pairs} JOIN f x ON x.id = a JOIN f y ON y.id = b AND y.f = x.f GROUP BY 1, 2),
+        sep AS (SELECT a, b, CASE WHEN na IS NOT NULL AND nb IS NOT NULL THEN coalesce(c, 0) END AS c, na, nb FROM (SELECT p.a, p.b, x.n AS na, y.n AS nb FROM {pairs} p LEFT JOIN size x ON x.id = a LEFT JOIN size y ON y.id = b) LEFT JOIN met USING (a, b))"""
     rung = "list_position(['asserted', 'hypothesis', 'derived', 'span_cited', 'fetched', 'observed'], provenance)"
     smooth = f"""{e}, m AS (SELECT src AS id, dst AS merged FROM e WHERE label = 'based_in'),
         o AS (SELECT coalesce(x.merged, src) AS src, coalesce(y.merged, dst) AS dst, label FROM e LEFT JOIN m x ON x.id = src LEFT JOIN m y ON y.id = dst)"""
     return {
         "g15_exact_groups": f"WITH {a} SELECT id, min(id) OVER (PARTITION BY content_ref) AS canonical, id <> min(id) OVER (PARTITION BY content_ref) AS archived FROM a",
-        "g15_rho_after": f"""WITH {a}, g AS (SELECT strlen(content) AS s, id <> min(id) OVER (PARTITION BY content_ref) AS x FROM a)
-            SELECT sum(s)::BIGINT AS bytes, (sum(s) FILTER (NOT x))::BIGINT AS kept, count(*) FILTER (x) AS archived, 1.0::DOUBLE AS rho_before, round((sum(s) FILTER (NOT x)) / sum(s), 9) AS rho_after FROM g""",
+        "g15_rho_after": f"""WITH {a}, g AS (SELECT strlen(content) AS s, id <> min(id) OVER (PARTITION BY content_ref) AS x, id <> min(id) OVER (PARTITION BY collection_id, content_ref) AS y FROM a)
+            SELECT sum(s)::BIGINT AS bytes, (sum(s) FILTER (NOT x))::BIGINT AS kept, count(*) FILTER (x) AS archived, round((sum(s) FILTER (NOT y)) / sum(s), 9) AS rho_before, round((sum(s) FILTER (NOT x)) / sum(s), 9) AS rho_after FROM g""",
         "g15_near_pairs": f"WITH {near} SELECT a, b, round(jaccard, 6) AS jaccard FROM near",
-        "u4_near_not_exact": f"WITH {near} SELECT a, b, round(jaccard, 6) AS jaccard FROM near JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE x.text <> y.text",
+        "g15_advice": f"""WITH {near}, best_ AS (SELECT * FROM near WHERE jaccard >= 0.6)
+            SELECT a AS src, b AS dst, 'near_dup_candidate' AS label, round(jaccard, 6) AS score, jaccard >= 1 - 1 / 129 - sqrt(jaccard * (1 - jaccard) / 128) AS within_error, (SELECT count(*) FROM best_) > 50 AS truncated
+            FROM best_ ORDER BY jaccard DESC, a, b LIMIT 50""",
+        "g15_archived": f"""WITH {a}, g AS (SELECT CASE WHEN id <> min(id) OVER (PARTITION BY content_ref) THEN 'archived' ELSE state END AS state, id <> min(id) OVER (PARTITION BY content_ref) AS x FROM a)
+            SELECT state, count(*) AS n FROM g GROUP BY 1 UNION ALL SELECT 'consolidates', count(*) FROM g WHERE x HAVING count(*) > 0""",
+        "u4_near_not_exact": f"WITH {near} SELECT a, b, round(jaccard, 6) AS jaccard FROM near JOIN t x ON x.doc_id = a JOIN t y ON y.doc_id = b WHERE x.t <> y.t",
         "j1_generators": f"WITH {a} SELECT min(id) AS id FROM a GROUP BY content_ref",
         "j5_anchors": f"WITH {e} SELECT dst AS id, count(DISTINCT src)::INT AS n, string_agg(DISTINCT src, ',' ORDER BY src) AS anchors FROM e WHERE label = 'supplies' GROUP BY 1",
-        "j3_candidates": f"""WITH {e}, s AS (SELECT DISTINCT src, dst FROM e WHERE label = 'supplies' AND src IN ('supplier-1', 'supplier-2', 'supplier-3', 'supplier-4', 'supplier-5', 'supplier-6', 'supplier-7', 'supplier-8'))
+        "j3_candidates": f"""WITH {e}, s AS (SELECT DISTINCT src, dst FROM e WHERE label = 'supplies')
             SELECT x.dst AS a, y.dst AS b, count(*) AS shared FROM s x JOIN s y ON x.src = y.src AND x.dst < y.dst GROUP BY 1, 2 HAVING count(*) >= 3""",
         "j4_relates_to": f"""WITH {e}, s AS (SELECT DISTINCT src, dst FROM e WHERE label = 'supplies'), d AS (SELECT dst, count(*) AS deg FROM s GROUP BY 1)
             SELECT x.src AS a, y.src AS b, round(sum(1 / (1 + ln(deg))), 6) AS weight FROM s x JOIN d USING (dst) JOIN s y ON x.dst = y.dst AND x.src < y.src WHERE ln(deg) <= 3.5 GROUP BY 1, 2""",
         "a14_evidence": f"WITH {ev} SELECT id, count(DISTINCT row) AS n_rows, count(DISTINCT feature) AS n_features, sum(value) AS total FROM ev GROUP BY 1",
         "a15_evidence_weights": f"WITH {ev} SELECT h.dst AS region, feature, count(*) AS n, sum(value) AS total FROM ev JOIN e h ON h.src = ev.id AND h.label = 'part_of' GROUP BY 1, 2",
+        "g11_separation": f"""WITH {frames}, {held('next')}
+            SELECT a, b, round(1 - c / na, 9) AS a_outside_b, round(1 - c / nb, 9) AS b_outside_a, c = na AND c = nb AS one_object, (c = na) <> (c = nb) AS subsumed FROM sep""",
+        "g12_diagram": f"WITH {frames}, {held('peers')} SELECT DISTINCT a AS id, a AS member FROM sep UNION ALL SELECT a, b FROM sep WHERE c = na AND c = nb",
+        "g13_superposition": f"""WITH {frames}, {held('peers')}, near_ AS (SELECT a, b, round(c / na, 9) AS x FROM sep WHERE c > 0), {signal_ctes('near_', 'a', 'x', 'b', 'z')},
+            first AS (SELECT a, arg_min(b, (-x, b)) AS b, max(x) AS x FROM near_ GROUP BY 1)
+            SELECT a, n::INT AS n, CASE WHEN separated THEN b END AS lands, CASE WHEN separated THEN x END AS explained FROM first JOIN zcut ON key = a""",
+        "u3_feature_union": f"WITH {frames}, u AS (SELECT a, b, f FROM next JOIN f ON f.id = a UNION SELECT a, b, f FROM next JOIN f ON f.id = b) SELECT a, b, string_agg(f, ',' ORDER BY f) AS features FROM u GROUP BY 1, 2",
+        "j4_fallback": f"""WITH {e}, s AS (SELECT DISTINCT src, dst FROM e WHERE label = 'supplies'), d AS (SELECT dst, count(*) AS deg FROM s GROUP BY 1),
+            l AS (SELECT DISTINCT src FROM s WHERE src NOT IN (SELECT 'supplier-' || s_suppkey FROM supplier WHERE s_acctbal > 0))
+            SELECT x.src AS a, y.src AS b, round(sum(1 / (1 + ln(deg))), 6) AS weight FROM s x JOIN d USING (dst) JOIN s y ON x.dst = y.dst AND x.src < y.src
+            WHERE ln(deg) <= 3.5 AND (x.src IN (SELECT src FROM l) OR y.src IN (SELECT src FROM l)) GROUP BY 1, 2""",
+        "g14_certified": f"""WITH {a} SELECT content_ref, count(*) AS n, sum(quality)::BIGINT AS mass_in, sum(quality)::BIGINT AS mass_out, CASE WHEN count(quality) > 0 THEN true END AS balanced FROM a GROUP BY content_ref HAVING count(*) > 1""",
+        "g14_applied": f"""WITH {a}, g AS (SELECT id, state, count(*) OVER (PARTITION BY content_ref) > 1 AS x, content_ref FROM a),
+            r AS (SELECT CASE WHEN x THEN 'archived' ELSE state END AS state FROM g UNION ALL SELECT CASE WHEN bool_or(state = 'live') THEN 'live' ELSE 'archived' END FROM g WHERE x GROUP BY content_ref)
+            SELECT state, count(*) AS n FROM r GROUP BY 1 UNION ALL SELECT 'consolidates', count(*) FROM g WHERE x HAVING count(*) > 0""",
+        "g16_supplied": f"""WITH {a}, m AS (SELECT lang || '/' || collection_id AS grp, 'concept-' || sha256(string_agg(id, chr(0) ORDER BY id))[1:32] AS merged, count(*) AS n, sum(quality)::BIGINT AS mass FROM a WHERE lang IS NOT NULL GROUP BY 1)
+            SELECT DISTINCT merged AS src, cited_from AS dst, n, mass FROM a JOIN m ON grp = lang || '/' || collection_id WHERE cited_from IS NOT NULL""",
+        **{name: f"""WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings {live}), p AS (SELECT label, i, sum(v[i]) AS s, count(*) AS n FROM e, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2),
+            d AS (SELECT e.label, vec_id, any_value(n) AS n, sum(s * v[i]) AS d, sum(v[i] * v[i]) AS o FROM e JOIN p ON p.label = e.label GROUP BY 1, 2)
+            SELECT label, any_value(n) AS n, round(max(abs(d - o) / o), 4) AS worst FROM d GROUP BY 1""" for name, live in (("g18_recovered", ""), ("n23_recovered_live", "WHERE vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 29 <> 0)"))},
+        "g17_aligned": """
+            WITH l AS (SELECT 'item-' || item_id AS id, lower(trim(string_split(text, chr(32))[1])) AS k FROM benchmark),
+            r AS (SELECT lower(trim(string_split(text, chr(32))[1])) AS k, min('doc-' || doc_id) AS id FROM documents GROUP BY 1),
+            w AS (SELECT l.id AS a, r.id AS b, 'concept-' || sha256(least(l.id, r.id) || '|' || greatest(l.id, r.id))[1:20] AS c FROM l JOIN r USING (k) WHERE k <> '')
+            SELECT DISTINCT c AS id, 'derived' AS what FROM w UNION ALL SELECT c, 'aligns ' || a FROM w UNION ALL SELECT c, 'aligns ' || b FROM w""",
+        "s14_counts": """WITH m AS (SELECT s_nationkey AS grp, 'supplier-' || s_suppkey AS id FROM supplier WHERE s_acctbal > 7000), r AS (SELECT c_nationkey AS grp, 'customer-' || min(c_custkey) AS id FROM customer WHERE c_nationkey < 12 GROUP BY 1),
+            g AS (SELECT grp, count(*) AS n, bool_or(id LIKE 'customer-%') AS known FROM (SELECT * FROM m UNION SELECT * FROM r) GROUP BY 1)
+            SELECT count(*) FILTER (n > 1) AS with_edges, count(*) FILTER (n = 1) AS single, count(*) FILTER (NOT known) AS unresolved FROM g""",
+        "s17_attached": """WITH p AS (SELECT CASE WHEN s_suppkey < 10 THEN 'main-' ELSE 'also-' END || s_suppkey AS id, s_nationkey AS grp FROM supplier), b AS (SELECT grp, coalesce(min(id) FILTER (id LIKE 'main-%'), min(id)) AS dst FROM p GROUP BY 1)
+            SELECT 'customer-' || c_custkey AS id, c_nationkey AS grp, dst FROM customer LEFT JOIN b ON grp = c_nationkey""",
+        "w14_live_generations": f"WITH {a} SELECT collection_id AS root, max(doc_id) AS generation, 'doc-' || max(doc_id) AS id FROM a WHERE state = 'live' GROUP BY 1",
         "g14_merge": f"""WITH {a}
             SELECT content_ref, count(*) AS n, sum(quality)::BIGINT AS mass, count(*) FILTER (quality IS NULL) AS unmeasured,
                    ['asserted', 'hypothesis', 'derived', 'span_cited', 'fetched', 'observed'][min(nullif({rung}, 0))] AS provenance, count(*) FILTER ({rung} IS NULL OR {rung} = 0) AS unknown_rungs,
                    CASE WHEN bool_or(state = 'live') THEN 'live' ELSE 'archived' END AS state, 'concept-' || sha256(string_agg(id, chr(0) ORDER BY id))[1:32] AS merged_id
             FROM a GROUP BY content_ref HAVING count(*) > 1""",
-        "a17_vector_sum": "SELECT label, n, i - 1 AS i, round(x, 4) AS x FROM (SELECT label, i, sum(embedding[i]::DOUBLE) AS x, count(*) AS n FROM embeddings, (SELECT unnest(range(1, 5)) AS i) GROUP BY 1, 2)",
+        "a17_vector_sum": "SELECT label, n, i - 1 AS i, round(x, 4) AS x FROM (SELECT label, i, sum(embedding[i]::DOUBLE) AS x, count(*) AS n FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2)",
         "u2_smoothed_edges": f"WITH {smooth} SELECT DISTINCT src, dst, label FROM o WHERE src <> dst",
         "u2_smoothing_counts": f"WITH {smooth} SELECT count(*) AS emitted, count(*) FILTER (src = dst) AS self_edges, (SELECT count(*) FROM (SELECT DISTINCT src, dst, label FROM o WHERE src <> dst)) AS kept FROM o",
         "j2_crosswalk": """
@@ -205,6 +364,6 @@ def oracle_sql():
             SELECT id AS src, coalesce(known, least) AS dst FROM e JOIN c USING (grp) WHERE id <> coalesce(known, least)""",
         "j6_endpoints": f"""WITH {e} SELECT src, dst, label, weight FROM e WHERE label = 'supplies'
             AND src IN (SELECT 'supplier-' || s_suppkey FROM supplier WHERE s_acctbal > 0) AND dst IN (SELECT 'part-' || p_partkey FROM part WHERE p_retailprice < 1200)""",
-        "j8_incident_edges": f"""WITH {e} SELECT src AS lead, label, dst AS far FROM e WHERE src IN ('nation-1', 'nation-2', 'nation-3')
-            UNION ALL SELECT dst, label, src FROM e WHERE dst IN ('nation-1', 'nation-2', 'nation-3')""",
+        "j8_incident_edges": f"""WITH {e}, n AS (SELECT 'nation-' || n_nationkey AS lead FROM nation), i AS (SELECT src AS lead, label, dst AS far FROM e UNION ALL SELECT dst, label, src FROM e)
+            SELECT lead, label, far, round(CASE WHEN far LIKE 'supplier-%' THEN 1 + far[10:]::INT / 100 END, 6) AS energy FROM i JOIN n USING (lead)""",
     }

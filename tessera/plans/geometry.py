@@ -1,22 +1,23 @@
-"""Queries of taxonomy geometry and propagation. The tree is root > region > nation > customer."""
+"""Queries of taxonomy geometry and propagation. The tree is root > region > nation > customer; the graph adds market segments."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.model import EDGES_SQL, TAXONOMY_SQL, edges, table, taxonomy
+from tessera.model import EDGES_SQL, TAXONOMY_DAG_SQL, TAXONOMY_SQL, edges, table, taxonomy, taxonomy_dag
 from tessera.operators import graph as G
 from tessera.operators import resolve
+from tessera.steps import written
 
-DEPTH = 3
 #: Attenuation length and floor used by the propagation queries.
 XI, GAP = 2.0, 0.05
 
 
-def _tree(spark, sf):
-    tree = taxonomy(spark, sf)
-    above = G.closure(tree, DEPTH)
-    return tree, above, G.information_content(tree, above)
+def _tree(spark, sf, of=taxonomy):
+    """(taxonomy, closure, information content), each written once and read back by all that follows."""
+    tree = written(of(spark, sf), "taxonomy")
+    above = G.closure(tree)
+    return tree, above, written(G.information_content(tree, above), "information")
 
 
 def _seeds(spark, sf):
@@ -25,7 +26,7 @@ def _seeds(spark, sf):
 
 
 def a12_closure(spark, sf):
-    return G.closure(taxonomy(spark, sf), DEPTH)
+    return G.closure(taxonomy(spark, sf))
 
 
 def a12_information_content(spark, sf):
@@ -35,7 +36,7 @@ def a12_information_content(spark, sf):
 
 def a13_resnik(spark, sf):
     tree = taxonomy(spark, sf)
-    return G.resnik(tree, G.closure(tree, DEPTH)).select("node", F.round("ic", 6).alias("ic"), "status")
+    return G.resnik(tree, G.closure(tree)).select("node", F.round("ic", 6).alias("ic"), "status")
 
 
 def a11_geometry(spark, sf):
@@ -151,7 +152,53 @@ def g6_compose(spark, sf):
     return G.rendered(_recognised(spark, sf).select("concept"), names)
 
 
+def a11_forest(spark, sf):
+    """Geometry with the regions as roots: the greatest span over all of them."""
+    tree = taxonomy(spark, sf).filter("node <> 'root'").withColumn("parent", F.when(F.col("parent") != "root", F.col("parent")))
+    tree = written(tree, "forest")
+    above = G.closure(tree)
+    g = G.forest_geometry(tree, above, written(G.information_content(tree, above), "information"))
+    return g.select(*[F.round(c, 6).alias(c) for c in g.columns])
+
+
+def a12_dag_information(spark, sf):
+    """Information content where a customer has two parents: every descendant counts once."""
+    _, _, ic = _tree(spark, sf, taxonomy_dag)
+    return ic.select("node", "cum", F.round("ic", 6).alias("ic"), F.round("se", 6).alias("se"))
+
+
+def a13_measured(spark, sf):
+    """Customers as words: some without a part of speech, some beyond the table, some never ordered."""
+    tree = taxonomy(spark, sf)
+    ic = G.resnik(tree, G.closure(tree)).filter("status = 'measured'").select("node", "ic")
+    k = F.col("c_custkey")
+    words = table(spark, sf, "customer").select(F.concat(F.lit("customer-"), k).alias("word"), F.when(k % 7 != 0, F.lit("n")).alias("pos"), F.when(k % 11 == 0, k + 10**9).otherwise(k).alias("at"))
+    return G.measured(words, ic, 10**9).select("word", F.round("ic", 6).alias("ic"), "status")
+
+
+def g1_spread_dag(spark, sf):
+    """Seeds climb to all their parents, each reaching a node by its cheapest path."""
+    dag, _, ic = _tree(spark, sf, taxonomy_dag)
+    return G.spread_nearest(_seeds(spark, sf), G.step_costs(dag, ic), XI, GAP).select("concept", F.round("energy", 6).alias("energy"))
+
+
+def g1_spread_hops(spark, sf):
+    """One step up without a horizon."""
+    dag, _, ic = _tree(spark, sf, taxonomy_dag)
+    return G.spread_nearest(_seeds(spark, sf), G.step_costs(dag, ic), XI, GAP, hops=1).select("concept", F.round("energy", 6).alias("energy"))
+
+
+def w5_rank_with_memory(spark, sf):
+    """Shares plus what memory holds of nations, present and past."""
+    _, above, ic = _tree(spark, sf)
+    fired = G.spread(_seeds(spark, sf), above, ic, XI, GAP)
+    n = F.col("n_nationkey")
+    memory = table(spark, sf, "nation").select(F.concat(F.lit("nation-"), n).alias("concept"), (n / 100).alias("present"), F.when(n % 2 == 0, n / 200).alias("past"))
+    return G.rank_fired(fired, ic, memory).select("concept", *[F.round(c, 6).alias(c) for c in ("share", "rank_score")])
+
+
 _QUERIES = (
+    a11_forest, a12_dag_information, a13_measured, g1_spread_dag, g1_spread_hops, w5_rank_with_memory,
     a12_closure, a12_information_content, a13_resnik, a11_geometry, f7_distances, f8_attenuation, f9_hop_costs, j10_propagate, g1_spread,
     g2_discharge, g3_associate, j9_signed, w5_rank_fired, w12_sense_prior, f23_coherent_core, g4_fired_field, g5_recognise, g6_compose,
 )
@@ -171,8 +218,8 @@ def oracle_sql():
     jc = f"""{ic},
         lca AS (SELECT x.node AS a, y.node AS b, max(ic) AS lca FROM up x JOIN up y ON x.ancestor = y.ancestor JOIN ic ON ic.node = x.ancestor WHERE {{pairs}} GROUP BY 1, 2),
         jc AS (SELECT a, b, ia.ic + ib.ic - 2 * lca AS jc FROM lca JOIN ic ia ON ia.node = a JOIN ic ib ON ib.node = b)"""
-    seeds = "seeds AS (SELECT 'customer-' || c_custkey AS concept, 1 + c_custkey / 10 AS energy FROM customer WHERE c_custkey <= 25)"
-    sup = "seeds AS (SELECT 'supplier-' || s_suppkey AS concept, 1.0::DOUBLE AS energy FROM supplier WHERE s_suppkey <= 10)"
+    seeds = "seeds AS (SELECT 'customer-' || c_custkey AS concept, 1 + c_custkey / 10 AS energy FROM customer)"
+    sup = "seeds AS (SELECT 'supplier-' || s_suppkey AS concept, 1.0::DOUBLE AS energy FROM supplier)"
     spread = f"""{ic}, {seeds},
         climb AS (SELECT s.concept, energy, ancestor, greatest(i.ic - j.ic, 0) AS d FROM seeds s JOIN up ON up.node = s.concept JOIN ic i ON i.node = s.concept JOIN ic j ON j.node = ancestor),
         fired AS (SELECT ancestor AS concept, sum(energy * exp(-d)) AS energy FROM climb WHERE energy >= {GAP} AND d <= {XI} * ln(energy / {GAP}) GROUP BY 1)"""
@@ -183,7 +230,33 @@ def oracle_sql():
         et AS (SELECT rk, n, rk * (n - rk) / n * (s / rk - (t - s) / (n - rk)) ** 2 / (q - t * t / n) AS e FROM su WHERE rk < n),
         en AS (SELECT CASE WHEN round(max(e), 12) > round((SELECT max(j * (n - j) / n * (n / 2) ** 2 / (n * (n * n - 1) / 12)) FROM (SELECT rk AS j, n FROM et)), 12) THEN arg_max(rk, e) ELSE any_value(n) END AS k FROM et),
         lead AS (SELECT o.* FROM o, en WHERE rk <= k)"""
+    dag = f"""dag AS ({TAXONOMY_DAG_SQL}), own AS (SELECT node, max(own) AS own FROM dag GROUP BY 1),
+        dup AS (SELECT node, node AS ancestor FROM own UNION SELECT u.node, d.parent FROM dup u JOIN dag d ON d.node = u.ancestor WHERE d.parent IS NOT NULL),
+        dcum AS (SELECT ancestor AS node, sum(own + 1)::BIGINT AS cum FROM dup JOIN own USING (node) GROUP BY 1),
+        dic AS (SELECT node, cum, 0.0 - ln(cum / (SELECT max(cum) FROM dcum)) AS ic FROM dcum),
+        cost AS (SELECT DISTINCT d.node, d.parent, greatest(c.ic - p.ic, 0) AS cost FROM dag d JOIN dic c ON c.node = d.node JOIN dic p ON p.node = d.parent), {seeds}"""
+    forest = ic.replace(f"tree AS ({TAXONOMY_SQL})", f"tree AS (SELECT node, nullif(parent, 'root') AS parent, own FROM ({TAXONOMY_SQL}) WHERE node <> 'root')")
     return {
+        "a11_forest": f"""WITH RECURSIVE {forest},
+            d AS (SELECT c.ic - p.ic AS d FROM tree t JOIN ic c ON c.node = t.node JOIN ic p ON p.node = t.parent),
+            r AS (SELECT 2 * (max(i.ic) - any_value(q.ic)) AS span FROM up JOIN tree t ON t.node = ancestor AND t.parent IS NULL JOIN ic i ON i.node = up.node JOIN ic q ON q.node = ancestor GROUP BY ancestor),
+            g AS (SELECT (SELECT median(d) FROM d WHERE d > 0) AS d_edge, (SELECT max(span) FROM r) AS d_max)
+            SELECT round(d_edge, 6) AS d_edge, round(d_max, 6) AS d_max, round(ln(d_max / d_edge), 6) AS mu, round(1 / ln(d_max / d_edge), 6) AS xi, round(exp(-d_max * ln(d_max / d_edge)), 6) AS gap FROM g""",
+        "a12_dag_information": f"WITH RECURSIVE {dag} SELECT node, cum, round(ic, 6) AS ic, round(sqrt((1 - cum / (SELECT max(cum) FROM dcum)) / cum), 6) AS se FROM dic",
+        "a13_measured": f"""WITH RECURSIVE {ic}, w AS (SELECT 'customer-' || c_custkey AS word, c_custkey AS k FROM customer),
+            s AS (SELECT word, CASE WHEN k % 7 = 0 THEN 'no_pos' WHEN k % 11 = 0 THEN 'out_of_range' WHEN raw > 0 THEN 'measured' ELSE 'zero_frequency' END AS status, raw FROM w JOIN cum ON node = word)
+            SELECT word, CASE WHEN status = 'measured' THEN round(0.0 - ln(raw / (SELECT max(raw) FROM cum)), 6) END AS ic, status FROM s""",
+        "g1_spread_dag": f"""WITH RECURSIVE {dag},
+            w AS (SELECT concept AS seed, concept AS here, energy, 0.0::DOUBLE AS d FROM seeds WHERE energy >= {GAP}
+                  UNION ALL SELECT seed, parent, energy, d + cost.cost FROM w JOIN cost ON node = here WHERE d + cost.cost <= {XI} * ln(energy / {GAP})),
+            n AS (SELECT seed, here, any_value(energy) AS energy, min(d) AS d FROM w GROUP BY 1, 2)
+            SELECT here AS concept, round(sum(energy * exp(-d)), 6) AS energy FROM n GROUP BY 1""",
+        "g1_spread_hops": f"""WITH RECURSIVE {dag}, n AS (SELECT concept AS here, energy, 0.0::DOUBLE AS d FROM seeds UNION ALL SELECT parent, energy, cost.cost FROM seeds JOIN cost ON node = concept)
+            SELECT here AS concept, round(sum(energy * exp(-d)), 6) AS energy FROM n GROUP BY 1""",
+        "w5_rank_with_memory": f"""WITH RECURSIVE {spread}
+            SELECT concept, round(energy / sum(energy) OVER (), 6) AS share,
+                   round(energy / sum(energy) OVER () + coalesce(n_nationkey / 100, 0) + coalesce(CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey / 200 END, 0), 6) AS rank_score
+            FROM fired LEFT JOIN nation ON concept = 'nation-' || n_nationkey""",
         "a12_closure": f"WITH RECURSIVE {tree} SELECT * FROM up",
         "a12_information_content": f"WITH RECURSIVE {ic} SELECT node, cum, round(ic, 6) AS ic, round(sqrt((1 - cum / (SELECT max(cum) FROM cum)) / cum), 6) AS se FROM ic",
         "a13_resnik": f"WITH RECURSIVE {ic} SELECT node, CASE WHEN raw > 0 THEN round(0.0 - ln(raw / (SELECT max(raw) FROM cum)), 6) END AS ic, CASE WHEN raw > 0 THEN 'measured' ELSE 'zero_frequency' END AS status FROM ic",
@@ -195,7 +268,7 @@ def oracle_sql():
         "f8_attenuation": f"""SELECT c_custkey, round(exp(-greatest(c_acctbal / 1000, 0) / {XI}), 6) AS attenuated,
             round(CASE WHEN (c_custkey % 10 + 1) / 20 >= {GAP * 3} THEN {XI} * ln((c_custkey % 10 + 1) / 20 / {GAP * 3}) ELSE 0 END, 6) AS horizon FROM customer""",
         "f9_hop_costs": f"SELECT label, fan, count(*) AS n, round(max(ln(fan)), 6) AS cost FROM (SELECT label, count(*) OVER (PARTITION BY src, label) AS fan FROM ({EDGES_SQL})) GROUP BY 1, 2",
-        "j10_propagate": f"""WITH RECURSIVE {jc.format(pairs="x.node LIKE 'customer-%' AND y.node LIKE 'nation-%' AND x.node IN (SELECT 'customer-' || c_custkey FROM customer WHERE c_custkey <= 25)")}, {seeds},
+        "j10_propagate": f"""WITH RECURSIVE {jc.format(pairs="x.node LIKE 'customer-%' AND y.node LIKE 'nation-%'")}, {seeds},
             p AS (SELECT b AS target, sum(energy * exp(-greatest(jc, 0) / {XI})) AS e, min(jc) AS near FROM jc JOIN seeds ON a = concept WHERE exp(-greatest(jc, 0) / {XI}) >= {GAP} GROUP BY 1)
             SELECT node AS target, round(coalesce(e, 0), 6) AS energy, CASE WHEN near IS NULL THEN 'inf'::DOUBLE ELSE round(near, 6) END AS nearest FROM tree LEFT JOIN p ON target = node WHERE node LIKE 'nation-%'""",
         "g1_spread": f"WITH RECURSIVE {spread} SELECT concept, round(energy, 6) AS energy FROM fired",
@@ -214,7 +287,7 @@ def oracle_sql():
             sup AS (SELECT a.word, a.sense, a.prior, sum(CASE WHEN b.word <> a.word THEN b.prior * exp(-greatest(jc, 0)) END) AS s FROM senses a JOIN jc ON jc.a = a.sense JOIN senses b ON b.sense = jc.b GROUP BY ALL)
             SELECT sense, round(bits * coalesce(s, 0) / sum(s) OVER (PARTITION BY word), 6) AS energy FROM sup JOIN words USING (word)""".replace(
             "WITH RECURSIVE ", """WITH RECURSIVE words AS (SELECT c_mktsegment AS word, -log2(count(*) / (SELECT count(*) FROM customer)) AS bits FROM customer GROUP BY 1),
-            senses AS (SELECT c_mktsegment AS word, 'customer-' || c_custkey AS sense, 1 / row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS prior FROM customer WHERE c_custkey <= 40), """
+            senses AS (SELECT c_mktsegment AS word, 'customer-' || c_custkey AS sense, 1 / row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS prior FROM customer), """
         ),
         "g5_recognise": f"WITH RECURSIVE {cut} SELECT concept, (rk - 1)::INT AS rank, round(x, 6) AS score FROM lead",
         "g6_compose": f"""WITH RECURSIVE {cut},
@@ -224,6 +297,6 @@ def oracle_sql():
             FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS r FROM part)""",
         "f23_coherent_core": f"""WITH RECURSIVE {jc.format(pairs="x.node IN (SELECT name FROM names) AND y.node IN (SELECT anchor FROM anchors)")}
             SELECT n.grp, n.name, round(jc, 6) AS d FROM names n JOIN anchors USING (grp) JOIN (SELECT grp, count(*) AS n FROM names GROUP BY 1) s USING (grp) JOIN jc ON a = n.name AND b = anchor WHERE s.n < 3 OR jc <= 8.5""".replace(
-            "WITH RECURSIVE ", "WITH RECURSIVE g AS (SELECT c_mktsegment || '-' || (c_custkey // 20) AS grp, c_custkey AS k FROM customer WHERE c_custkey <= 200), names AS (SELECT grp, 'customer-' || k AS name FROM g), anchors AS (SELECT grp, 'customer-' || min(k) AS anchor FROM g GROUP BY 1), "
+            "WITH RECURSIVE ", "WITH RECURSIVE g AS (SELECT c_mktsegment || '-' || (c_custkey // 20) AS grp, c_custkey AS k FROM customer), names AS (SELECT grp, 'customer-' || k AS name FROM g), anchors AS (SELECT grp, 'customer-' || min(k) AS anchor FROM g GROUP BY 1), "
         ),
     }

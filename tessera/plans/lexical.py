@@ -125,6 +125,23 @@ def w6_densest_span(spark, sf):
     return hits.select("query_id", "id", "rank", T.spans_udf(300)("text", "terms").alias("passage"))
 
 
+def f1_offsets(spark, sf):
+    """Every token with its place, in one digest per document."""
+    spans = F.transform(T.token_spans(F.col("text")), lambda t: F.concat_ws(":", t["start"], t["stop"], t["said"]))
+    return _docs(spark, sf).select("doc_id", F.md5(F.array_join(spans, " ").cast("binary")).alias("tokens_md5"))
+
+
+def f3_blind_stems(spark, sf):
+    """Keyed hashes of stems, as an index without readable text holds them."""
+    words = _index(spark, sf).select("term").distinct()
+    return words.select(T.stems_udf()("term").alias("stem")).distinct().select("stem", T.blind(F.col("stem"), "key").alias("blind"))
+
+
+def f5_cut(spark, sf):
+    """Two hundred characters from about the fiftieth, whole words."""
+    return _docs(spark, sf).select("doc_id", T.cut_udf(200)("text", F.pmod("doc_id", F.lit(50))).alias("passage"))
+
+
 def _holding(docs, items):
     """(query_id, id): items whose whole text a document holds, found by the item's first ten words, or all of them where it has fewer, then compared."""
     t = T.tokens(F.col("text"))
@@ -187,7 +204,7 @@ def l7_offers(spark, sf):
 
 
 _QUERIES = (
-    f1_tokens, f3_blind_terms, f4_corpus_terms, a8_document_frequency, a8_stemmed_frequency, a9_corpus_rows, a10_information, a10_word_information,
+    f1_offsets, f3_blind_stems, f5_cut, f1_tokens, f3_blind_terms, f4_corpus_terms, a8_document_frequency, a8_stemmed_frequency, a9_corpus_rows, a10_information, a10_word_information,
     g19_salient_terms, g20_bm25, g20_bm25_all_terms, w1_ranked_within_budget, w6_densest_span, g21_recall, g22_retrieval_arms, s19_clean_pages,
     s20_lead, s21_chunks, u1_ordered_terms, l7_offers,
 )
@@ -200,7 +217,30 @@ def queries():
 def oracle_sql():
     terms = r"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda t: length(t) > 1)"
     first_seen = lambda x: f"list_transform(list_sort(list_distinct(list_transform({x}, lambda e: {{'p': list_position({x}, e), 't': e}}))), lambda s: s.t)"
+    cut = lambda text, start, budget: f"""(SELECT CASE WHEN length(m) > {budget} THEN rtrim(m[1:{budget} - 1], ' ' || chr(10) || chr(9)) || '…' ELSE m END FROM (
+        SELECT CASE WHEN s > 0 THEN '…' ELSE '' END || trim(CASE WHEN more THEN regexp_replace(rest, '[ \n\t][^ \n\t]*$', '') ELSE rest END, ' ' || chr(10) || chr(9) || chr(13)) || CASE WHEN more THEN '…' ELSE '' END AS m FROM (
+        SELECT s, {text}[s + 1:s + {budget}] AS rest, s + {budget} < length({text}) AS more FROM (
+        SELECT CASE WHEN {start} > 0 THEN {start} + length(regexp_extract({text}[{start} + 1:], '^[^ \n\t]{{0,39}}[ \n\t]')) ELSE 0 END AS s))))"""
+    places = rf"""
+        m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) AS said, unnest(range(1, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) + 1)) AS i FROM documents),
+        p AS (SELECT doc_id, unnest(string_split_regex(text, '[\p{{L}}\p{{N}}]+')) AS gap, unnest(range(1, len(string_split_regex(text, '[\p{{L}}\p{{N}}]+')) + 1)) AS i FROM documents),
+        t AS (SELECT doc_id, i, said, sum(length(gap) + length(said)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS stop FROM m JOIN p USING (doc_id, i))"""
+    clean = "coalesce(html, '')"
+    for pattern, to in [
+        (r"(?s)<!--.*?-->", ""), (r"(?s)<ref[^>]*/>|<ref[^>]*>.*?</ref>", ""), (r"(?s)\{\|.*?\|\}", ""), (r"\[\[(?:File|Image|Category):[^\[\]]*\]\]", ""), *[(r"\{\{[^{}]*\}\}", "")] * 6,
+        (r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]", r"\1"), (r"\[https?://\S+\s*([^\]]*)\]", r"\1"), (r"<[^>]+>", ""), (r"''{2,}", ""), (r"\n{2,}", "\n"),
+    ]:
+        clean = f"regexp_replace({clean}, '{pattern}', '{to}', 'g')"
     return {
+        "f1_offsets": f"WITH {places} SELECT doc_id, md5(coalesce(string_agg((stop - length(said)) || ':' || stop || ':' || lower(said), ' ' ORDER BY i), '')) AS tokens_md5 FROM documents LEFT JOIN t USING (doc_id) GROUP BY doc_id",
+        "f5_cut": f"SELECT doc_id, {cut('text', '(doc_id % 50)', 200)} AS passage FROM documents",
+        "s19_clean_pages": f"SELECT page_id, length(t) AS n_clean, md5(t) AS clean_md5 FROM (SELECT page_id, trim({clean}) AS t FROM pages)",
+        "w6_densest_span": f"""{_BM25_SQL}, {places},
+            h AS (SELECT query_id, id, rank, t.stop - length(said) AS s, t.stop AS e, lower(said) AS term FROM top JOIN t ON t.doc_id = id JOIN q USING (query_id) WHERE lower(said) = q.term),
+            v AS (SELECT a.query_id, a.id, a.s, 1000 * count(DISTINCT b.term) + count(*) AS value, max(b.e) AS e FROM h a JOIN h b ON a.query_id = b.query_id AND a.id = b.id AND b.s >= a.s AND b.e <= a.s + 300 GROUP BY ALL),
+            b AS (SELECT query_id, id, arg_min(s, (-value, s)) AS s, arg_min(e, (-value, s)) AS e FROM v GROUP BY 1, 2),
+            spans_ AS (SELECT top.query_id, top.id, rank, text, CASE WHEN s IS NULL THEN 0 ELSE least(greatest((s + e) // 2 - 150, 0), length(text) - 300) END AS begins FROM top JOIN documents ON doc_id = top.id LEFT JOIN b ON b.query_id = top.query_id AND b.id = top.id)
+            SELECT query_id, id, rank, CASE WHEN length(text) <= 300 THEN text ELSE {cut('text', 'begins', 300)} END AS passage FROM spans_""",
         "f1_tokens": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, array_to_string(({first_seen('t')})[1:5], ' ') AS first_terms FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)",
         "f3_blind_terms": f"SELECT term, sha256('key' || term) AS blind FROM (SELECT DISTINCT unnest({_TOKENS}) AS term FROM documents)",
         "f4_corpus_terms": f"SELECT doc_id, len(t) AS n_terms, array_to_string({first_seen('t')}, ' ') AS distinct_terms FROM (SELECT doc_id, {terms} AS t FROM documents)",
@@ -220,7 +260,7 @@ def oracle_sql():
             m AS (SELECT *, avg(idf) OVER (PARTITION BY id) AS mean, count(*) OVER (PARTITION BY id) AS n FROM i)
             SELECT id, term, round(idf, 6) AS idf FROM m WHERE n <= 2 OR mean IS NULL OR coalesce(idf >= mean, true)""",
         "g20_bm25": f"{_BM25_SQL} SELECT query_id, id, rank, score FROM top",
-        "g20_bm25_all_terms": _BM25_SQL.replace(f"SELECT DISTINCT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark", f"SELECT DISTINCT item_id AS query_id, unnest(({first_seen('t')})[1:3]) AS term FROM (SELECT item_id, {_TOKENS} AS t FROM benchmark)").replace("AS rank FROM hits", "AS rank FROM hits JOIN (SELECT query_id, count(*) AS need FROM q GROUP BY query_id) USING (query_id) WHERE matched = need") + " SELECT query_id, id, rank, score FROM top",
+        "g20_bm25_all_terms": _BM25_SQL.replace("AS rank FROM hits", "AS rank FROM hits JOIN (SELECT query_id, count(*) AS need FROM q GROUP BY query_id) USING (query_id) WHERE matched = need") + " SELECT query_id, id, rank, score FROM top",
         "w1_ranked_within_budget": f"""{_BM25_SQL},
             b AS (SELECT query_id, id, rank, score, least(length(text), 1400) AS chars FROM top JOIN documents ON doc_id = id),
             s AS (SELECT *, (sum(chars) OVER (PARTITION BY query_id ORDER BY rank))::BIGINT AS spent FROM b)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.model import ARTIFACTS_SQL, artifacts, table
+from tessera.operators import control, maintenance, writers
 from tessera.operators import metrics as M
 
 
@@ -21,8 +22,7 @@ def s2_point_get(spark, sf):
 
 
 def s3_missing_fields(spark, sf):
-    a = artifacts(spark, sf)
-    return a.agg(*[M.count_if(F.col(c).isNull()).alias(f"no_{c}") for c in ("cited_from", "provenance", "size", "quality")])
+    return M.null_counts(artifacts(spark, sf), ["cited_from", "provenance", "size", "quality"])
 
 
 def s7_declared_source(spark, sf):
@@ -65,11 +65,11 @@ def a2_collection_metrics(spark, sf):
 
 
 def a3_type_counts_and_fitness(spark, sf):
-    return artifacts(spark, sf).groupBy("content_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("quality"), 6).alias("fitness"))
+    return M.types_and_fitness(artifacts(spark, sf)).select("content_type", "n", F.round("fitness", 6).alias("fitness"))
 
 
 def a5_counts_all_states(spark, sf):
-    return artifacts(spark, sf).groupBy("collection_id").agg(F.count(F.lit(1)).alias("n"), M.count_if(F.col("state") == "live").alias("live"))
+    return M.counts_by(artifacts(spark, sf), "collection_id", F.col("state") == "live")
 
 
 def a6_audit_provenance(spark, sf):
@@ -102,23 +102,23 @@ _TASKS = """(SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'pending'
 
 
 def a21_queue_stats(spark, sf):
-    return _tasks(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.max("since").alias("last"))
+    return M.queue_stats(_tasks(spark, sf))
 
 
 def a21_recent_terminal(spark, sf):
-    return _tasks(spark, sf).filter("status = 'done'").orderBy(F.desc("since"), "id").limit(20).select("id", "since")
+    return M.recent_terminal(_tasks(spark, sf), 20).select("id", "since")
 
 
 def t6k_pending_window(spark, sf):
-    return _tasks(spark, sf).filter("status = 'pending' AND attempts < 5").orderBy("priority", "since", "id").limit(24).select("id", "priority")
+    return M.pending_window(_tasks(spark, sf)).select("id", "priority")
 
 
 def r11_leases(spark, sf):
     """What becomes of every claimed task at a given time: kept, given back with a growing pause, or dead after five attempts."""
     t = _tasks(spark, sf).filter("status = 'claimed'")
-    stale = (F.lit("1998-08-02 00:00:00").cast("timestamp_ntz") - F.col("since")) > F.expr("INTERVAL 120 SECOND")
-    verdict = F.when(~stale, "kept").when(F.col("attempts") >= 5, "dead").otherwise("retry")
-    return t.select("id", verdict.alias("verdict"), F.when(verdict == "retry", F.least(F.lit(300), 15 * F.col("attempts"))).alias("backoff_s"))
+    age = F.unix_seconds(F.lit("1998-08-02 00:00:00").cast("timestamp")) - F.unix_seconds(F.col("since").cast("timestamp"))
+    verdict, pause = control.lease(F.col("status"), age, F.col("attempts"))
+    return t.select("id", verdict.alias("verdict"), pause.alias("backoff_s"))
 
 
 def _snapshots(spark, sf):
@@ -154,70 +154,65 @@ def a24_ewma(spark, sf):
 
 
 def a25_consistency(spark, sf):
-    """Named checks, true or false, over artifacts and their merges."""
+    """A snapshot of the labelled documents, recorded before the others came, against all of them now."""
     a = artifacts(spark, sf)
-    merged = M.consolidated(a)
-    m = M.all_metrics(a, merged).filter("collection_id IS NULL")
-    row = m.select(
-        (F.col("generator_bytes") <= F.col("bytes")).alias("generators_within_bytes"),
-        (F.col("rho").between(0, 1)).alias("rho_is_a_ratio"),
-        (F.col("keyed_coverage").between(0, 1)).alias("coverage_is_a_ratio"),
-        (F.col("consolidated") <= F.col("artifacts")).alias("merged_within_all"),
-        F.col("invariant").alias("provenance_complete"),
-    )
-    return row.select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in row.columns]), F.array(*row.columns))).alias("check", "holds"))
+
+    def state(rows):
+        one = M.all_metrics(rows, M.consolidated(rows)).filter("collection_id IS NOT NULL")
+        content = rows.filter(~F.col("content_type").isin(*M.MACHINERY)).groupBy("collection_id").agg(F.count(F.lit(1)).alias("content"))
+        return one.join(content, "collection_id", "left").withColumn("keyed", F.col("content") - F.col("dark_matter"))
+
+    return M.consistency(state(a.filter("keyed")), state(a))
 
 
 def a26_progress(spark, sf):
     """Progress of every collection towards a target of 60: min(1, have / target), done or not."""
     n = table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("have"))
-    return n.select("source", "have", F.least(F.lit(1.0), F.col("have") / 60).alias("progress"), (F.col("have") >= 60).alias("done"))
+    return n.select("source", "have", control.progress(F.col("have"), F.lit(60)).alias("progress"), (F.col("have") >= 60).alias("done"))
 
 
 def a27_envelope(spark, sf):
     """Free and evictable amounts against a floor: shortfall and eviction."""
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("free"))
-    shortfall = F.greatest(F.lit(0.0), F.lit(2000.0) - F.col("free"))
-    return c.select("c_custkey", F.round(shortfall, 6).alias("shortfall"), F.round(F.least(shortfall, F.lit(1500.0)), 6).alias("eviction"))
+    shortfall, eviction = control.envelope(F.col("free"), F.lit(2000.0), F.lit(1500.0))
+    return c.select("c_custkey", F.round(shortfall, 6).alias("shortfall"), F.round(eviction, 6).alias("eviction"))
 
 
 def k3_changed_rows(spark, sf):
     """A rewrite of the labels with toxic cleared: only rows that really change are written."""
     old = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
-    return old.withColumn("toxic", F.lit(0).cast("int")).exceptAll(old)
+    return writers.changed(old, old.withColumn("toxic", F.lit(0).cast("int")), "doc_id")
 
 
 def k4_sealed(spark, sf):
     """Bodies by address, each once, with its size; rows keep the address."""
-    a = artifacts(spark, sf)
-    return a.groupBy("content_ref").agg(F.max(F.octet_length("content")).cast("long").alias("size"), F.count(F.lit(1)).alias("refs"))
+    rows, bodies = writers.sealed(artifacts(spark, sf).select("id", "content"))
+    refs = rows.groupBy("content_ref").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("refs"))
+    return bodies.select("content_ref").join(refs, "content_ref")
 
 
 def k5_shards_left(spark, sf):
     """Collections not yet marked as done."""
     done = table(spark, sf, "documents").filter("lang = 'de'").groupBy("source").agg(F.count(F.lit(1)).alias("n")).filter("n > 8").select("source")
-    return table(spark, sf, "documents").select("source").distinct().join(done, "source", "left_anti")
+    return writers.left_to_do(table(spark, sf, "documents"), done, "source")
 
 
 def m4_blobs_missing(spark, sf):
     """Addresses that artifacts need and labelled documents do not hold, by blob shard (first byte of the hash modulo 16)."""
     a = artifacts(spark, sf)
-    need = a.select("content_ref").distinct().join(a.filter("keyed").select("content_ref").distinct(), "content_ref", "left_anti")
-    shard = F.pmod(F.conv(F.substring("content_ref", 5, 2), 16, 10).cast("int"), F.lit(16))
-    return need.groupBy(shard.alias("shard")).agg(F.count(F.lit(1)).alias("missing"))
+    return maintenance.blobs_missing(a, a.filter("keyed"))
 
 
 def r16_breeding(spark, sf):
     """Every customer as a process: dies below its cost, breeds with twice its cost and mass, else goes on."""
-    p = table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("energy"), F.lit(1500.0).alias("cost"), F.pmod("c_custkey", F.lit(4)).alias("mass"), F.pmod("c_custkey", F.lit(3)).alias("verified"))
-    breed = (F.col("energy") >= 2 * F.col("cost")) & (F.col("mass") > 0) & (F.col("verified") >= 1)
-    return p.select("c_custkey", F.when(F.col("energy") < F.col("cost"), "die").when(breed, "breed").otherwise("sustain").alias("decision"))
+    k = F.col("c_custkey")
+    return table(spark, sf, "customer").select("c_custkey", control.bred(F.col("c_acctbal"), F.lit(1500.0), k % 4, k % 3, F.lit(1.0)).alias("decision"))
 
 
 def r17_drained(spark, sf):
     """Done only if all are exhausted, the backfill is done and the backlog is 0 or unmeasured."""
     s = table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("lang") == "es", 1)).alias("backlog"))
-    done = (F.col("n") < 60) & F.coalesce(F.col("backlog") == 0, F.lit(True))
+    done = control.drained(F.col("n") < 60, F.lit(True), F.col("backlog"))
     return s.select("source", F.col("backlog").cast("long").alias("backlog"), done.alias("done"))
 
 
@@ -228,8 +223,7 @@ def c17_capabilities(spark, sf):
 
 
 def c18_slugs(spark, sf):
-    slug = F.substring(F.regexp_replace(F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", "-"), "^-|-$", ""), 1, 64)
-    return table(spark, sf, "part").select("p_partkey", F.concat(F.lit("op.host."), slug).alias("operator_id"))
+    return table(spark, sf, "part").select("p_partkey", F.concat(F.lit("op.host."), control.slug(F.col("p_name"))).alias("operator_id"))
 
 
 _QUERIES = (
@@ -301,9 +295,12 @@ def oracle_sql():
         "a24_ewma": f"""WITH {_SNAP}, g AS (SELECT node, ts, n - lag(n) OVER (PARTITION BY node ORDER BY ts) AS gain FROM s),
             l AS (SELECT node, list(gain::DOUBLE ORDER BY ts) AS g FROM g WHERE gain > 3 GROUP BY node)
             SELECT node, round(list_reduce(g, lambda x, y: x * 0.7 + y * 0.3), 6) AS rate FROM l""",
-        "a25_consistency": f"""WITH m AS ({_METRICS})
-            SELECT unnest(['generators_within_bytes', 'rho_is_a_ratio', 'coverage_is_a_ratio', 'merged_within_all', 'provenance_complete']) AS "check",
-                   unnest([generator_bytes <= bytes, rho BETWEEN 0 AND 1, keyed_coverage BETWEEN 0 AND 1, consolidated <= artifacts, invariant]) AS holds FROM m""".replace("SELECT collection_id, count(*) AS artifacts", "SELECT count(*) AS artifacts"),
+        "a25_consistency": f"""WITH a AS ({ARTIFACTS_SQL}), b AS (SELECT *, {_BYTES} AS bytes, content_type NOT IN ('operator', 'source') AS c FROM a),
+            s AS (SELECT side, count(*) AS artifacts, count(*) FILTER (x) AS consolidated, sum(bytes) AS bytes, sum(bytes) FILTER (NOT x) AS generator_bytes, count(*) FILTER (c AND keyed) AS keyed, count(*) FILTER (c) AS content FROM (
+                SELECT 'r' AS side, *, id <> min(id) OVER (PARTITION BY content_ref) AS x FROM b WHERE keyed UNION ALL SELECT 'm', *, id <> min(id) OVER (PARTITION BY content_ref) FROM b) GROUP BY 1)
+            SELECT unnest(['artifacts_never_shrink', 'merged_never_unmerge', 'merged_within_all', 'generators_within_bytes', 'ratio_never_rises', 'keyed_within_content', 'coverage_never_falls']) AS "check",
+                   unnest([m.artifacts >= r.artifacts, m.consolidated >= r.consolidated, m.consolidated <= m.artifacts, m.generator_bytes <= m.bytes, m.generator_bytes / m.bytes <= r.generator_bytes / r.bytes, m.keyed <= m.content, m.keyed / m.content >= r.keyed / r.content]) AS holds
+            FROM s m, s r WHERE m.side = 'm' AND r.side = 'r'""",
         "a26_progress": "SELECT source, count(*) AS have, least(1.0, count(*) / 60) AS progress, count(*) >= 60 AS done FROM documents GROUP BY 1",
         "a27_envelope": "SELECT c_custkey, round(greatest(0.0, 2000.0 - c_acctbal), 6) AS shortfall, round(least(greatest(0.0, 2000.0 - c_acctbal), 1500.0), 6) AS eviction FROM customer",
         "k3_changed_rows": "SELECT doc_id, quality, 0 AS toxic FROM labels WHERE toxic <> 0 OR toxic IS NULL",

@@ -189,7 +189,7 @@ def oracle_sql():
         "f24_coerced_answers": """WITH p AS (SELECT p_partkey, ['integer', 'boolean', 'text'][p_partkey % 3 + 1] AS kind, trim(CASE WHEN p_partkey % 2 = 0 THEN ' ' || (p_partkey % 3) ELSE p_name END) AS t FROM part)
             SELECT p_partkey, kind, CASE kind WHEN 'integer' THEN TRY_CAST(t AS BIGINT)::VARCHAR WHEN 'boolean' THEN CASE WHEN lower(t) IN ('yes', 'true', '1') THEN 'true' WHEN lower(t) IN ('no', 'false', '0') THEN 'false' END ELSE nullif(t, '') END AS value FROM p""",
         "k1_minted": f"SELECT id, 'live' AS state, coalesce(cited_from, 'unknown') AS cited_from, coalesce(provenance, 'asserted') AS provenance FROM {a}",
-        "k2_absent_edges": f"SELECT src, dst, label FROM ({EDGES_SQL}) WHERE label = 'supplies' AND dst[6:]::INT <= 50 AND src[10:]::INT > 50",
+        "k2_absent_edges": f"SELECT src, dst, label FROM ({EDGES_SQL}) WHERE label = 'supplies' AND src IN (SELECT 'supplier-' || s_suppkey FROM supplier WHERE s_acctbal <= 0)",
         "k14_memory_ids": "SELECT conv_id, turn, 'mem-' || sha256('user-' || conv_id || '|' || text)[1:20] AS id FROM conversations WHERE role = 'user'",
         "k9_index_coverage": f"SELECT count(*) FILTER (n > 0) AS indexed, count(*) AS vertices, count(*) FILTER (n = 0) AS missing FROM (SELECT len({token.format('content')}) AS n FROM {a} WHERE state = 'live')",
         "j7_pivots_missing": "SELECT c_nationkey, count(*) AS n, count(*) FILTER (s_nationkey IS NULL) AS no_pivot FROM customer LEFT JOIN (SELECT DISTINCT s_nationkey FROM supplier WHERE s_acctbal > 0) ON s_nationkey = c_nationkey GROUP BY 1",
@@ -198,7 +198,7 @@ def oracle_sql():
         "w3_screen_leads": f"""WITH {held},
             o AS (SELECT agent, present AS x, row_number() OVER (PARTITION BY agent ORDER BY present DESC, concept) AS k, count(*) OVER (PARTITION BY agent) AS n FROM r),
             s AS (SELECT *, sum(x) OVER (PARTITION BY agent ORDER BY k) AS s, sum(x) OVER (PARTITION BY agent) AS t, sum(x * x) OVER (PARTITION BY agent) AS q FROM o),
-            e AS (SELECT agent, k, n, CASE WHEN q - t * t / n > 0 THEN k * (n - k) / n * (s / k - (t - s) / (n - k)) ** 2 / (q - t * t / n) END AS e FROM s WHERE k < n),
+            e AS (SELECT agent, k, n, CASE WHEN q - t * t / n > 1e-12 * q THEN k * (n - k) / n * (s / k - (t - s) / (n - k)) ** 2 / (q - t * t / n) END AS e FROM s WHERE k < n),
             b AS (SELECT agent, max(e) AS e, arg_max(k, e) AS k, any_value(n) AS n FROM e GROUP BY 1),
             c AS (SELECT agent, CASE WHEN n >= 3 AND round(e, 12) > round((SELECT max(j * (b.n - j) / b.n * (b.n / 2) ** 2 / (b.n * (b.n * b.n - 1) / 12)) FROM (SELECT unnest(range(1, 60)) AS j) WHERE j < b.n), 12) THEN k ELSE n END AS k FROM b)
             SELECT o.agent, min(x) AS lead, count(*) AS n FROM o LEFT JOIN c USING (agent) WHERE o.k <= coalesce(c.k, o.n) GROUP BY 1""",

@@ -122,7 +122,7 @@ def oracle_sql():
     cut = f"""{_BM25_SQL},
         r AS (SELECT query_id, id, score AS x, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k, count(*) OVER (PARTITION BY query_id) AS n FROM top),
         s AS (SELECT *, sum(x) OVER (PARTITION BY query_id ORDER BY k) AS s, sum(x) OVER (PARTITION BY query_id) AS t, sum(x * x) OVER (PARTITION BY query_id) AS q FROM r),
-        e AS (SELECT query_id, k, n, CASE WHEN q - t * t / n > 0 THEN k * (n - k) / n * (s / k - (t - s) / (n - k)) ** 2 / (q - t * t / n) END AS eta2 FROM s WHERE k < n),
+        e AS (SELECT query_id, k, n, CASE WHEN q - t * t / n > 1e-12 * q THEN k * (n - k) / n * (s / k - (t - s) / (n - k)) ** 2 / (q - t * t / n) END AS eta2 FROM s WHERE k < n),
         b AS (SELECT query_id, max(eta2) AS eta2, arg_max(k, eta2) AS k FROM e GROUP BY 1),
         z AS (SELECT n, max(k * (n - k) / n * (n / 2) ** 2 / (n * (n * n - 1) / 12)) AS ne FROM (SELECT n, unnest(range(1, n)) AS k FROM (SELECT DISTINCT n FROM r WHERE n >= 3)) GROUP BY 1),
         o AS (SELECT DISTINCT r.query_id, r.n, b.eta2, z.ne, CASE WHEN r.n >= 3 AND b.eta2 IS NOT NULL THEN round(b.eta2, 12) > round(z.ne, 12) END AS separated, b.k AS bk FROM r LEFT JOIN b USING (query_id) LEFT JOIN z ON z.n = r.n)"""
@@ -136,7 +136,7 @@ def oracle_sql():
         "w2_signal_end": f"{cut} SELECT query_id, n::INT AS n, (CASE WHEN separated THEN bk ELSE n END)::INT AS k, round(eta2, 6) AS eta2, round(ne, 6) AS null_eta2, separated FROM o",
         "w4_leading_hits": f"{cut} SELECT r.query_id, id, (r.k - 1)::INT AS rank FROM r JOIN o USING (query_id) WHERE r.k <= CASE WHEN separated THEN bk ELSE o.n END",
         "k10_cells": f"WITH {vec} SELECT id, cell FROM c",
-        "t2k_cosine_top": f"""WITH {vec}, p AS (SELECT q.id AS query_id, h.id, round(list_cosine_similarity(q.vec, h.vec), 6) AS score FROM c q JOIN c h ON h.cell = q.cell WHERE q.id % 20 = 0)
+        "t2k_cosine_top": f"""WITH {vec}, p AS (SELECT q.id AS query_id, h.id, round(list_cosine_similarity(q.vec, h.vec), 6) AS score FROM v q, v h WHERE q.id % 20 = 0)
             SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM p) WHERE rank < 5""",
         "w8_belonging": f"WITH {frame} SELECT frame, id, round(agreement, 6) AS agreement, z FROM z",
         "w9_revisions": f"""WITH {frame}, r AS (SELECT frame || '/' || (id % 3) AS root, id, z, max(z) OVER (PARTITION BY frame || '/' || (id % 3)) AS best FROM z)
@@ -145,11 +145,14 @@ def oracle_sql():
             SELECT event_type, lag, round(max(greatest(0, least(1, c))) OVER (PARTITION BY event_type ORDER BY lag ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS hull, greatest(0, least(1, c)) <> c AS clipped FROM e""",
         "f6_hash_embedding": "SELECT doc_id, 64 AS dim, CASE WHEN trim(text) = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS norm2 FROM documents",
         "a18_pooled_gram": """SELECT label, i - 1 AS i, j - 1 AS j, count(*) AS n, round(sum(embedding[i]::DOUBLE * embedding[j]::DOUBLE), 4) + 0.0 AS xx
-            FROM embeddings, (SELECT unnest(range(1, 9)) AS i), (SELECT unnest(range(1, 9)) AS j) WHERE i <= j GROUP BY 1, 2, 3""",
+            FROM embeddings, (SELECT unnest(range(1, 65)) AS i), (SELECT unnest(range(1, 65)) AS j) WHERE i <= j GROUP BY 1, 2, 3""",
+        "f18_route_by_coupling": """WITH e AS (SELECT label, b, sum(embedding[i]::DOUBLE ** 2) AS e FROM embeddings, (VALUES ('first', 1), ('first', 2), ('second', 3), ('second', 4), ('third', 5), ('third', 6)) v(b, i) GROUP BY 1, 2),
+            t AS (SELECT label, sum(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS t FROM embeddings GROUP BY 1), o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY e DESC, b) AS k FROM e)
+            SELECT label, (k - 1)::INT AS step, b AS basis, round(e, 6) AS absorbed, round(t - sum(e) OVER (PARTITION BY label ORDER BY k), 6) AS residual FROM o JOIN t USING (label)""",
         "o6_concentration": """WITH v AS (SELECT label, embedding::DOUBLE[] AS x, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
             m AS (SELECT label, i, avg(x[i] / n) AS m FROM v, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2) SELECT label, round(sqrt(sum(m * m)), 6) AS resultant FROM m GROUP BY 1""",
         "o8_jackknife": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS value, round(stddev_samp(value) / sqrt(count(*)), 6) AS se FROM events GROUP BY 1",
-        "o9_spectral_distance": "SELECT a.vec_id AS id, round(list_distance(a.embedding[1:10]::DOUBLE[], b.embedding[1:10]::DOUBLE[]), 6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
+        "o9_spectral_distance": "SELECT a.vec_id AS id, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
         "o14_mad_whitened": """WITH m AS (SELECT event_type, median(value) AS med FROM events GROUP BY 1), d AS (SELECT event_id, event_type, value - med AS d FROM events JOIN m USING (event_type)),
             q AS (SELECT event_type, median(abs(d)) AS mad FROM d GROUP BY 1) SELECT event_id, round(CASE WHEN mad > 0 THEN d / mad END, 6) AS white FROM d JOIN q USING (event_type)""",
     }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.model import TRACES_SQL, table, traces
+from tessera.operators import control
 from tessera.streaming import screens as S
 
 
@@ -56,13 +57,13 @@ def r9_delivered(spark, sf):
 
 def f25_addresses(spark, sf):
     c = table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", F.sha2(F.concat_ws("|", "conv_id", "turn", "role", "text").cast("binary"), 256).alias("address"))
+    return c.select("conv_id", "turn", S.content_address("conv_id", "role", "text", "turn").alias("address"))
 
 
 def r10_once_each(spark, sf):
     """Conversations by the address of their text: replays dropped."""
-    c = table(spark, sf, "conversations").select(F.sha2(F.col("text").cast("binary"), 256).alias("address"))
-    return c.distinct()
+    c = table(spark, sf, "conversations").select("text", S.content_address("text").alias("address"))
+    return S.once(c, "address").select("address")
 
 
 def r13_silent(spark, sf):
@@ -73,6 +74,13 @@ def r13_silent(spark, sf):
     return last.crossJoin(F.broadcast(end)).select("user_id", "last", ((F.col("end") - F.col("last")) > F.expr("INTERVAL 4 DAYS")).alias("silent"))
 
 
+def r13_liveness(spark, sf):
+    """Users silent for over four of their intervals, an interval counting twenty seconds at most."""
+    e = table(spark, sf, "events")
+    end = e.agg(F.max("ts").alias("end"))
+    return e.groupBy("user_id").agg(F.max("ts").alias("last")).crossJoin(F.broadcast(end)).select("user_id", control.silent(F.col("last"), F.col("end"), 300).alias("silent"))
+
+
 def x_daily_windows(spark, sf):
     """Extension: tumbling days per event type."""
     e = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
@@ -87,7 +95,7 @@ def x_sessions(spark, sf):
     return s.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-_QUERIES = (t5k_evicted, r2_amplitudes, r3_screens, n18_tenses, r1_turn_shares, r9_delivered, f25_addresses, r10_once_each, r13_silent, x_daily_windows, x_sessions)
+_QUERIES = (t5k_evicted, r2_amplitudes, r3_screens, n18_tenses, r1_turn_shares, r9_delivered, f25_addresses, r10_once_each, r13_silent, r13_liveness, x_daily_windows, x_sessions)
 
 
 def queries():
@@ -107,9 +115,10 @@ def oracle_sql():
         "r9_delivered": """
             SELECT id, verdict, CASE WHEN verdict = 'delivered' THEN CASE WHEN n > 200 THEN 'EVENT' ELSE 'MESSAGE' END END AS regime, CASE WHEN role = 'system' THEN 'SYSTEM' ELSE 'CLIENT' END AS channel
             FROM (SELECT conv_id || '-' || turn AS id, role, length(text) AS n, CASE WHEN turn % 7 = 6 THEN 'unverified' ELSE 'delivered' END AS verdict FROM conversations WHERE turn % 5 <> 1 AND (turn % 3 = 0 OR conv_id % 5 = 1))""",
-        "f25_addresses": "SELECT conv_id, turn, sha256(conv_id || '|' || turn || '|' || role || '|' || text) AS address FROM conversations",
-        "r10_once_each": "SELECT DISTINCT sha256(text) AS address FROM conversations",
+        "f25_addresses": """SELECT conv_id, turn, sha256('{"conv_id":' || conv_id || ',"role":' || to_json(role) || ',"text":' || to_json(text) || ',"turn":' || turn || '}') AS address FROM conversations""",
+        "r10_once_each": """SELECT DISTINCT sha256('{"text":' || to_json(text) || '}') AS address FROM conversations""",
         "r13_silent": "SELECT user_id, max(ts) AS last, (SELECT max(ts) FROM events) - max(ts) > INTERVAL 4 DAYS AS silent FROM events GROUP BY 1",
+        "r13_liveness": "SELECT user_id, epoch((SELECT max(ts) FROM events)) - epoch(max(ts)) > 80 AS silent FROM events GROUP BY 1",
         "x_daily_windows": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
         "x_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
             s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""",

@@ -6,8 +6,11 @@ All are column expressions over Spark's own xml, text and parquet readers.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+
 #: Values of an interlingual id that stand for "none", and sense relations that are lifted to their synsets: fixed values of the formats.
 NO_ILI = ("", "in", "None")
 SENSE_RELATIONS = ("antonym", "derivation", "pertainym")
@@ -24,7 +27,7 @@ def lmf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     synsets = spark.read.format("xml").option("rowTag", "Synset").schema(_SYNSET).load(path)
     senses = entries.select(F.col("Lemma._writtenForm").alias("lemma"), F.posexplode("Sense").alias("rank", "s"))
     words = senses.groupBy(F.col("s._synset").alias("id")).agg(F.array_sort(F.collect_set(F.struct("lemma", "rank"))).alias("lemmas"))
-    ili = F.when(F.coalesce("_ili", F.lit("")).isin(*NO_ILI), None).otherwise(F.col("_ili"))
+    ili = ili_or_none(F.col("_ili"))
     rows = synsets.select(
         F.col("_id").alias("id"), ili.alias("ili"), F.col("_partOfSpeech").alias("pos"), F.element_at("Definition", 1).alias("gloss"), F.col("Example").alias("examples")
     ).join(words, "id", "left")
@@ -53,17 +56,70 @@ def term(uri: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(uri, r"^/c/en/([^/]+)", 1), "_", " ")
 
 
+def label(uri: Column) -> Column:
+    """The relation of /r/... in lower case, its words and parts joined by underscores."""
+    said = F.regexp_extract(uri, r"^/r/(.+)$", 1)
+    return F.lower(F.regexp_replace(F.regexp_replace(said, "([a-z0-9])([A-Z])", "$1_$2"), "/", "_"))
+
+
+def ili_or_none(ili: Column) -> Column:
+    """An interlingual id, null for what stands for none."""
+    return F.when(~F.coalesce(ili, F.lit("")).isin(*NO_ILI), ili)
+
+
 def assertions(lines: DataFrame, value: str = "value") -> DataFrame:
     """(src, dst, label, weight) of tab-separated assertion lines: both ends English, no self-loops, five fields; the weight defaults to 1."""
     f = F.split(value, "\t")
-    rel = F.regexp_extract(f[1], r"^/r/(.+)$", 1)
-    label = F.lower(F.regexp_replace(F.regexp_replace(rel, "([a-z0-9])([A-Z])", "$1_$2"), "/", "_"))
     parsed = lines.filter(F.size(f) == 5).select(
-        term(f[2]).alias("src"), term(f[3]).alias("dst"), label.alias("label"), F.get_json_object(f[4], "$.weight").cast("double").alias("w"), F.try_parse_json(f[4]).isNotNull().alias("ok")
+        term(f[2]).alias("src"), term(f[3]).alias("dst"), label(f[1]).alias("label"), F.get_json_object(f[4], "$.weight").cast("double").alias("w"), F.try_parse_json(f[4]).isNotNull().alias("ok")
     )
     return parsed.filter("ok AND src <> '' AND dst <> '' AND label <> '' AND src <> dst").select("src", "dst", "label", F.coalesce("w", F.lit(1.0)).alias("weight"))
 
 
+def senses(entries: DataFrame, counts: DataFrame) -> DataFrame:
+    """(synset, lemma, nth, sense_rank, count) of entries (synset, lemmas in order): every lemma once, its sense rank the place of the synset among those with that lemma; counts (synset, count) where measured."""
+    each = entries.select("synset", F.posexplode(F.array_distinct("lemmas")).alias("nth", "lemma"))
+    rank = F.row_number().over(W.partitionBy("lemma").orderBy("synset")) - 1
+    return each.withColumn("sense_rank", rank).join(counts, "synset", "left").select("synset", "lemma", "nth", "sense_rank", "count")
+
+
+def articles(pages: DataFrame) -> DataFrame:
+    """(title, lead, text) of encyclopedia pages (title, text), cleaned; pages about pages and redirects are left out."""
+    some = pages.filter(~F.col("title").contains(":") & ~F.upper(F.ltrim("text")).startswith("#REDIRECT"))
+    cleaned = some.select("title", T.clean_wikitext(F.col("text")).alias("text"))
+    return cleaned.select("title", T.lead(F.col("text")).alias("lead"), "text")
+
+
+def dump(spark: SparkSession, path: str) -> DataFrame:
+    """(title, text) of the pages of an XML dump, compressed or not."""
+    schema = "title string, revision struct<text:struct<_VALUE:string>>"
+    pages = spark.read.format("xml").option("rowTag", "page").schema(schema).load(path)
+    return pages.select("title", F.col("revision.text._VALUE").alias("text"))
+
+
+def projects(index: DataFrame) -> DataFrame:
+    """(project, licence, label, language) of rows (json): an object of projects, each with these fields."""
+    each = F.explode(F.from_json("json", "map<string,struct<license:string,label:string,language:string>>"))
+    return index.select(each.alias("project", "p")).select("project", F.col("p.license").alias("licence"), "p.label", "p.language")
+
+
+def node_stats(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, int]:
+    """(the snapshots of all nodes in a folder of JSON files, how many could not be read)."""
+    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", "true").json(path).cache()
+    bad = rows.filter("_corrupt_record IS NOT NULL").count()
+    return rows.filter("_corrupt_record IS NULL").drop("_corrupt_record"), bad
+
+
+def folder_poll(spark: SparkSession, path: str, seen: DataFrame, suffixes: tuple[str, ...] = ("md", "txt", "py"), skip: tuple[str, ...] = (".git", "node_modules", "__pycache__")) -> DataFrame:
+    """(id, path, mtime, content) of the files that are new or changed since seen (path, mtime); a file that could not be taken down is not in seen and comes again."""
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(path)
+        .select("path", F.col("modificationTime").alias("mtime"), "content")
+    )
+    shown = files.filter(~F.exists(F.split("path", "/"), lambda p: p.isin(*skip)))
+    return shown.join(seen, ["path", "mtime"], "left_anti").select(F.concat(F.lit("file-"), F.substring(F.sha2(F.col("path").cast("binary"), 256), 1, 20)).alias("id"), "path", "mtime", F.col("content").cast("string").alias("content"))
+
+
 def licensed(index: DataFrame, allowed: list[str]) -> DataFrame:
     """Projects whose stated licence contains an allowed one."""
     ok = F.exists(F.array(*[F.lit(a.lower()) for a in allowed]), lambda a: F.contains(F.lower("license"), a))

@@ -65,9 +65,6 @@ class _Screen(StatefulProcessor):
             tick += 1
             held.append((concept, tick, float(energy)))
         self.ticks.update((tick,))
-        counts: dict[str, int] = {}
-        for c, _, _ in held:
-            counts[c] = counts.get(c, 0) + 1
         held = [t for t in held if tick - t[1] < len(self.curve)]
         self.traces.put(held) if held else self.traces.clear()
         present: dict[str, float] = {}
@@ -99,9 +96,15 @@ def deliver(signals: DataFrame, me: str, verified: Column, authorised: Column) -
     return mine.select("id", verdict.alias("verdict"), F.when(verdict == "delivered", regime).alias("regime"), channel.alias("channel"))
 
 
-def content_address(*fields: Column) -> Column:
-    """SHA-256 over the fields as canonical JSON, in the order of their names."""
-    return F.sha2(F.to_json(F.struct(*fields)).cast("binary"), 256)
+def content_address(*fields: str) -> Column:
+    """SHA-256 over the fields as canonical JSON: in the order of their names, nulls kept, no blanks."""
+    said = F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"})
+    return F.sha2(said.cast("binary"), 256)
+
+
+def once(rows: DataFrame, key: str) -> DataFrame:
+    """The batch form of once_each: one row of every address."""
+    return rows.dropDuplicates([key])
 
 
 def once_each(stream: DataFrame, key: str, ts: str, delay: str = "1 day") -> DataFrame:

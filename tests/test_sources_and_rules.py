@@ -94,6 +94,9 @@ def test_write_rules(spark):
     new = spark.createDataFrame([("a", "1", "n"), ("b", "2", "n"), ("c", "3", "n")], "id string, v string, _note string")
     old = spark.createDataFrame([("a", "1", "o"), ("b", "9", "o")], "id string, v string, _note string")
     assert {r.id for r in writers.changed(old, new, "id").collect()} == {"b", "c"}
+    moved = "id string, x string, y string"
+    assert writers.changed(spark.createDataFrame([("a", "1", None)], moved), spark.createDataFrame([("a", None, "1")], moved), "id").count() == 1
+    assert writers.changed(spark.createDataFrame([("a", "1", None)], moved), spark.createDataFrame([("a", "1", None)], moved), "id").count() == 0
     assert {(r.id, r.v) for r in writers.upserted(old, new.filter("id = 'b'"), "id").collect()} == {("a", "1"), ("b", "2")}
     assert {r.state for r in writers.minted(new).collect()} == {"live"}
     rows, bodies = writers.sealed(new.select("id", F.lit("same").alias("content")))
@@ -142,8 +145,12 @@ def test_shards_are_landed_once(spark, tmp_path):
         spark.createDataFrame([(n, "title", "long text"), (n + 10, "t", "no")], "i long, t string, x string").coalesce(1).write.parquet(str(tmp_path / f"in/s{n}"))
     args = (spark, str(tmp_path / "in/*/*.parquet"), source, str(tmp_path / "out"), str(tmp_path / "marks"))
     assert ingest.ingest_shards(*args) == 2 and ingest.ingest_shards(*args) == 0
+    marks = tmp_path / "marks"
+    for f in [*marks.iterdir()]:
+        f.unlink()
+    assert ingest.ingest_shards(*args) == 2  # as after a run that died before its marks
     rows = spark.read.parquet(str(tmp_path / "out/artifacts")).collect()
-    assert {r.id for r in rows} == {"wiki-1", "wiki-2"} and len({r.content_ref for r in rows}) == 1
+    assert len(rows) == 2 and {r.id for r in rows} == {"wiki-1", "wiki-2"} and len({r.content_ref for r in rows}) == 1
 
 
 def test_streams_land_by_address(spark, tmp_path):
@@ -154,3 +161,6 @@ def test_streams_land_by_address(spark, tmp_path):
         (tmp_path / "in" / f"{n}.txt").write_text(t)
     ingest.land_stream(parsers.folder_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/artifacts")).count() == 3 and spark.read.parquet(str(tmp_path / "out/bodies")).count() == 2
+    (tmp_path / "in" / "9.txt").write_text("same")
+    ingest.land_stream(parsers.folder_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out/artifacts")).count() == 4 and spark.read.parquet(str(tmp_path / "out/bodies")).count() == 2  # a body seen before is not stored again

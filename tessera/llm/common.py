@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.steps import Steps, delete, exists, folder, fresh_path, shared_folder, written  # noqa: F401
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; only Spark's readers touch the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Lets Spark delete the shuffle files of a query when it ends; of a step that is written nothing is read from them any more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
 
@@ -60,8 +62,13 @@ class Steps:
         self.made: list[tuple[str, DataFrame]] = []
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
-        path = fresh_path(self.spark, name)
-        df.write.parquet(path)
+        path, conf = fresh_path(self.spark, name), self.spark.conf
+        before = conf.get(CLEANUP, None)
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.made.append((path, out))
         return out

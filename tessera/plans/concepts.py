@@ -108,12 +108,14 @@ def o20_noise(spark, sf):
 
 
 def _mixed(spark, sf):
-    """Two frames of vectors of all labels."""
-    return table(spark, sf, "embeddings").select((F.col("vec_id") % 2).alias("frame"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vec"))
+    """Order lines of every tenth of the suppliers as frames, in order: quantity, price, discount, tax and what is paid."""
+    x = table(spark, sf, "lineitem")
+    vec = F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return x.select((F.col("l_suppkey") % 10).alias("frame"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), vec.alias("vec"))
 
 
 def o_records(spark, sf):
-    """All readings of both mixed frames."""
+    """All readings of the order lines' frames."""
     r = R.frame_records(_mixed(spark, sf), "frame", "ord", "vec")
     return r.select("frame", *[F.round(c, 6).alias(c) if t == "double" else c for c, t in r.dtypes if c != "frame"])
 

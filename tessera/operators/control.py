@@ -262,3 +262,27 @@ def processes_run(routes: DataFrame, answers: DataFrame, start: str, most: int =
     out = now.select("case", F.array_join("path", ">").alias("path"), F.coalesce("ended", F.lit("limit")).alias("ended"))
     steps.over(now)
     return out
+
+
+# --- counts that are not taken anew at every look
+
+
+def served_counts(names: DataFrame, readings: DataFrame, now: Column, ttl: float, keep_stale: bool) -> DataFrame:
+    """(name, n, age, fresh): the last reading of every name, without counting anything. names (name); readings (name, n, at).
+
+    Fresh if it is no older than ttl seconds. An older one is still served with
+    keep_stale and else is null, as is a name that was never counted (its age and
+    freshness too): not measured is not 0. Of readings at one time the greatest
+    count serves; readings of no time or after now are none.
+    """
+    age = now.cast("double") - F.col("at").cast("double")
+    last = readings.select("name", "n", age.alias("age")).filter("age >= 0").groupBy("name").agg(F.max(F.struct((-F.col("age")).alias("since"), "n")).alias("m"))
+    held = last.select(F.col("name").alias("of"), -F.col("m.since") + F.lit(0.0), F.col("m.n").alias("held")).toDF("of", "age", "held")
+    fresh = F.col("age") <= ttl
+    n = F.col("held") if keep_stale else F.when(fresh, F.col("held"))
+    return names.select("name").distinct().join(held, F.col("name") == F.col("of"), "left").select("name", n.alias("n"), "age", fresh.alias("fresh"))
+
+
+def due_counts(served: DataFrame) -> DataFrame:
+    """(name): what a pass that may scan should count again."""
+    return served.filter(~F.coalesce("fresh", F.lit(False))).select("name")

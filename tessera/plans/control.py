@@ -175,10 +175,21 @@ def c11_changed_definitions(spark, sf):
     return writers.changed(old, new, "p_partkey").select("p_partkey", "p_brand", "p_size")
 
 
+def c10_served_counts(spark, sf):
+    """Hourly counts of every user's events as readings, asked for at the hour of the last event: those of the last day are fresh."""
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("name"), F.date_trunc("hour", "ts").alias("at"))
+    readings = e.groupBy("name", "at").agg(F.count(F.lit(1)).alias("n"))
+    now = e.agg(F.max("at").alias("now")).first()["now"]
+    names = e.select("name").unionByName(spark.createDataFrame([("never",)], "name string"))
+    asked = lambda keep: C.served_counts(names, readings, F.lit(now), 86400, keep)
+    both = asked(True).join(asked(False).select(F.col("name").alias("of"), F.col("n").alias("fresh_n")), F.col("name") == F.col("of"))
+    return both.select("name", "n", "fresh_n", F.col("age").cast("long").alias("age"), "fresh")
+
+
 _QUERIES = (
     j12_claims, c14_transitions, c15_outcomes, r12_fleet, r14_curriculum, x4_stages, r15_scheduled, c25_due, r16_population, c16_inherited, r17_drained_fully, c8_gates,
     c9_health, u5_new_rows, c2_verified, c1_standing, c3_routed, c17_offered, k16_remote_operators, c22_console, c22_safe_paths, x10_intents, c23_last_lines, c20_processes,
-    c11_changed_definitions,
+    c11_changed_definitions, c10_served_counts,
 )
 
 
@@ -227,5 +238,8 @@ def oracle_sql():
         "x10_intents": "SELECT doc_id, ['op.reindex', 'op.status', NULL, 'op.ingest', NULL][doc_id % 5 + 1] AS operator FROM documents",
         "c23_last_lines": "SELECT user_id, arg_max(props, event_id) AS line FROM events WHERE event_type = 'error' GROUP BY 1",
         "c20_processes": """SELECT c_custkey AS "case", CASE WHEN c_custkey % 3 <> 1 THEN 'a>c>d' WHEN c_custkey % 2 = 0 THEN 'a>b' ELSE 'a>b>d' END AS path, CASE WHEN c_custkey % 3 = 1 AND c_custkey % 2 = 0 THEN 'cycle' ELSE 'end' END AS ended FROM customer""",
+        "c10_served_counts": """WITH r AS (SELECT user_id::VARCHAR AS name, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1, 2), m AS (SELECT max(h) AS now FROM r),
+            l AS (SELECT name, arg_max(n, h) AS n, date_diff('second', max(h), any_value(now)) AS age FROM r, m GROUP BY 1)
+            SELECT name, n, CASE WHEN age <= 86400 THEN n END AS fresh_n, age, age <= 86400 AS fresh FROM l UNION ALL SELECT 'never', NULL, NULL, NULL, NULL""",
         "c11_changed_definitions": """SELECT p_partkey, CASE WHEN p_partkey % 10 <> 0 THEN p_brand END AS p_brand, CASE WHEN p_partkey % 9 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part WHERE p_partkey % 10 = 0 OR p_partkey % 9 = 0""",
     }

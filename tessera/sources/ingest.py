@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import corpus_terms, kind_of_path
 from tessera.operators.writers import left_to_do, minted, sealed
-from tessera.steps import exists
+from tessera.steps import exists, folder
 
 
 @dataclass(frozen=True)
@@ -118,3 +118,12 @@ def land_stream(observations: DataFrame, out: str, checkpoint: str):
         bodies.write.mode("overwrite").parquet(f"{out}/bodies/epoch={epoch}")
 
     return observations.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def folder_bytes(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(bytes, files) under a folder of any store, from its file listing alone; (0, 0) if there is none."""
+    fs, at = folder(spark, path)
+    if not fs.exists(at):
+        return 0, 0
+    found = fs.getContentSummary(at)
+    return found.getLength(), found.getFileCount()

@@ -2,8 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import consolidate, invoke, resolve, writers
-from tessera.sources import parsers
+from tessera.operators import consolidate, control, invoke, resolve, writers
+from tessera.sources import ingest, parsers
 from tessera.streaming import screens
 
 LMF = """<LexicalResource><Lexicon id="x">
@@ -164,3 +164,22 @@ def test_streams_land_by_address(spark, tmp_path):
     (tmp_path / "in" / "9.txt").write_text("same")
     ingest.land_stream(parsers.folder_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/artifacts")).count() == 4 and spark.read.parquet(str(tmp_path / "out/bodies")).count() == 2  # a body seen before is not stored again
+
+
+def test_folder_bytes(spark, tmp_path):
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    assert ingest.folder_bytes(spark, str(tmp_path / "in")) == (0, 0) == ingest.folder_bytes(spark, str(tmp_path / "none"))
+    (tmp_path / "in" / "a").write_bytes(b"123")
+    (tmp_path / "in" / "sub" / "b").write_bytes(b"4567")
+    assert ingest.folder_bytes(spark, str(tmp_path / "in")) == (7, 2)
+
+
+def test_served_counts(spark):
+    names = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), ("d",)], "name string")
+    readings = spark.createDataFrame([("a", 5, 90.0), ("a", 7, 95.0), ("a", 6, 95.0), ("a", 1, 101.0), ("b", 3, 10.0), ("d", 4, None)], "name string, n long, at double")
+    got = lambda keep: {r.name: (r.n, r.age, r.fresh) for r in control.served_counts(names, readings, F.lit(100.0), 10, keep).collect()}
+    assert got(True) == {"a": (7, 5.0, True), "b": (3, 90.0, False), "c": (None, None, None), "d": (None, None, None)}
+    assert got(False)["b"] == (None, 90.0, False)
+    served = control.served_counts(names, readings, F.lit(100.0), 10, True)
+    assert {r.name for r in control.due_counts(served).collect()} == {"b", "c", "d"}
+    assert control.served_counts(names.limit(0), readings, F.lit(100.0), 10, True).count() == 0

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, divergence, exact_dedup, html_extract, minhash, quality, secrets, sharding, url_filter
+from . import bpe, chat, decontam, divergence, exact_dedup, html_extract, minhash, quality, secrets, sharding, simhash, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -70,7 +74,8 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     every = (
         op1_exact_dedup, op2_html_extract, op3_bpe, op4_url_filter, op5_decontamination,
-        op6_minhash, op7_quality, op8_secrets, op9_sharding, op10_chat_format, op13_divergence,
+        op6_minhash, op7_quality, op8_secrets, op9_sharding, op10_chat_format,
+        op11_simhash, op13_divergence,
     )
     return {f.__name__: f for f in every}
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, divergence, exact_dedup, html_extract, minhash, quality, secrets, sharding, simhash, url_filter
+from . import bpe, chat, decontam, divergence, exact_dedup, features, html_extract, minhash, quality, secrets, sharding, simhash, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,10 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op12_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.features(*[table(spark, sf_dir, t) for t in ("clicks", "sales", "sale_lines")])
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -75,7 +79,7 @@ def queries() -> dict[str, Query]:
     every = (
         op1_exact_dedup, op2_html_extract, op3_bpe, op4_url_filter, op5_decontamination,
         op6_minhash, op7_quality, op8_secrets, op9_sharding, op10_chat_format,
-        op11_simhash, op13_divergence,
+        op11_simhash, op12_features, op13_divergence,
     )
     return {f.__name__: f for f in every}
 
@@ -135,6 +139,7 @@ def oracle_sql() -> dict[str, str]:
                    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
             FROM docs LEFT JOIN covered USING (r) LEFT JOIN found USING (r)""",
         "op8_secrets": _secret_sql(),
+        "op12_features": features.SQL,
         "op13_divergence": divergence.SQL,
         "op1_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -38,16 +38,19 @@ LEAST_DOCUMENTS, ADDED, PARTS, TOP = 30, 5, 1_000_000_000, 50
 
 
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), F.lit(TERM), F.lit(0))
+    """The matches of TERM in order: what stands between the runs of all other characters."""
+    lowered = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    return F.array_remove(F.split(lowered, TERM.replace("[^", "[")), "")
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), n_docs (documents) of docs (lang, source, text)."""
     found = docs.select("lang", "source", terms(F.col("text")).alias("terms"))
-    tell = lambda n, d: lambda t: F.struct(t.alias("term"), F.lit(n).alias("n"), F.lit(d).alias("d"))
-    both = F.concat(F.transform("terms", tell(1, 0)), F.transform(F.array_distinct("terms"), tell(0, 1)))
-    each = found.select("lang", "source", F.explode(both).alias("t"))
-    return each.groupBy("lang", "source", F.col("t.term").alias("term")).agg(F.sum("t.n").alias("n"), F.sum("t.d").alias("n_docs"))
+    # Every term of a text, and after them each different one again: one pass tells occurrences and documents.
+    both = found.select("lang", "source", F.size("terms").alias("k"), F.concat("terms", F.array_distinct("terms")).alias("both"))
+    each = both.select("lang", "source", "k", F.posexplode_outer("both").alias("place", "term")).filter("term IS NOT NULL")
+    occurs = F.col("place") < F.col("k")
+    return each.groupBy("lang", "source", "term").agg(F.count(F.when(occurs, 1)).alias("n"), F.count(F.when(~occurs, 1)).alias("n_docs"))
 
 
 def share(n: str, total: str, kept: str) -> Column:

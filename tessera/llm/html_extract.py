@@ -3,21 +3,26 @@
 A page is cut into blocks: the text between two block-level tags. Blocks and
 marked elements (those whose tag, role, class or id says something) are the
 nodes of a graph. A classifier gives every node a cost of being called content
-and one of being called boilerplate: of a block by its text alone (length, share
-of link text, how it ends), of a marked element by what its mark says. Those
-costs are the capacities to the two terminals. Smoothness edges tie every block
-to the nearest marked element around it and every marked element to the next one
-above, and join blocks that follow each other (the weaker, the further apart they
-stand in the tree) and consecutive blocks of one parent; between blocks of
-different marks they are weaker. No block's own cost outweighs its edges, so a
-minimum cut, found by maximum flow, labels all blocks at once.
-
-Marks are strong or soft. A strong one (nav, aside, footer, form, ad, comments;
-article) costs more than the text below it could, so it can be overruled only
-from above: whatever stands in a strongly marked sidebar belongs to it. A soft
-one (a class such as legal, tags or content) is outvoted by enough text. Where a
-page has an article, what stands outside it is marked as boilerplate; where it
-has none, ``main`` takes its place, and without either the text decides.
+and one of being called boilerplate: a block's are the characters of its text
+outside and inside links, of a marked element what its mark says. Those costs are
+the capacities to the two terminals. Smoothness edges tie every block to the
+nearest marked element around it and every marked element to the next one above,
+and join blocks that follow each other (the weaker, the further apart they stand
+in the tree) and consecutive blocks of one parent; between blocks of different
+marks they are weaker. A minimum cut, found by maximum flow, labels all blocks at
+once: a long text decides for itself and for what stands between its paragraphs,
+a short line goes with its neighbours.
+
+A class or id marks by a whole name: all its words say boilerplate or are words of
+layout, and one says boilerplate ("share-bar", not "share-price"). Marks are strong
+or soft. A strong one (nav, aside, footer, ad, comments; article) is tied to its
+text by more than the text could pull; a soft one is outvoted by enough text. Names
+that articles use too ("discussion", "related") are strong beside the article, and
+inside it only if their element has mostly links, short lines or form controls;
+forms are strong if there are controls for what text they hold. Where a page has
+an article that holds its text, what stands outside it is marked as boilerplate;
+where it has none, ``main`` takes its place, and without either the text decides.
+Should nothing be left of a page, the names that need evidence count as soft.
 
 Map-only; whole pages, one at a time.
 
@@ -66,17 +71,25 @@ ENDS = {
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: What tags, roles and the words of class and id say of the text below.
-BOILER_TAGS = frozenset("nav aside footer menu dialog search button select fieldset".split())
+BOILER_TAGS = frozenset("nav aside footer menu dialog search button select".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-ADVERT_WORDS = frozenset("ad ads adv advert adverts advertisement adsense sponsor sponsored sponsors promo promotion outbrain taboola".split())
-COMMENT_WORDS = frozenset("comment comments commentlist disqus discussion replies respond reactions feedback".split())
-STRONG_WORDS = ADVERT_WORDS | COMMENT_WORDS | frozenset(
-    "banner nav navbar navigation menu breadcrumb breadcrumbs crumbs footer masthead sidebar aside cookie cookies consent gdpr notice notices"
-    " popup modal overlay newsletter subscribe signup login signin share sharing social related recommended recommendations trending"
-    " pagination pager skip".split()
+CONTROLS = frozenset("input select textarea button label option".split())
+ADVERT_WORDS = frozenset("ad ads adv advert adverts advertisement adsense sponsored outbrain taboola".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus".split())
+#: These say boilerplate anywhere; the next ones inside an article only with evidence.
+SURE_WORDS = ADVERT_WORDS | COMMENT_WORDS | frozenset("nav navbar navigation breadcrumb breadcrumbs sidebar cookie cookies consent gdpr popup modal newsletter pagination pager".split())
+MAYBE_WORDS = frozenset(
+    "sponsor sponsors promo promotion discussion replies respond reactions feedback banner menu crumbs footer masthead aside notice notices overlay"
+    " subscribe signup login signin share sharing social related recommended recommendations trending skip".split()
 )
 SOFT_WORDS = frozenset("header side rail widget alert toolbar tags copyright disclaimer legal form search".split())
 CONTENT_WORDS = frozenset("article articlebody content main maincontent post entry story prose".split())
+#: Words of layout that may stand beside them in one name.
+LAYOUT_WORDS = CONTENT_WORDS | frozenset(
+    "site page blog top bottom left right global primary secondary body section container wrapper wrap inner outer box bar block panel list item items link"
+    " links buttons icons group area region zone slot unit holder row col column grid module inline floating sticky fixed mobile desktop posts articles stories"
+    " entries more field text area js wp amp".split()
+)
 #: Before a word of a class these say that it is something about the element, not what it is.
 ABOUT = frozenset("has no with without is not".split())
 
@@ -87,28 +100,36 @@ _TOKEN = re.compile(
 #: One attribute after the other, values included, so that no name is found inside a value or a longer name.
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.S)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_WORD = re.compile(r"[^\W_]")
 _UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b).{0,200}$|.{0,200}\ball rights reserved\W*$", re.I | re.S)
 
-#: Costs, in hundredths. A block's own is between -TEXT - LINKS and TEXT + ENDED, so under TIE.
-TEXT, ENDED, LINKS, TIE, SOFT_TIE, SOFT = 90, 20, 100, 240, 60, 140
-#: A strong mark costs BASE, and PER for every block and mark tied to it: more than these can pull together.
-BASE, PER = 600, 300
+#: Costs, in characters of text. What a block adds for ending a sentence and for being a heading, what links and a statement of rights take.
+ENDED, HEADED, LINKED, RIGHTS = 20, 40, 60, 90
+#: A soft mark's cost and its tie to each of its blocks; ties between marks.
+SOFT, SOFT_TIE, TIE = 140, 60, 240
 NEXT, KIN = 80, 120
 #: Divisors of an edge between blocks under different marks, or to a line that states rights.
 STRONG_WALL, SOFT_WALL = 8, 2
+#: Text of a line that is not short; text of a form's control; text beside the articles for each of theirs, and in any case.
+LINE, PER_CONTROL, BESIDE, SLACK = 80, 200, 3, 400
 
 
 @dataclass(eq=False)
 class Mark:
-    """A marked element: over or under 0 by what its mark says; ``strong`` ones cannot be outvoted by the text below."""
+    """A marked element: over or under 0 by what its mark claims, and how (sure, maybe, form, soft, article or main)."""
 
-    says: int
-    strong: bool
+    claim: int
+    how: str
     above: "Mark | None"
-    tag: str = ""
-    sticky: bool = False  # nothing below it is marked anew
-    tied: int = 0  # blocks and marks tied to it
+    says: int = 0  # the claim, or what the page around makes of it
+    strong: bool = False
+    closed: bool = False  # what stands below is part of it, whatever it is marked
+    framed: bool = False  # within an article or main
+    text: int = 0  # characters below outside links, inside them, controls, and characters in long lines
+    linked: int = 0
+    controls: int = 0
+    lines: int = 0
     node: int = -1
 
 
@@ -120,6 +141,7 @@ class Element:
     mark: Mark
     hidden: bool = False
     last: int = -1  # its last block
+    marks: "list[Mark] | None" = None  # of the page's root: all marks, outer ones first
 
 
 @dataclass(eq=False)
@@ -140,13 +162,19 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _class_words(found: dict[str, str]) -> frozenset[str]:
-    words: list[str] = []
+def _names(found: dict[str, str]) -> list[frozenset[str]]:
+    """The words of every name in class and id."""
+    names = []
     for token in f"{found.get('class', '')} {found.get('id', '')}".split():
         parts = [w.lower() for w in _WORDS.findall(token)]
         if parts and parts[0] not in ABOUT:
-            words += parts
-    return frozenset(words)
+            names.append(frozenset(w for w in parts if len(w) > 1))
+    return names
+
+
+def _say(names: list[frozenset[str]], words: frozenset[str], beside: frozenset[str] = LAYOUT_WORDS) -> bool:
+    """Whether a whole name consists of these words and words of layout."""
+    return any(n & words and n <= words | beside for n in names)
 
 
 def _marked(tag: str, attrs: str, above: Element) -> tuple[Mark, bool]:
@@ -156,42 +184,38 @@ def _marked(tag: str, attrs: str, above: Element) -> tuple[Mark, bool]:
         return mark, above.hidden
     found = attributes(attrs) if attrs else {}
     hidden = above.hidden or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_UNSHOWN.search(found.get("style", "")))
-    if mark.sticky or tag not in BLOCK:
-        return mark, hidden
-    role, words = found.get("role", "").lower(), _class_words(found)
-    if tag in ("html", "body"):
+    if tag not in BLOCK or tag in ("html", "body"):
         return mark, hidden
+    role, names = found.get("role", "").lower(), _names(found)
     if tag == "article" or found.get("itemprop", "") == "articleBody" or role == "article":
-        if words & (ADVERT_WORDS | COMMENT_WORDS):
-            return Mark(-1, True, mark, tag, True), hidden
-        return Mark(1, True, mark, "article"), hidden
+        if _say(names, ADVERT_WORDS | COMMENT_WORDS):
+            return Mark(-1, "sure", mark), hidden
+        return Mark(1, "article", mark, framed=True), hidden
     if tag == "main" or role == "main":
-        return Mark(1, False, mark, "main"), hidden
-    if tag in BOILER_TAGS or role in BOILER_ROLES or (words & STRONG_WORDS and tag not in HEADINGS):
-        return Mark(-1, True, mark, tag, True), hidden
-    if tag == "form":  # one around the whole page says little
-        return Mark(-1, above.tag not in ("body", "html"), mark, tag), hidden
-    if tag == "header" and not _inside(mark):
-        return Mark(-1, True, mark, tag), hidden
-    if words & SOFT_WORDS and tag not in HEADINGS:
-        return Mark(-1, False, mark, tag), hidden
-    if words & CONTENT_WORDS and mark.says <= 0 and tag not in HEADINGS:
-        return Mark(1, False, mark, tag), hidden
+        return Mark(1, "main", mark, framed=True), hidden
+    if tag in BOILER_TAGS or role in BOILER_ROLES:
+        return Mark(-1, "sure", mark), hidden
+    if tag in ("form", "fieldset"):
+        return Mark(-1, "soft" if above.tag in ("body", "html") else "form", mark, framed=mark.framed), hidden
+    if tag not in HEADINGS:
+        if _say(names, SURE_WORDS, LAYOUT_WORDS | MAYBE_WORDS):
+            return Mark(-1, "sure", mark), hidden
+        if _say(names, MAYBE_WORDS, LAYOUT_WORDS | SOFT_WORDS):
+            return Mark(-1, "maybe", mark, framed=mark.framed), hidden
+    if tag == "header" and not mark.framed:
+        return Mark(-1, "sure", mark), hidden
+    if tag not in HEADINGS:
+        if _say(names, SOFT_WORDS):
+            return Mark(-1, "soft", mark, framed=mark.framed), hidden
+        if any(n & CONTENT_WORDS for n in names) and mark.claim <= 0:
+            return Mark(1, "soft", mark, framed=mark.framed), hidden
     return mark, hidden
 
 
-def _inside(mark: Mark | None) -> bool:
-    """Within an article or main."""
-    while mark is not None:
-        if mark.tag in ("article", "main"):
-            return True
-        mark = mark.above
-    return False
-
-
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in page order, with the smoothness edges between them."""
-    top = Element("", None, 0, Mark(0, False, None))
+    root = Mark(0, "", None)
+    top = Element("", None, 0, root, marks=[root])
     stack, out = [top], []
     pieces: list[str] = []
     linked = links = at = 0
@@ -235,6 +259,8 @@ def blocks_of(page: str) -> list[Block]:
         if tag == "br":
             add(" ")
             continue
+        if tag in CONTROLS and not ending:
+            stack[-1].mark.controls += 1
         if tag in RAW and not ending:
             if tag in BLOCK:
                 close()
@@ -269,22 +295,70 @@ def blocks_of(page: str) -> list[Block]:
                         break
         above = stack[-1]
         mark, hidden = _marked(tag, attrs, above)
+        if mark is not above.mark:
+            top.marks.append(mark)
         stack.append(Element(tag, above, above.depth + 1, mark, hidden))
         links += tag == "a"
     close()
     for i, b in enumerate(out):
         if i:
-            weight = NEXT // (1 + _apart(out[i - 1].element, b.element)) // _wall(out[i - 1], b)
+            weight = NEXT // (1 + _apart(out[i - 1].element, b.element))
             if weight:
                 b.edges[i - 1] = out[i - 1].edges[i] = weight
         kin = b.element.parent or b.element
         if kin.last >= 0:
             j = kin.last
-            b.edges[j] = out[j].edges[i] = b.edges.get(j, 0) + KIN // _wall(out[j], b)
+            b.edges[j] = out[j].edges[i] = b.edges.get(j, 0) + KIN
         kin.last = i
+    for b in out:
+        m, text = b.element.mark, len(b.text) - b.linked
+        m.text, m.linked, m.lines = m.text + text, m.linked + b.linked, m.lines + (text if text >= LINE else 0)
+    for m in reversed(top.marks):
+        if m.above is not None:
+            for name in ("text", "linked", "controls", "lines"):
+                setattr(m.above, name, getattr(m.above, name) + getattr(m, name))
+    _weigh(top.marks, out)
+    for i, b in enumerate(out):
+        for j in b.edges:
+            if j < i:
+                b.edges[j] = out[j].edges[i] = b.edges[j] // _wall(out[j], b)
+    for b in out:
+        b.edges = {j: w for j, w in b.edges.items() if w}
     return out
 
 
+def _weigh(marks: list[Mark], blocks: list[Block], lenient: bool = False) -> None:
+    """Which marks are strong, by what stands below them."""
+    for m in marks:
+        m.closed = m.above is not None and m.above.closed
+        m.says, m.strong = -1 if m.closed else m.claim, m.closed or m.how == "sure"
+        if m.how == "maybe" and not lenient:
+            m.strong |= not m.framed or m.controls > 0 or m.linked > m.text or not m.lines
+        elif m.how == "form":
+            m.strong |= not lenient and 0 < m.controls and m.text <= PER_CONTROL * m.controls
+            if not m.controls and not m.closed:
+                m.says = 0
+        m.closed = m.strong
+    for how in ("article", "main"):
+        held: dict[int, bool] = {}
+        for m in marks:
+            held[id(m)] = m.how == how or (m.above is not None and held[id(m.above)])
+        inside = beside = 0
+        for b in blocks:
+            m, text = b.element.mark, len(b.text) - b.linked
+            if held[id(m)] and not m.closed:
+                inside += text
+            elif not m.closed:
+                beside += text
+        if inside and beside <= BESIDE * inside + SLACK:
+            for m in marks:
+                if not held[id(m)]:  # the page around the article
+                    m.says, m.strong = -1, True
+                elif m.how == how:
+                    m.strong = True
+            return
+
+
 def _apart(a: Element, b: Element) -> int:
     """Steps in the tree between two elements, siblings being 0."""
     n = 0
@@ -307,14 +381,13 @@ def _wall(a: Block, b: Block) -> int:
 def cost(b: Block) -> int:
     """What it costs to call a block boilerplate, less what it costs to call it content, by its text alone."""
     if b.rights:
-        return -TEXT
-    n = len(b.text)
-    z = max(-TEXT, min(TEXT, round(40 * log(n / 60))))
-    if b.text[-1] in ".!?:;…\"»”":
-        z += ENDED
-    if b.heading:
-        z = max(z, ENDED)
-    return z - LINKS * b.linked // n
+        return -RIGHTS
+    if not _WORD.search(b.text):  # a rule or an arrow goes with what stands around it
+        return 0
+    plain = len(b.text) - b.linked
+    if b.linked > plain:
+        return plain - b.linked - LINKED
+    return plain - b.linked + ENDED * (b.text[-1] in ".!?:;…\"»”") + HEADED * b.heading
 
 
 def graph_of(blocks: list[Block]) -> tuple[list[int], list[dict[int, int]]]:
@@ -327,26 +400,22 @@ def graph_of(blocks: list[Block]) -> tuple[list[int], list[dict[int, int]]]:
             mark.node = len(blocks) + len(marks)
             marks.append(mark)
             mark = mark.above
-    for m in [b.element.mark for b in blocks] + [m.above for m in marks if m.above is not None]:
-        m.tied += 1
-    has_article = any(m.tag == "article" and m.says > 0 for m in marks)
     for m in marks:
-        if m.tag == "main" and not has_article and m.says > 0:
-            m.strong = True
-    framed = any(m.says > 0 and m.strong for m in marks)
-    for m in marks:
-        if m.above is None and framed:  # the page itself, around the article
-            m.says, m.strong = -1, True
-        costs.append(m.says * (BASE + PER * m.tied if m.strong else SOFT))
+        costs.append(m.says * SOFT)
         edges.append({})
     tie = lambda i, j, w: (edges[i].__setitem__(j, w), edges[j].__setitem__(i, w))
     for i, b in enumerate(blocks):
         m = b.element.mark
         if m.says:
-            tie(i, m.node, TIE if m.strong else SOFT_TIE)
+            tie(i, m.node, abs(costs[i]) + sum(edges[i].values()) + 1 if m.strong else SOFT_TIE)
     for m in marks:
-        if m.above is not None and m.above.says:
+        if m.above is not None and m.above.says and m.says:
             tie(m.node, m.above.node, TIE if m.above.strong else SOFT_TIE)
+    for m in marks:
+        if m.strong:
+            costs[m.node] = m.says * (sum(edges[m.node].values()) + 1)
+    for m in marks:
+        m.node = -1
     return costs, edges
 
 
@@ -413,7 +482,15 @@ class Labelled:
 def label(page: str | None) -> Labelled:
     blocks = blocks_of(page or "")
     costs, edges = graph_of(blocks)
-    return Labelled(blocks, costs[: len(blocks)], min_cut(costs, edges)[: len(blocks)])
+    content = min_cut(costs, edges)[: len(blocks)]
+    if not any(content) and any(c > 0 for c in costs[: len(blocks)]):
+        element = blocks[0].element
+        while element.parent is not None:
+            element = element.parent
+        _weigh(element.marks or [], blocks, lenient=True)
+        costs, edges = graph_of(blocks)
+        content = min_cut(costs, edges)[: len(blocks)]
+    return Labelled(blocks, costs[: len(blocks)], content)
 
 
 def extract(page: str | None) -> list[str]:

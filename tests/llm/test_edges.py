@@ -89,6 +89,20 @@ def test_bpe_on_letters_of_every_age(spark):
         assert own.encode(t) == e.ids, ascii(t)
 
 
+def test_bpe_on_every_code_point_beside_symbols_letters_and_digits():
+    from tokenizers import Tokenizer
+
+    lib, own, rnd = Tokenizer.from_file(bpe.default_path()), bpe.load(bpe.default_path()), random.Random(9)
+    every = [chr(c) for c in range(1, 0x33500) if not 0xD800 <= c <= 0xDFFF]
+    for left, right in ("……", "ab", "12"):
+        texts = [left + c + right for c in every]
+        for t, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False)):
+            assert own.encode(t) == e.ids, ascii(t)
+    texts = ["".join(chr(rnd.choice((rnd.randint(0x20, 0xD7FF), rnd.randint(0xE000, 0x2FFFF)))) for _ in range(6)) for _ in range(4000)]
+    for t, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False)):
+        assert own.encode(t) == e.ids, ascii(t)
+
+
 def test_bpe_of_a_portion_equals_text_by_text(spark, monkeypatch):
     own = bpe.load(bpe.default_path())
     texts = ["", "a b  c\n\nd", "<|endoftext|> x", "é" * 9, " ", "one two one two", None, "\t tab", "z" * 300]

@@ -5,10 +5,10 @@ when on it can be known (``ready``, never before ``at``) and what it adds. A win
 of d days at time t takes the points with t - d < at and ready <= t.
 
 All points of a client have places in order of ``at``. Over the places stands a
-merge-sort tree: blocks of 2^LEAF places and of twice as many at each level above,
-every block's points in order of ``ready`` with running sums and the latest click
-so far. A window is a range of places; it is cut into at most two blocks per
-level and the two lowest blocks in which it begins and ends, whose few points are
+merge-sort tree: dyadic blocks of 2^LEAF places and of 2^STRIDE times as many at each
+level above, every block's points in order of ``ready`` with running sums and the
+latest click so far. A window is a range of places; it is cut into a few blocks of
+each level and the two lowest blocks in which it begins and ends, whose points are
 looked at one by one. In every other block the probe is looked up by its time.
 
 Places and running sums come from one job, ``running``: rows are dealt by ranges
@@ -21,8 +21,9 @@ Distinct items add up as well: in order of ``ready``, a line whose ``at`` is lat
 than any before of its item stands for the item from then on, and adds 1 at its
 own ``at``; the line that stood for it till then is taken back by -1 at its own.
 
-Levels are only made for clients that a window needs them for: a client of few
-points has none, one of n points at most log2(n) - LEAF.
+Lines of one sale that are known from the same time on are one point. Levels are
+only made for clients that a window needs them for: a client of few points has
+none, one of n points at most (log2(n) - LEAF) / STRIDE.
 
 Defined cases: rows without a client or time of event count nowhere, and a sale
 without them is not answered; what has no arrival (or, for lines, shipping) time
@@ -35,7 +36,7 @@ empty result where there are no sales. Click ids are above -2^63.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +49,8 @@ from .common import Steps
 
 #: Days of the windows, minutes until an arrival can be used, days of the label, seconds over which probes are spread.
 WINDOWS, LAG, AHEAD, SPREAD = (2, 14), 240, 7, 259_200
-#: Places of a lowest block, as a power of two.
-LEAF = 5
+#: Places of a lowest block, and blocks of one level in one of the next, as powers of two.
+LEAF, STRIDE = 5, 2
 DAY = 86_400_000_000
 CLICK, PURCHASE, SALE, LINE = range(4)
 NONE, NEVER = -(2**63), 2**62
@@ -71,28 +72,36 @@ def cents(value: Column) -> Column:
     return F.when(F.isnan(x), F.lit(0)).otherwise(F.coalesce(F.floor(100 * x + 0.5), F.lit(0))).cast("long")
 
 
-def running(steps: Steps, rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Sequence[str] = (), top: Sequence[str] = (), name: str = "running") -> DataFrame:
-    """rows with sums so far of all columns in ``sums`` and, of the row with the greatest top[0] so far, all of ``top``.
+#: A column of numbers made from the columns of a batch, which it asks for by name.
+Made = Callable[[Callable[[str], np.ndarray]], np.ndarray]
+
+
+def running(
+    steps: Steps, rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Made], top: Mapping[str, Made] = {}, keep: Made | None = None, name: str = "running"
+) -> DataFrame:
+    """rows with the sums so far of what ``sums`` makes of them and, of the row with the greatest first value of ``top`` so far, all values of ``top``.
 
     "So far" goes through the rows of one combination of keys in the given order,
     the row itself included: the columns so_far_<name>. before_<name> is the
-    greatest top[0] of the rows before. All of them, keys and order are whole
+    greatest first value of the rows before. Keys, order and values are whole
     numbers without nulls; NONE is less than any. Keys may have any number of rows.
+    Rows for which ``keep`` is false may be left out of the answer.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = rows.columns
+    names, lead = rows.columns, next(iter(top), None)
     dealt = rows.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
-    more = [f"so_far_{c}" for c in [*sums, *top]] + [f"before_{c}" for c in top[:1]]
+    more = [f"so_far_{c}" for c in [*sums, *top]] + ([f"before_{lead}"] if top else [])
     fields = [*rows.schema.fields, *[T.StructField(c, T.LongType()) for c in more]]
     fields += [T.StructField("task", T.IntegerType()), T.StructField("open", T.BooleanType()), T.StructField("edge", T.IntegerType())]
-    keyed, summed, topped = [[names.index(c) for c in group] for group in (keys, sums, top)]
+    added, tops = list(sums.values()), list(top.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, first, last = TaskContext.get().partitionId(), None, None
-        total, best, held = np.zeros(len(sums), np.int64), [NONE] * len(top), None
+        total, best, held = np.zeros(len(added), np.int64), [NONE] * len(tops), None
 
-        def told(arrays: list, edge: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*arrays, pa.array(edge)], [f.name for f in fields])
+        def told(arrays: list, edge: np.ndarray, kept: np.ndarray | None) -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([*arrays, pa.array(edge)], [f.name for f in fields])
+            return out if kept is None else out.filter(pa.array(kept | (edge > 0)))
 
         for b in batches:
             n = b.num_rows
@@ -100,8 +109,8 @@ def running(steps: Steps, rows: DataFrame, keys: Sequence[str], order: Sequence[
                 continue
             if held:
                 yield told(*held)
-            columns = lambda at: [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in at]
-            k = columns(keyed)
+            column = lambda c: b.column(names.index(c)).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: E731, B023
+            k = [column(c) for c in keys]
             now = tuple(int(x[0]) for x in k)
             new = np.zeros(n, bool)
             for x in k:
@@ -112,22 +121,21 @@ def running(steps: Steps, rows: DataFrame, keys: Sequence[str], order: Sequence[
                 first, edge[0] = now, 1
             group, starts = np.cumsum(new), np.flatnonzero(new)
             out = []
-            for i, v in enumerate(columns(summed)):
-                s = np.cumsum(v)
+            for i, made in enumerate(added):
+                s = np.cumsum(made(column))
                 less = np.concatenate([[total[i]], np.where(starts > 0, -s[starts - 1], 0)])
                 out.append(s + less[group])
                 total[i] = out[-1][-1]
-            if top:
-                m = columns(topped)
+            if tops:
+                m = [made(column) for made in tops]
                 if not new[0] and best[0] > m[0][0]:
                     for x, y in zip(m, best):
                         x[0] = y
                 step, before = 1, np.full(n, NONE)
                 while step < n:
-                    take = np.zeros(n, bool)
-                    take[step:] = (group[step:] == group[:-step]) & (m[0][:-step] > m[0][step:])
-                    at = np.flatnonzero(take)
-                    m = [np.concatenate([x[:step], np.where(take[step:], x[:-step], x[step:])]) if len(at) else x for x in m]
+                    at = step + np.flatnonzero((group[step:] == group[:-step]) & (m[0][:-step] > m[0][step:]))
+                    for x, y in [(x, x[at - step]) for x in m]:
+                        x[at] = y
                     step *= 2
                 before[1:] = np.where(new[1:], NONE, m[0][:-1])
                 before[0] = NONE if new[0] else best[0]
@@ -137,7 +145,7 @@ def running(steps: Steps, rows: DataFrame, keys: Sequence[str], order: Sequence[
             opened = np.ones(n, bool)
             for x, y in zip(k, first):
                 opened &= x == y
-            held = ([*b.columns, *map(pa.array, out), pa.array(np.full(n, task, np.int32)), pa.array(opened)], edge)
+            held = ([*b.columns, *map(pa.array, out), pa.array(np.full(n, task, np.int32)), pa.array(opened)], edge, keep and keep(column))
         if held:
             held[1][-1] += 2
             yield told(*held)
@@ -152,14 +160,14 @@ def running(steps: Steps, rows: DataFrame, keys: Sequence[str], order: Sequence[
     met = summary.join(F.broadcast(carried), (F.col("task") == F.col("into")) & F.col("open"), "left")
     out = [*names, *[(F.col(f"so_far_{c}") + F.coalesce(f"carry_{c}", F.lit(0))).alias(f"so_far_{c}") for c in sums]]
     if top:
-        lead = f"so_far_{top[0]}"
-        later = F.coalesce(F.col(f"carry_top.{top[0]}") > F.col(lead), F.lit(False))
+        later = F.coalesce(F.col(f"carry_top.{lead}") > F.col(f"so_far_{lead}"), F.lit(False))
         out += [F.when(later, F.col(f"carry_top.{c}")).otherwise(F.col(f"so_far_{c}")).alias(f"so_far_{c}") for c in top]
-        out += [F.greatest(f"before_{top[0]}", f"carry_top.{top[0]}").alias(f"before_{top[0]}")]
+        out += [F.greatest(f"before_{lead}", f"carry_top.{lead}").alias(f"before_{lead}")]
     return met.select(*out)
 
 
-def _point(kind: Column, tie: Column, ready: Column, n: Column = F.lit(1), cents: Column = F.lit(0), items: Column = F.lit(0)) -> list[Column]:
+def _point(kind: Column, tie: Column, ready: Column, n: Column | None = None, cents: Column | None = None, items: Column | None = None) -> list[Column]:
+    n, cents, items = (F.lit(default) if c is None else c for c, default in ((n, 1), (cents, 0), (items, 0)))
     mark = F.when(kind <= PURCHASE, 1).otherwise(0)
     types = {"mark": "int", "kind": "int", "n": "int", "items": "int"}
     said = {"client": F.col("client"), "at": F.col("at"), "mark": mark, "tie": tie, "kind": kind, "n": n, "cents": cents, "items": items, "ready": ready}
@@ -191,34 +199,29 @@ def line_points(steps: Steps, timed: DataFrame, lines: DataFrame) -> DataFrame:
     met = shipped.join(timed.filter("known IS NOT NULL").select("sale_id", "client", "at", "known").hint("merge"), F.col("of") == F.col("sale_id"))
     each = met.select("client", "item", "at", F.greatest("known", "shipped", "at").alias("ready"), "cents", F.xxhash64("of", "item", "cents", "shipped", F.monotonically_increasing_id()).alias("tie"))
     each = steps.written(each, "lines")
-    stood = running(steps, each.filter("item IS NOT NULL"), ("client", "item"), ("ready", "at", "tie"), top=("at",), name="lines-by-item")
+    stood = running(steps, each.filter("item IS NOT NULL"), ("client", "item"), ("ready", "at", "tie"), {}, {"at": lambda c: c("at")}, name="lines-by-item")
     begins = F.col("at") > F.col("before_at")
     own = F.struct(F.col("at"), F.lit(1).alias("n"), F.col("cents"), begins.cast("int").alias("items"))
     taken = F.struct(F.col("before_at").alias("at"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("cents"), F.lit(-1).alias("items"))
-    told = stood.select("client", "ready", "tie", F.explode(F.when(begins & (F.col("before_at") > NONE), F.array(own, taken)).otherwise(F.array(own))).alias("p"))
-    plain = each.filter("item IS NULL").select("client", "ready", "tie", F.struct("at", F.lit(1).alias("n"), "cents", F.lit(0).alias("items")).alias("p"))
-    spread = told.unionByName(plain).select("client", "ready", "tie", "p.*")
-    return spread.select(*_point(F.lit(LINE), F.col("tie"), F.col("ready"), F.col("n"), F.col("cents"), F.col("items")))
-
+    told = stood.select("client", "ready", F.explode(F.when(begins & (F.col("before_at") > NONE), F.array(own, taken)).otherwise(F.array(own))).alias("p"))
+    plain = each.filter("item IS NULL").select("client", "ready", F.struct("at", F.lit(1).alias("n"), "cents", F.lit(0).alias("items")).alias("p"))
+    spread = told.unionByName(plain).select("client", "ready", "p.*")
+    summed = spread.groupBy("client", "at", "ready").agg(*[F.sum(c).alias(c) for c in ("n", "cents", "items")])
+    return summed.select(*_point(F.lit(LINE), F.col("ready"), F.col("ready"), F.col("n"), F.col("cents"), F.col("items")))
 
-def _measures(kind: Column, n: Column, cents: Column, items: Column) -> dict[str, Column]:
-    """What a point adds to each column of the answer."""
-    where = lambda c, x: F.when(c, x).otherwise(F.lit(0)).cast("long")
-    return {
-        "n_clicks": where(kind <= PURCHASE, n), "n_purchases": where(kind == PURCHASE, n), "click_cents": where(kind <= PURCHASE, cents),
-        "n_sales": where(kind == SALE, n), "sale_cents": where(kind == SALE, cents),
-        "n_lines": where(kind == LINE, n), "n_items": items.cast("long"), "line_cents": where(kind == LINE, cents),
-    }
 
-
-MEASURES = ("n_clicks", "n_purchases", "click_cents", "n_sales", "sale_cents", "n_lines", "n_items", "line_cents")
+#: The columns of the answer: of which kinds of points they add up which column.
+MEASURES = {
+    "n_clicks": ((CLICK, PURCHASE), "n"), "n_purchases": ((PURCHASE,), "n"), "click_cents": ((CLICK, PURCHASE), "cents"),
+    "n_sales": ((SALE,), "n"), "sale_cents": ((SALE,), "cents"), "n_lines": ((LINE,), "n"), "n_items": ((LINE,), "items"), "line_cents": ((LINE,), "cents"),
+}
 
 
 def features(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows: Sequence[int] = WINDOWS) -> DataFrame:
     """A row for every sale with a client and a time, and every window: see the module."""
     steps = Steps(sales.sparkSession)
     timed = steps.written(timed_sales(sales).withColumn("rid", F.monotonically_increasing_id()), "sales")
-    known = F.coalesce(F.greatest("known", "at"), F.lit(NEVER))
+    known = F.when(F.col("known").isNull(), F.lit(NEVER)).otherwise(F.greatest("known", "at"))
     points = click_points(clicks).unionByName(timed.select(*_point(F.lit(SALE), F.col("rid"), known, cents=cents(F.col("total"))))).unionByName(line_points(steps, timed, lines))
     points = steps.written(points, "points")
 
@@ -227,8 +230,9 @@ def features(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows: Seq
     asked = timed.select("client", "rid", "sale_id", t.alias("t")).select("client", "rid", "sale_id", "t", F.posexplode(F.array(*[F.lit(b).cast("long") for b in bounds])).alias("kind", "shift"))
     # A bound is a row among the points: its number and sale stand where a point has its tie and cents.
     asked = asked.select("client", (F.col("t") + F.col("shift")).alias("at"), F.lit(2).alias("mark"), F.col("rid").alias("tie"), "kind", F.lit(0).alias("n"), F.col("sale_id").alias("cents"), F.lit(0).alias("items"), "t")
-    rows = points.unionByName(asked.withColumnRenamed("t", "ready")).withColumn("point", (F.col("mark") < 2).cast("int")).withColumn("sale", ((F.col("kind") == SALE) & (F.col("mark") == 0)).cast("int"))
-    placed = running(steps, rows, ("client",), ("at", "mark", "tie"), sums=("point", "sale"), name="places")
+    rows = points.unionByName(asked.withColumnRenamed("t", "ready"))
+    counted = {"point": lambda c: (c("mark") < 2).astype(np.int64), "sale": lambda c: ((c("mark") == 0) & (c("kind") == SALE)).astype(np.int64)}
+    placed = running(steps, rows, ("client",), ("at", "mark", "tie"), counted, name="places")
     places = placed.filter("mark < 2").select(
         "client", (F.col("so_far_point") - 1).alias("pos"), "ready", "kind", "n", "cents", "items", F.when(F.col("kind") <= PURCHASE, F.col("tie")).otherwise(F.lit(NONE)).alias("click_id")
     )
@@ -262,7 +266,7 @@ def _in_leaves(places: DataFrame, each: DataFrame) -> DataFrame:
     there = places.select(F.col("client").alias("of"), F.shiftright("pos", LEAF).alias("block"), "pos", "ready", "kind", "n", "cents", "items", "click_id")
     inside = (F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi")) & (F.col("ready") <= F.col("t"))
     met = ends.join(there.hint("merge"), (F.col("client") == F.col("of")) & (F.col("leaf") == F.col("block")) & inside)
-    adds = _measures(F.col("kind"), F.col("n"), F.col("cents"), F.col("items"))
+    adds = {c: F.when(F.col("kind").isin(*kinds), F.col(of)).otherwise(F.lit(0)).cast("long") for c, (kinds, of) in MEASURES.items()}
     lead = F.struct(F.when(F.col("kind") <= PURCHASE, F.col("pos")).otherwise(F.lit(NONE)).alias("top"), "click_id")
     summed = met.groupBy("rid", "d").agg(*[F.sum(adds[c]).alias(c) for c in MEASURES], F.max(lead).alias("lead"))
     return summed.select("rid", "d", *MEASURES, "lead.top", "lead.click_id")
@@ -270,27 +274,30 @@ def _in_leaves(places: DataFrame, each: DataFrame) -> DataFrame:
 
 def _in_blocks(steps: Steps, places: DataFrame, each: DataFrame) -> DataFrame:
     """The same in all blocks between."""
-    span = lambda level: (F.ceil((F.col("first") + 1) / F.pow(F.lit(2.0), level)).cast("long"), F.expr("shiftright(last, level)"))
-    levels = each.withColumn("level", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("last") - F.col("first") - 1)).cast("int"))))
-    low, high = span(F.col("level"))
-    cut = levels.withColumn("low", low).withColumn("high", high).filter("low < high")
-    taken = F.array(F.when(F.col("low") % 2 == 1, F.col("low")), F.when(F.col("high") % 2 == 1, F.col("high") - 1))
+    levels = each.withColumn("level", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("last") - F.col("first") - 1) / STRIDE).cast("int"))))
+    wide = 1 << STRIDE
+    cut = levels.withColumn("low", F.expr(f"shiftright(first + shiftleft(1L, {STRIDE} * level), {STRIDE} * level)")).withColumn("high", F.expr(f"shiftright(last, {STRIDE} * level)"))
+    cut = cut.filter("low < high").withColumn("up", F.shiftright(F.col("low") + wide - 1, STRIDE) * wide).withColumn("down", F.shiftright("high", STRIDE) * wide)
+    low, high, up, down = map(F.col, ("low", "high", "up", "down"))
+    # Where the next level takes a part, the blocks before and after it; else all, which are no more.
+    sides = [F.when(low + k < up, low + k) for k in range(wide - 1)] + [F.when(high - 1 - k >= down, high - 1 - k) for k in range(wide - 1)]
+    taken = F.array(*[F.when(up < down, side).otherwise(F.when(low + k < high, low + k)) for k, side in enumerate(sides)])
     probed = steps.written(cut.select("rid", "d", "client", "t", "level", F.explode(taken).alias("block")).filter("block IS NOT NULL"), "probed")
     needed = steps.written(probed.groupBy("client").agg(F.max("level").alias("levels")), "levels")
-    wide = places.join(needed.hint("merge"), "client").withColumn("level", F.explode(F.sequence(F.lit(0), F.col("levels"))))
-    lead = F.when(F.col("kind") <= PURCHASE, F.col("pos")).otherwise(F.lit(NONE))
-    filed = wide.select(
-        "client", "level", F.expr(f"shiftright(pos, {LEAF} + level)").alias("block"), "ready", F.lit(0).alias("mark"), F.col("pos").alias("tie"), "kind", "n", "cents", "items", lead.alias("top"), "click_id"
+    filed = places.join(needed.hint("merge"), "client").withColumn("level", F.explode(F.sequence(F.lit(0), F.col("levels")))).select(
+        "client", "level", F.expr(f"shiftright(pos, {LEAF} + {STRIDE} * level)").alias("block"), "ready", F.col("pos").alias("tie"), "kind", "n", "cents", "items", "click_id"
     )
+    # A probe stands after all points of its time; its number is told from their places, and its days from their kinds.
     asks = probed.select(
-        "client", "level", "block", F.col("t").alias("ready"), F.lit(1).alias("mark"), F.col("rid").alias("tie"), F.col("d").alias("kind"),
-        F.lit(0).alias("n"), F.lit(0).cast("long").alias("cents"), F.lit(0).alias("items"), F.lit(NONE).alias("top"), F.lit(NONE).alias("click_id"),
+        "client", "level", "block", F.col("t").alias("ready"), (F.col("rid") + NEVER).alias("tie"), (-F.col("d")).alias("kind"),
+        F.lit(0).alias("n"), F.lit(0).cast("long").alias("cents"), F.lit(0).alias("items"), F.lit(NONE).alias("click_id"),
     )
-    point = F.when(F.col("mark") == 0, F.col("kind")).otherwise(F.lit(-1))
-    adds = _measures(point, F.col("n"), F.col("cents"), F.col("items"))
-    rows = filed.unionByName(asks).select("client", "level", "block", "ready", "mark", "tie", "kind", *[adds[c].alias(c) for c in MEASURES], "top", "click_id")
-    looked = running(steps, rows, ("client", "level", "block"), ("ready", "mark", "tie"), sums=MEASURES, top=("top", "click_id"), name="blocks")
-    return looked.filter("mark = 1").select(F.col("tie").alias("rid"), F.col("kind").alias("d"), *[F.col(f"so_far_{c}").alias(c) for c in MEASURES], F.col("so_far_top").alias("top"), F.col("so_far_click_id").alias("click_id"))
+    sums = {c: (lambda col, kinds=kinds, of=of: np.where(np.isin(col("kind"), kinds), col(of), 0)) for c, (kinds, of) in MEASURES.items()}
+    top = {"top": lambda c: np.where((c("kind") >= CLICK) & (c("kind") <= PURCHASE), c("tie"), NONE), "click_id": lambda c: c("click_id").copy()}
+    looked = running(steps, filed.unionByName(asks), ("client", "level", "block"), ("ready", "tie"), sums, top, keep=lambda c: c("kind") < 0, name="blocks")
+    return looked.filter("kind < 0").select(
+        (F.col("tie") - NEVER).alias("rid"), (-F.col("kind")).alias("d"), *[F.col(f"so_far_{c}").alias(c) for c in MEASURES], F.col("so_far_top").alias("top"), F.col("so_far_click_id").alias("click_id")
+    )
 
 
 #: The same in DuckDB's SQL: every window by a join.

@@ -77,7 +77,7 @@ Made = Callable[[Callable[[str], np.ndarray]], np.ndarray]
 
 
 def running(
-    steps: Steps, rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Made], top: Mapping[str, Made] = {}, keep: Made | None = None, name: str = "running"
+    steps: Steps, rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Made], top: Mapping[str, Made] = {}, keep: str = "true", name: str = "running"
 ) -> DataFrame:
     """rows with the sums so far of what ``sums`` makes of them and, of the row with the greatest first value of ``top`` so far, all values of ``top``.
 
@@ -85,7 +85,7 @@ def running(
     the row itself included: the columns so_far_<name>. before_<name> is the
     greatest first value of the rows before. Keys, order and values are whole
     numbers without nulls; NONE is less than any. Keys may have any number of rows.
-    Rows for which ``keep`` is false may be left out of the answer.
+    Rows for which the condition ``keep`` does not hold are left out of the answer.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names, lead = rows.columns, next(iter(top), None)
@@ -99,9 +99,8 @@ def running(
         task, first, last = TaskContext.get().partitionId(), None, None
         total, best, held = np.zeros(len(added), np.int64), [NONE] * len(tops), None
 
-        def told(arrays: list, edge: np.ndarray, kept: np.ndarray | None) -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([*arrays, pa.array(edge)], [f.name for f in fields])
-            return out if kept is None else out.filter(pa.array(kept | (edge > 0)))
+        def told(arrays: list, edge: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(edge)], [f.name for f in fields])
 
         for b in batches:
             n = b.num_rows
@@ -145,19 +144,19 @@ def running(
             opened = np.ones(n, bool)
             for x, y in zip(k, first):
                 opened &= x == y
-            held = ([*b.columns, *map(pa.array, out), pa.array(np.full(n, task, np.int32)), pa.array(opened)], edge, keep and keep(column))
+            held = ([*b.columns, *map(pa.array, out), pa.array(np.full(n, task, np.int32)), pa.array(opened)], edge)
         if held:
             held[1][-1] += 2
             yield told(*held)
 
-    summary = steps.written(dealt.mapInArrow(run, T.StructType(fields)), name)
+    summary = steps.written(dealt.mapInArrow(run, T.StructType(fields)).filter(f"({keep}) OR edge > 0"), name)
     ends = summary.filter("edge > 0")
     heads = ends.filter("edge != 2").select(*keys, F.col("task").alias("into"))
     tails = ends.filter("edge != 1").select(*keys, F.col("task").alias("out"), *[c for c in more if c.startswith("so_far_")])
     bests = F.max(F.struct(*[F.col(f"so_far_{c}").alias(c) for c in top])) if top else F.lit(None)
     carried = heads.join(tails, list(keys)).filter("out < into").groupBy("into").agg(*[F.sum(f"so_far_{c}").alias(f"carry_{c}") for c in sums], bests.alias("carry_top"))
     carried = steps.written(carried, f"{name}-carried")  # a row per task at most
-    met = summary.join(F.broadcast(carried), (F.col("task") == F.col("into")) & F.col("open"), "left")
+    met = summary.filter(keep).join(F.broadcast(carried), (F.col("task") == F.col("into")) & F.col("open"), "left")
     out = [*names, *[(F.col(f"so_far_{c}") + F.coalesce(f"carry_{c}", F.lit(0))).alias(f"so_far_{c}") for c in sums]]
     if top:
         later = F.coalesce(F.col(f"carry_top.{lead}") > F.col(f"so_far_{lead}"), F.lit(False))
@@ -294,8 +293,8 @@ def _in_blocks(steps: Steps, places: DataFrame, each: DataFrame) -> DataFrame:
     )
     sums = {c: (lambda col, kinds=kinds, of=of: np.where(np.isin(col("kind"), kinds), col(of), 0)) for c, (kinds, of) in MEASURES.items()}
     top = {"top": lambda c: np.where((c("kind") >= CLICK) & (c("kind") <= PURCHASE), c("tie"), NONE), "click_id": lambda c: c("click_id").copy()}
-    looked = running(steps, filed.unionByName(asks), ("client", "level", "block"), ("ready", "tie"), sums, top, keep=lambda c: c("kind") < 0, name="blocks")
-    return looked.filter("kind < 0").select(
+    looked = running(steps, filed.unionByName(asks), ("client", "level", "block"), ("ready", "tie"), sums, top, keep="kind < 0", name="blocks")
+    return looked.select(
         (F.col("tie") - NEVER).alias("rid"), (-F.col("kind")).alias("d"), *[F.col(f"so_far_{c}").alias(c) for c in MEASURES], F.col("so_far_top").alias("top"), F.col("so_far_click_id").alias("click_id")
     )
 

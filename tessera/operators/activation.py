@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from tessera.functions.text import tokens
 from tessera.operators.resolve import leading
 
-#: Words of the longest compound.
-COMPOUND = 3
 #: Endings and what takes their place, in the order in which they are tried.
 ENDINGS = (("ies", "y"), ("es", "e"), ("es", ""), ("s", ""), ("ing", ""), ("ing", "e"), ("ed", ""), ("ed", "e"), ("er", ""), ("est", ""))
 
@@ -26,16 +24,17 @@ def base_forms(word: Column) -> Column:
 
 
 def names_in(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(id, at, name, word): names of the lexicon in texts (id, text), longest compound first from the left; word is what stands there.
+    """(id, at, name, word): names of the lexicon in texts (id, text), longest compound first from the left; word is what stands there. Compounds may have any number of words.
 
     Words that no compound takes are names themselves or inflections of one.
     """
     names = lexicon.select("name").distinct()
     words = texts.select("id", F.posexplode(tokens(F.col("text"))).alias("at", "w"))
-    grams = texts.select("id", tokens(F.col("text")).alias("t")).select("id", "t", F.posexplode("t").alias("at", "first"))
-    several = F.explode(F.sequence(F.lit(2), F.lit(COMPOUND)))
-    runs = grams.withColumn("n", several).filter(F.col("at") + F.col("n") <= F.size("t"))
-    found = runs.select("id", "at", "n", F.array_join(F.slice("t", F.col("at") + 1, F.col("n")), "_").alias("name")).join(names, "name")
+    # Compounds of any length: where their first word stands, the others must follow.
+    parts = names.select("name", F.split("name", "_").alias("p")).filter(F.size("p") > 1)
+    begun = words.join(parts.withColumn("w", F.get("p", F.lit(0))), "w").select("id", F.col("at").alias("from"), "name", F.size("p").alias("n"), F.posexplode("p").alias("k", "w")).filter("k > 0")
+    met = begun.select("id", "from", "name", "n", "w", (F.col("from") + F.col("k")).alias("at")).join(words, ["id", "at", "w"])
+    found = met.groupBy("id", F.col("from").alias("at"), "n", "name").agg(F.countDistinct("at").alias("met")).filter("met = n - 1").drop("met")
     ordered = F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("less"), "name")))
     step = lambda so, x: F.when(x["at"] >= so["free"], F.struct((x["at"] - x["less"]).alias("free"), F.concat(so["taken"], F.array(x)).alias("taken"))).otherwise(so)
     kept = found.groupBy("id").agg(ordered.alias("c"))

@@ -4,8 +4,9 @@ Terms are Porter stems (or surface words); a text's frequency and length are
 summed over its fields. The index is a folder of generations: every write is one
 more, postings first and then the heads (id, generation, live) that make it
 count, each overwritten if that write is repeated. Of an id the latest head
-holds; archived and sealed rows are indexed as retracted. Searches read the
-postings of the asked terms alone.
+holds; archived and sealed rows are indexed as retracted. Postings lie in SLICES
+folders by a hash of their term; a search reads the slices of the asked terms
+alone. ``compact`` makes one generation of all.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import lexical as L
-from tessera.steps import delete, exists
+from tessera.steps import delete, exists, folder
 
+#: Folders of a generation's postings.
+SLICES = 64
 FIELDS = ("title", "description", "tags", "content")
 
 
@@ -66,6 +69,10 @@ def search_hits(hits: DataFrame, docs: DataFrame, budget: int = 1400) -> DataFra
     return hits.join(docs, "id").select("query_id", "id", T.blind(F.col("content"), "").alias("version_id"), "title", "description", body.alias("content"), "score")
 
 
+def slice_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(SLICES)).cast("int")
+
+
 class FieldIndex:
     """The index at a path. One writer at a time."""
 
@@ -86,12 +93,16 @@ class FieldIndex:
     def _next(self) -> int:
         return (self._heads().agg(F.max("gen")).first()[0] or 0) + 1
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Index or index again rows with the four fields, state and sealed; gives (live, n), the change by kind."""
-        gen = self._next()
+    def _write(self, rows: DataFrame, gen: int) -> None:
+        sliced = rows.select("id", "term", "tf", "len", slice_of(F.col("term")).alias("slice"))
+        sliced.repartition(SLICES, "slice").sortWithinPartitions("slice", "term").write.mode("overwrite").partitionBy("slice").parquet(f"{self.path}/postings/gen={gen}")
+
+    def add(self, docs: DataFrame, gen: int | None = None) -> DataFrame:
+        """Index or index again rows with the four fields, state and sealed; gives (live, n), the change by kind. A write that is repeated under the generation that it had replaces itself."""
+        gen = self._next() if gen is None else gen
         gone = (F.col("state") == "archived") | F.coalesce("sealed", F.lit(False))
         termed = terms(docs, self.stemmed).join(docs.select("id", (~gone).alias("live")), "id")
-        postings(termed.filter("live")).write.mode("overwrite").parquet(f"{self.path}/postings/gen={gen}")
+        self._write(postings(termed.filter("live")), gen)
         heads = termed.select("id", "live", F.size("t").alias("len"))
         heads.write.mode("overwrite").parquet(f"{self.path}/heads/gen={gen}")
         return self._heads().filter(F.col("gen") == gen).groupBy("live").agg(F.count(F.lit(1)).alias("n"))
@@ -110,11 +121,12 @@ class FieldIndex:
         self.drop()
         self.add(docs.filter((F.col("state") != "archived") & ~F.coalesce("sealed", F.lit(False))))
 
-    def postings(self) -> DataFrame:
-        """(id, term, tf, len) of what is live."""
+    def postings(self, slices: list[int] | None = None) -> DataFrame:
+        """(id, term, tf, len) of what is live, of all slices or of some."""
         if not exists(self.spark, f"{self.path}/postings"):
             return self.spark.createDataFrame([], "id string, term string, tf long, len int")
-        rows = self.spark.read.schema("id string, term string, tf long, len int, gen int").parquet(f"{self.path}/postings")
+        rows = self.spark.read.schema("id string, term string, tf long, len int, gen int, slice int").parquet(f"{self.path}/postings")
+        rows = rows if slices is None else rows.filter(F.col("slice").isin(slices))
         live = self.heads().filter("live").select("id", "gen")
         return rows.join(live, ["id", "gen"]).select("id", "term", "tf", "len")
 
@@ -129,4 +141,21 @@ class FieldIndex:
     def search(self, queries: DataFrame, k: int, conjunctive: bool = False) -> DataFrame:
         """(query_id, id, score, rank) for queries (query_id, text)."""
         lengths = self.heads().filter("live").select("id", "len")
-        return L.top_k(L.bm25(self.postings(), lengths, asked_terms(queries, self.stemmed), conjunctive), k)
+        asked = asked_terms(queries, self.stemmed)
+        some = [r[0] for r in asked.select(slice_of(F.col("term"))).distinct().collect()]  # SLICES numbers at most
+        return L.top_k(L.bm25(self.postings(some), lengths, asked, conjunctive), k)
+
+    def compact(self) -> None:
+        """One generation in place of all: heads and postings of what is live, and what was taken out stays out. Searches should not run meanwhile."""
+        gen = self._next()
+        heads, rows = self.heads(), self.postings()
+        kept = f"{self.path}/compacted-{gen}"
+        rows.select("id", "term", "tf", "len").write.mode("overwrite").parquet(kept)
+        self._write(self.spark.read.schema("id string, term string, tf long, len int").parquet(kept), gen)
+        heads.select("id", "live", "len").write.mode("overwrite").parquet(f"{self.path}/heads/gen={gen}")
+        delete(self.spark, kept)
+        for part in ("heads", "postings"):
+            fs, at = folder(self.spark, f"{self.path}/{part}")
+            for status in fs.listStatus(at):
+                if status.getPath().getName() != f"gen={gen}" and status.getPath().getName().startswith("gen="):
+                    fs.delete(status.getPath(), True)

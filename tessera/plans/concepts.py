@@ -98,7 +98,7 @@ def f16_bands(spark, sf):
 
 def o10_near(spark, sf):
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return R.near_pairs(v, 0.75).select("a", "b", F.round("d", 6).alias("d"))
+    return R.near_pairs(v, 1.1).select("a", "b", F.round("d", 6).alias("d"))
 
 
 def o20_noise(spark, sf):
@@ -162,6 +162,6 @@ def oracle_sql():
         "f14_frames": """WITH r AS (SELECT label AS frame, vec_id AS ord, round(vec_id % 7 / 7 * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS norm2 FROM embeddings WHERE vec_id % 7 > 0 AND vec_id % 5 <> 0)
             SELECT * FROM r WHERE frame IN (SELECT frame FROM r GROUP BY 1 HAVING count(*) >= 4)""",
         "f16_bands": "SELECT label, round(2 * (sqrt(64 / count(*)) + 64 / count(*)), 9) AS band FROM embeddings GROUP BY 1",
-        "o10_near": """WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) SELECT a, b, round(d, 6) AS d FROM p WHERE d <= 0.75""",
+        "o10_near": """WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) SELECT a, b, round(d, 6) AS d FROM p WHERE d <= 1.1""",
         "o20_noise": "SELECT label, round(2.220446049250313e-16::DOUBLE * (count(*) * 64) * sum(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * 1e9::DOUBLE, 6) AS nano FROM embeddings GROUP BY 1",
     }

@@ -43,8 +43,8 @@ def g15_near_pairs(spark, sf):
 
 
 def g15_advice(spark, sf):
-    """The best fifty near pairs as advisory edges, with the merge boundary of a 128-coordinate sketch."""
-    e = C.advice(_near(spark, sf), 0.6, 50)
+    """The best fifty thousand near pairs as advisory edges, with the merge boundary of a 128-coordinate sketch."""
+    e = C.advice(_near(spark, sf), 0.6, 50_000)
     return e.select("src", "dst", "label", F.round("score", 6).alias("score"), "within_error", "truncated")
 
 
@@ -302,8 +302,8 @@ def oracle_sql():
             SELECT sum(s)::BIGINT AS bytes, (sum(s) FILTER (NOT x))::BIGINT AS kept, count(*) FILTER (x) AS archived, round((sum(s) FILTER (NOT y)) / sum(s), 9) AS rho_before, round((sum(s) FILTER (NOT x)) / sum(s), 9) AS rho_after FROM g""",
         "g15_near_pairs": f"WITH {near} SELECT a, b, round(jaccard, 6) AS jaccard FROM near",
         "g15_advice": f"""WITH {near}, best_ AS (SELECT * FROM near WHERE jaccard >= 0.6)
-            SELECT a AS src, b AS dst, 'near_dup_candidate' AS label, round(jaccard, 6) AS score, jaccard >= 1 - 1 / 129 - sqrt(jaccard * (1 - jaccard) / 128) AS within_error, (SELECT count(*) FROM best_) > 50 AS truncated
-            FROM best_ ORDER BY jaccard DESC, a, b LIMIT 50""",
+            SELECT a AS src, b AS dst, 'near_dup_candidate' AS label, round(jaccard, 6) AS score, jaccard >= 1 - 1 / 129 - sqrt(jaccard * (1 - jaccard) / 128) AS within_error, (SELECT count(*) FROM best_) > 50000 AS truncated
+            FROM best_ ORDER BY jaccard DESC, a, b LIMIT 50000""",
         "g15_archived": f"""WITH {a}, g AS (SELECT CASE WHEN id <> min(id) OVER (PARTITION BY content_ref) THEN 'archived' ELSE state END AS state, id <> min(id) OVER (PARTITION BY content_ref) AS x FROM a)
             SELECT state, count(*) AS n FROM g GROUP BY 1 UNION ALL SELECT 'consolidates', count(*) FROM g WHERE x HAVING count(*) > 0""",
         "u4_near_not_exact": f"WITH {near} SELECT a, b, round(jaccard, 6) AS jaccard FROM near JOIN t x ON x.doc_id = a JOIN t y ON y.doc_id = b WHERE x.t <> y.t",

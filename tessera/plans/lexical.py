@@ -148,11 +148,11 @@ def _holding(docs, items):
     key = F.array_join(F.slice(t, 1, 10), " ")
     asked = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("item"), F.least(F.size(t), F.lit(10)).alias("run"), key.alias("key")).filter("key <> ''")
     lengths = asked.agg(F.collect_set("run").alias("runs"))  # ten at most
-    each = docs.select("doc_id", "text", t.alias("t")).crossJoin(F.broadcast(lengths)).select("doc_id", "text", "t", F.explode("runs").alias("run")).filter(F.size("t") >= F.col("run"))
-    runs = each.select(
-        "doc_id", "text", "run", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("run") + 1), lambda i: F.array_join(F.slice("t", i, F.col("run")), " "))).alias("key")
-    )
-    return runs.join(asked, ["run", "key"]).filter(F.col("text").contains(F.col("item"))).select("query_id", F.col("doc_id").alias("id")).distinct()
+    each = docs.select("doc_id", t.alias("t")).crossJoin(F.broadcast(lengths)).select("doc_id", "t", F.explode("runs").alias("run")).filter(F.size("t") >= F.col("run"))
+    runs = each.select("doc_id", "run", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("run") + 1), lambda i: F.array_join(F.slice("t", i, F.col("run")), " "))).alias("key"))
+    # Keys meet first; only then are the texts of the few documents read that hold one.
+    met = runs.join(asked, ["run", "key"]).select("query_id", "item", "doc_id").distinct()
+    return met.join(docs.select("doc_id", "text"), "doc_id").filter(F.col("text").contains(F.col("item"))).select("query_id", F.col("doc_id").alias("id")).distinct()
 
 
 def g21_recall(spark, sf):
@@ -228,7 +228,7 @@ def oracle_sql():
     clean = "coalesce(html, '')"
     for pattern, to in [
         (r"(?s)<!--.*?-->", ""), (r"(?s)<ref[^>]*/>|<ref[^>]*>.*?</ref>", ""), (r"(?s)\{\|.*?\|\}", ""), (r"\[\[(?:File|Image|Category):[^\[\]]*\]\]", ""), *[(r"\{\{[^{}]*\}\}", "")] * 6,
-        (r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]", r"\1"), (r"\[https?://\S+\s*([^\]]*)\]", r"\1"), (r"<[^>]+>", ""), (r"''{2,}", ""), (r"\n{2,}", "\n"),
+        (r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]", r"\1"), (r"\[https?://\S+\s*([^\]]*)\]", r"\1"), (r"<[^>]+>", ""), (r"''{2,}", ""), (r"\n{3,}", "\n\n"),
     ]:
         clean = f"regexp_replace({clean}, '{pattern}', '{to}', 'g')"
     return {

@@ -12,9 +12,9 @@ FLAGSHIP = "a1_all_metrics"
 
 
 def _modules() -> list:
-    from tessera.plans import concepts, consolidation, control, geometry, lexical, memory, metrics, series, signals, streams, upkeep
+    from tessera.plans import concepts, consolidation, control, geometry, lattice, lexical, memory, metrics, series, signals, streams, upkeep
 
-    return [lexical, metrics, geometry, consolidation, signals, streams, series, control, upkeep, memory, concepts]
+    return [lexical, metrics, geometry, consolidation, signals, streams, series, control, upkeep, memory, concepts, lattice]
 
 
 def queries() -> dict[str, Query]:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import corpus_terms, kind_of_path
+from tessera.operators.index import FieldIndex
 from tessera.operators.writers import left_to_do, minted, sealed
 from tessera.steps import exists, folder
 
@@ -108,16 +109,51 @@ def land_stream(observations: DataFrame, out: str, checkpoint: str):
     A batch is named by its epoch and replaces what an earlier try of it has left.
     """
 
-    def land(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows, bodies = sealed(minted(batch))
-        rows.write.mode("overwrite").parquet(f"{out}/artifacts/epoch={epoch}")
-        if exists(spark, f"{out}/bodies"):
-            held = spark.read.schema("content_ref string, content string, epoch int").parquet(f"{out}/bodies").filter(F.col("epoch") != epoch)
-            bodies = bodies.join(held.select("content_ref"), "content_ref", "left_anti")
-        bodies.write.mode("overwrite").parquet(f"{out}/bodies/epoch={epoch}")
+    return observations.writeStream.foreachBatch(lambda batch, epoch: _put(batch, out, epoch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    return observations.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def _put(batch: DataFrame, out: str, epoch: int) -> None:
+    spark = batch.sparkSession
+    rows, bodies = sealed(minted(batch))
+    rows.write.mode("overwrite").parquet(f"{out}/artifacts/epoch={epoch}")
+    if exists(spark, f"{out}/bodies"):
+        held = spark.read.schema("content_ref string, content string, epoch int").parquet(f"{out}/bodies").filter(F.col("epoch") != epoch)
+        bodies = bodies.join(held.select("content_ref"), "content_ref", "left_anti")
+    bodies.write.mode("overwrite").parquet(f"{out}/bodies/epoch={epoch}")
+
+
+def ingest_stream(observations: DataFrame, out: str, index: FieldIndex, checkpoint: str):
+    """Start observing, describing, putting and indexing a stream in one call: observations (id, content, and any of title, description, tags, state, sealed).
+
+    Every micro-batch lands as in ``land_stream`` and is then indexed as the
+    generation of its epoch. A batch that fails anywhere is run again by Spark with
+    the same epoch and replaces what it had put and indexed, so that store and index
+    hold every observation once, whenever the stream was stopped. Generations above
+    those of the stream are left to other writers by giving them an index of their own.
+    """
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        batch.persist()
+        try:
+            _put(batch, out, epoch)
+            index.add(searchable(batch), gen=epoch + 1)
+        finally:
+            batch.unpersist()
+
+    return observations.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def searchable(rows: DataFrame) -> DataFrame:
+    """(id, title, description, tags, content, state, sealed) of rows (id, content, ...): the title is the first line unless there is one, what else is absent is empty, live and open. Of one id the least content counts."""
+    text = lambda c, absent: F.coalesce(F.col(c).cast("string"), absent) if c in rows.columns else absent
+    content = F.coalesce("content", F.lit(""))
+    first = F.substring(F.split(content, "\n")[0], 1, 200)
+    named = rows.filter("id IS NOT NULL").select(
+        F.col("id").cast("string").alias("id"), text("title", first).alias("title"), text("description", F.lit("")).alias("description"), text("tags", F.lit("")).alias("tags"), content.alias("content"),
+        text("state", F.lit("live")).alias("state"), (F.coalesce(F.col("sealed").cast("boolean"), F.lit(False)) if "sealed" in rows.columns else F.lit(False)).alias("sealed"),
+    )
+    fields = [c for c in named.columns if c != "id"]
+    return named.groupBy("id").agg(F.min(F.struct("content", *[c for c in fields if c != "content"])).alias("r")).select("id", *[F.col(f"r.{c}").alias(c) for c in fields])
 
 
 def folder_bytes(spark: SparkSession, path: str) -> tuple[int, int]:

@@ -55,7 +55,10 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 class Steps:
-    """The written steps of one run. Those that its answer does not read are deleted when the run is over."""
+    """The written steps of one run. Those that its answer does not read are deleted when the run is over.
+
+    While a step is written, shuffle files of the session's queries go when these end: a session should run one query at a time.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark

@@ -163,7 +163,11 @@ def monotone_hull(curve: DataFrame, key: str, lag: str, value: str) -> DataFrame
 
 
 def hash_embed(dim: int):
-    """Signed feature hashing of blank-separated words into unit vectors, Arrow-batched."""
+    """Signed feature hashing of blank-separated words into unit vectors, Arrow-batched.
+
+    A text whose words cancel in every place (two words of one place and opposite
+    signs, say) is hashed without signs, so that only a text of no words is zero.
+    """
     import hashlib
 
     @F.pandas_udf("array<double>")
@@ -172,7 +176,7 @@ def hash_embed(dim: int):
         for texts in parts:
             out = []
             for t in texts:
-                v = np.zeros(dim)
+                v, at = np.zeros(dim), np.zeros(dim)
                 for w in (t or "").lower().split():
                     if w not in places:
                         if len(places) > 200_000:
@@ -181,6 +185,8 @@ def hash_embed(dim: int):
                         places[w] = int.from_bytes(h[:4], "big") % dim, 1.0 if h[4] & 1 else -1.0
                     i, sign = places[w]
                     v[i] += sign
+                    at[i] += 1.0
+                v = v if v.any() else at
                 n = np.linalg.norm(v)
                 out.append((v / n if n else v).tolist())
             yield pd.Series(out)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.model import table
 from tessera.operators import lexical as L
-from tessera.steps import written
 
 _TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 #: The queries: every benchmark item.
@@ -39,11 +38,8 @@ def _index(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _searched(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths), the texts taken apart once."""
-    index = written(_index(spark, sf), "postings")
-    held = index.groupBy("id").agg(F.first("len").alias("len"))
-    ids = _docs(spark, sf).select(F.col("doc_id").alias("id"))
-    return index, ids.join(held, "id", "left").fillna(0, ["len"])
+    """(postings, lengths)."""
+    return _index(spark, sf), _docs(spark, sf).select(F.col("doc_id").alias("id"), F.size(T.tokens(F.col("text"))).alias("len"))
 
 
 def _queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,7 +47,7 @@ def _queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _top(spark: SparkSession, sf: str) -> DataFrame:
-    return L.top_k(L.bm25(*_searched(spark, sf), _queries(spark, sf)), 10)
+    return L.bm25_top(*_searched(spark, sf), _queries(spark, sf), 10)
 
 
 def f1_tokens(spark, sf):
@@ -115,7 +111,7 @@ def g20_bm25(spark, sf):
 
 def g20_bm25_all_terms(spark, sf):
     """AND search on all distinct words of every benchmark item."""
-    return L.top_k(L.bm25(*_searched(spark, sf), _queries(spark, sf), conjunctive=True), 10)
+    return L.bm25_top(*_searched(spark, sf), _queries(spark, sf), 10, conjunctive=True)
 
 
 def w1_ranked_within_budget(spark, sf):

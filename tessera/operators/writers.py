@@ -17,8 +17,14 @@ def minted(rows: DataFrame) -> DataFrame:
 
 
 def absent_edges(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """Edges not stored yet, each once."""
-    return new.dropDuplicates(["src", "dst", "label"]).join(stored.select("src", "dst", "label"), ["src", "dst", "label"], "left_anti")
+    """Edges not stored yet, each once: one aggregate of both tables, which sorts neither. A stored edge with a null is like no other."""
+    key = ["src", "dst", "label"]
+    more = [c for c in new.columns if c not in key]
+    known = stored.select(*key).dropna().select(*key, F.lit(True).alias("_held"), *[F.lit(None).cast(t).alias(c) for c, t in new.dtypes if c in more])
+    both = new.select(*key, F.lit(False).alias("_held"), *more).unionByName(known).groupBy(*key)
+    row = F.first(F.when(~F.col("_held"), F.struct(*more)), ignorenulls=True) if more else F.lit(None)
+    lacking = both.agg(F.max("_held").alias("_held"), row.alias("_row")).filter("NOT _held")
+    return lacking.select(*[F.col(f"_row.{c}").alias(c) if c in more else F.col(c) for c in new.columns])
 
 
 def upserted(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:

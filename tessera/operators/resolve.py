@@ -55,6 +55,22 @@ def signal_end(scores: DataFrame, key: str, score: str, ident: str) -> DataFrame
     return got.select(key, "n", F.when(separated, -F.col("b.neg")).otherwise(F.col("n")).alias("k"), F.col("b.eta2").alias("eta2"), "null_eta2", separated.alias("separated"))
 
 
+def signal_of_counts(scores: DataFrame, keys: list[str], score: str, count: str) -> DataFrame:
+    """(keys, n, separated) as of ``signal_end``, of values that stand for as many as their count: the best split never parts equal values, since between two of their ends the share is convex."""
+    each = scores.groupBy(*keys, F.col(score).cast("double").alias("_x")).agg(F.sum(count).alias("_w"))
+    whole = W.partitionBy(*keys)
+    run = whole.orderBy(F.desc("_x")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    wx = F.col("_w") * F.col("_x")
+    s = each.select("*", F.sum("_w").over(run).alias("_k"), F.sum("_w").over(whole).alias("_n"), F.sum(wx).over(run).alias("_s"), F.sum(wx).over(whole).alias("_t"), F.sum(wx * F.col("_x")).over(whole).alias("_q"))
+    total = F.col("_q") - F.col("_t") * F.col("_t") / F.col("_n")
+    gap = F.col("_s") / F.col("_k") - (F.col("_t") - F.col("_s")) / (F.col("_n") - F.col("_k"))
+    eta2 = F.when((F.col("_k") < F.col("_n")) & (total > 1e-12 * F.col("_q")), F.col("_k") * (F.col("_n") - F.col("_k")) / F.col("_n") * gap * gap / total)
+    got = s.withColumn("_eta2", eta2).groupBy(*keys).agg(F.max("_n").cast("int").alias("_n"), F.max("_eta2").alias("_eta2"))
+    half = F.floor(F.col("_n") / 2).cast("double")  # where a ramp's share is greatest
+    ramp = 3 * half * (F.col("_n") - half) / (F.col("_n").cast("double") * F.col("_n") - 1)
+    return got.select(*keys, F.col("_n").alias("n"), F.when((F.col("_n") >= 3) & F.col("_eta2").isNotNull(), F.round("_eta2", 12) > F.round(ramp, 12)).alias("separated"))
+
+
 def leading(scores: DataFrame, key: str, score: str, ident: str) -> DataFrame:
     """The rows of each list that are signal, with their rank from 0. Lists of one key each: hits, readings, the concepts of one question."""
     r = F.row_number().over(W.partitionBy(key).orderBy(F.desc(score), ident)) - 1

@@ -19,6 +19,9 @@ formed; at most 2,081 nodes can share one, and each is linked to the least. What
 is filed is thus at most 64 and 2,081 rows a node, however nodes are crowded: with
 random fingerprints all nodes take the second way from some 67 million on.
 
+No join sends a table to all: Spark sizes one by its files, and neither the rows
+that an explode makes of them nor what compression hides count there.
+
 Defined cases: null counts as empty; a text of one to three words has one shingle
 of all its words; wordless texts have fingerprint zero and are linked like any
 other; component_id is the least doc_id of the component (null if it has only
@@ -109,7 +112,7 @@ def variant_links(filed: DataFrame) -> DataFrame:
     bit = F.call_function("shiftrightunsigned", F.col("variant"), F.lit(24))
     differs = F.call_function("shiftrightunsigned", F.col("a").bitwiseXOR(F.col("b")), bit).bitwiseAND(F.lit(1)) == 1
     told = bit.isin(*[low for low, _ in SEGMENTS]) | differs  # equal segments share all variants: their first counts
-    return left.join(right, "variant").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= FAR) & told).select("a", "b")
+    return left.join(right.hint("merge"), "variant").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= FAR) & told).select("a", "b")
 
 
 def beside(fp: Column) -> Column:
@@ -134,16 +137,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = steps.written(signed.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     values = steps.written(_segment_values(nodes), "segments")
     crowded = steps.written(_crowded(values, bucket), "crowded")
-    placed = steps.written(values.join(crowded, ["segment", "value"], "left"), "placed")
+    placed = steps.written(values.join(crowded.hint("merge"), ["segment", "value"], "left"), "placed")
     few = variant_links(variants(placed.filter("own IS NULL OR NOT own")))
     many = crowd_links(placed.filter("own IS NOT NULL").select("fp").distinct())
     links = steps.written(few.unionByName(many).distinct(), "links")
     label = components(steps, links).select(F.col("node").alias("fp"), "part")
-    parts = steps.written(nodes.join(label, "fp", "left").select("fp", "rep", F.coalesce("part", "fp").alias("part")), "parts")
+    parts = steps.written(nodes.join(label.hint("merge"), "fp", "left").select("fp", "rep", F.coalesce("part", "fp").alias("part")), "parts")
     least = parts.groupBy("part").agg(F.min("rep").alias("component_id"))
-    known = steps.written(parts.join(least, "part").select("fp", "component_id"), "components")
+    known = steps.written(parts.join(least.hint("merge"), "part").select("fp", "component_id"), "components")
     steps.over(signed, known)
-    return signed.join(known, "fp").select("doc_id", "fp", "component_id")
+    return signed.join(known.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def report(found: DataFrame) -> DataFrame:
